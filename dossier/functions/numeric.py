@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Veltkamp constant 2**27 + 1: splits a double into two exactly representable halves.
-_SPLIT = 134217729.0
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def round_exact(x: Column, digits: int) -> Column:
@@ -15,20 +17,17 @@ def round_exact(x: Column, digits: int) -> Column:
     ``F.round`` rounds the shortest decimal text half up, which differs on values
     such as 0.00115 (stored just below the tie).  Away from a tie both agree; at
     a tie the product ``x * 2 * 10**digits`` is compared with the odd integer
-    exactly, by splitting ``x`` into two halves.
+    exactly, by splitting ``x`` into two halves whose products are exact.
     """
-    x = x.cast("double")
-    scale = float(10 ** digits)
-    scaled = x * F.lit(scale)
-    low = F.floor(scaled).cast("double")
-    near_tie = F.abs(scaled - low - F.lit(0.5)) < F.lit(1e-6)
-    big = x * F.lit(_SPLIT)
-    hi = big - (big - x)
-    odd = low * F.lit(2.0) + F.lit(1.0)
-    excess = (hi * F.lit(2 * scale) - odd) + (x - hi) * F.lit(2 * scale)
-    up = (excess > 0) | ((excess == 0) & (low % F.lit(2.0) != 0))
-    tied = (low + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / F.lit(scale)
-    return F.when(near_tie, tied).otherwise(F.round(x, digits))
+    scale, split = f"1e{digits}D", "1.34217729e8D"  # split: 2**27 + 1
+    low = f"floor(v * {scale})"
+    hi = f"(v * {split} - (v * {split} - v))"
+    excess = f"(({hi} * 2 * {scale} - ({low} * 2 + 1)) + (v - {hi}) * 2 * {scale})"
+    body = (f"v -> if(abs(v * {scale} - {low} - 0.5D) < 1e-6D, "
+            f"({low} + if({excess} > 0 or ({excess} = 0 and {low} % 2 <> 0), 1, 0)) / {scale}, "
+            f"round(v, {digits}))")
+    return F.get(F.call_function(
+        "transform", F.array(x.cast("double")), F.expr(body)), F.lit(0))
 
 
 def clip01(x: Column) -> Column:

@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dossier import lexicon as L
-from dossier.functions.numeric import round_exact
-from dossier.functions.text import claimed_years, count_of, education_context, promotion_keywords
+from dossier.functions.numeric import let, round_exact
+from dossier.functions.text import (
+    claimed_years, count_of, education_context, promotion_keywords)
 
 SPANS = "array<struct<s:int,e:int>>"
 
@@ -55,9 +56,9 @@ def merged_length(spans: Column) -> Column:
 
 def years_experience(spans: Column, claimed: Column) -> Column:
     """Merged years; averaged with an explicit claim, or the claim alone; cap 50."""
-    merged = merged_length(spans).cast("double")
-    years = F.when(claimed.isNull(), merged).when(
-        merged > 0, (merged + claimed) / 2).otherwise(claimed)
+    both = F.struct(merged_length(spans).cast("double").alias("m"), claimed.alias("c"))
+    years = let(both, lambda x: F.when(x.c.isNull(), x.m).when(
+        x.m > 0, (x.m + x.c) / 2).otherwise(x.c))
     return round_exact(F.least(years, F.lit(50.0)), 1)
 
 
@@ -124,12 +125,18 @@ def graduation_year(folded: Column, as_of_year: int) -> Column:
     three most recent the first that is 1 to 50 years back, else the most recent;
     as_of - 4 when there is none.
     """
-    near = year_words(education_context(folded), as_of_year)
-    years = F.when(F.size(near) > 0, near).otherwise(year_words(folded, as_of_year))
+    def pick(recent: Column) -> Column:
+        past = F.filter(recent, lambda y: (F.lit(as_of_year) - y).between(1, 50))
+        return F.coalesce(F.get(past, F.lit(0)), F.get(recent, F.lit(0)),
+                          F.lit(as_of_year - 4))
+
+    # the context may only hold years when the text does
+    near = let(education_context(folded), lambda part: year_words(part, as_of_year))
+    years = let(near, lambda ys: F.when(F.size(ys) > 0, ys).otherwise(
+        year_words(folded, as_of_year)))
     recent = F.slice(F.filter(years, lambda y: y >= 1990), 1, 3)
-    past = F.filter(recent, lambda y: (F.lit(as_of_year) - y).between(1, 50))
-    return F.coalesce(F.get(past, F.lit(0)), F.get(recent, F.lit(0)),
-                      F.lit(as_of_year - 4))
+    return F.when(folded.rlike(L.YEAR_ANYWHERE), let(recent, pick)).otherwise(
+        F.lit(as_of_year - 4))
 
 
 def graduation_gap(years: Column, graduation: Column, as_of_year: int) -> Column:

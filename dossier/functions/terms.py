@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dossier import lexicon as L
+from dossier.functions.text import constant
 
 _META = set(r".^$*+?{}[]\|()")
 
@@ -66,16 +67,16 @@ class TermSet:
         self.names = {t.lower(): t for t in reversed(list(terms))}
         self.literal = literal
 
-    def _nested(self, term: str) -> list[str]:
+    def _names_at(self, term: str) -> list[str]:
         """Names of all terms that match wherever ``term`` matches."""
-        out = []
+        out = set()
         for other, name in self.names.items():
             if not term.startswith(other):
                 continue
             right, rest = edges(other, self.literal)[1], term[len(other):]
             changes = rest != "" and _is_word(rest[0]) != _is_word(other[-1])
             if rest == "" or changes == (right == r"\b"):
-                out.append(name)
+                out.add(name)
         return sorted(out)
 
     def hits(self, folded: Column) -> Column:
@@ -86,17 +87,9 @@ class TermSet:
         """
         found = F.array_distinct(F.regexp_extract_all(
             folded, F.lit(f"(?=({alternation(self.names, self.literal)}))")))
-        nested = {t: n for t in self.names if (n := self._nested(t)) != [self.names[t]]}
-        plain = F.create_map(*[F.lit(x) for kv in self.names.items() for x in kv])
-        names = F.transform(found, lambda h: F.element_at(plain, h))
-        if nested:
-            more = F.create_map(*[
-                x for t, n in nested.items()
-                for x in (F.lit(t), F.array(*[F.lit(v) for v in n]))])
-            extra = F.transform(found, lambda h: F.coalesce(
-                F.try_element_at(more, h), F.array().cast("array<string>")))
-            names = F.concat(names, F.flatten(extra))
-        return F.array_sort(F.array_distinct(names))
+        names = constant({t: self._names_at(t) for t in self.names}, "map<string,array<string>>")
+        return F.array_sort(F.array_distinct(F.flatten(
+            F.transform(found, lambda h: F.element_at(names, h)))))
 
     def count(self, folded: Column) -> Column:
         """Number of distinct terms present."""
@@ -104,7 +97,7 @@ class TermSet:
 
 
 def _alias_map() -> Column:
-    return F.create_map(*[F.lit(x) for kv in L.ALIASES.items() for x in kv])
+    return constant(L.ALIASES, "map<string,string>")
 
 
 def canonical_skill(token: Column) -> Column:
@@ -118,32 +111,42 @@ def alias_hits(folded: Column) -> Column:
     return F.regexp_extract_all(folded, F.lit(f"({alternation(L.ALIASES)})"))
 
 
-def normalize_aliases(text: Column, cascade: bool = False) -> Column:
+_MARK = "\ue000"  # private-use character that fences alias hits
+
+
+def normalize_aliases(text: Column, cascade: bool = False, lowered: bool = False) -> Column:
     """Replace aliases by canonical names.
 
     Default: one pass, every stretch of text is replaced at most once.  With
     ``cascade`` the aliases are applied one after the other, longest first, each
     on the output of the one before, so a replacement may be replaced again.
+    ``lowered`` says that the text is lower-case already.
     """
-    if not cascade:
-        pattern = "(?i)(" + alternation(L.ALIASES) + ")"
-        names = F.transform(
-            F.regexp_extract_all(text, F.lit(pattern)),
-            lambda hit: F.element_at(_alias_map(), F.lower(hit)))
-        parts = F.split(text, pattern)
-        return F.when(~text.rlike(pattern), text).otherwise(F.array_join(
-            F.transform(parts, lambda part, i: F.concat(
-                part, F.coalesce(F.get(names, i), F.lit("")))), ""))
-    out = text
-    for alias in sorted(L.ALIASES, key=len, reverse=True):
-        if " " in alias:
-            pattern = r"(?i)(?<![a-z0-9])" + escape(alias) + r"(?![a-z0-9])"
-        else:
-            pattern = r"(?i)\b" + escape(alias) + r"\b"
-        out = F.regexp_replace(out, pattern, L.ALIASES[alias])
-    return out
+    if cascade:
+        out = text
+        for alias in sorted(L.ALIASES, key=len, reverse=True):
+            if " " in alias:
+                pattern = r"(?i)(?<![a-z0-9])" + escape(alias) + r"(?![a-z0-9])"
+            else:
+                pattern = r"(?i)\b" + escape(alias) + r"\b"
+            out = F.regexp_replace(out, pattern, L.ALIASES[alias])
+        return out
+    pattern = ("" if lowered else "(?i)") + "(" + alternation(L.ALIASES) + ")"
+
+    def name(hit: Column) -> Column:
+        return F.element_at(_alias_map(), hit if lowered else F.lower(hit))
+
+    # one scan fences the hits, so the odd parts between the marks are aliases
+    fenced = F.split(F.regexp_replace(text, pattern, f"{_MARK}$1{_MARK}"), _MARK)
+    one_scan = F.transform(fenced, lambda part, i: F.when(i % 2 == 1, name(part)).otherwise(part))
+    # a text that holds the mark itself is cut at the hits instead
+    two_scans = F.zip_with(
+        F.split(text, pattern),
+        F.transform(F.regexp_extract_all(text, F.lit(pattern)), name),
+        lambda part, n: F.concat(part, F.coalesce(n, F.lit(""))))
+    return F.array_join(F.when(text.contains(_MARK), two_scans).otherwise(one_scan), "")
 
 
 def extract_skills(folded: Column, skills: TermSet) -> Column:
     """Sorted distinct skill names in a text, aliases resolved first."""
-    return skills.hits(F.lower(normalize_aliases(folded)))
+    return skills.hits(F.lower(normalize_aliases(folded, lowered=True)))

@@ -9,6 +9,8 @@ Java version.
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 from operator import add, or_
 
@@ -16,6 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dossier import lexicon as L
+from dossier.functions.numeric import let
 
 BLANKS = " \t\n\r\f\x0b"
 NON_ASCII = r"[^\x00-\x7F]"
@@ -43,9 +46,32 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+_WORDS = re.compile(r"[a-z0-9 ]+")
+
+
+def openings(pattern: str) -> list[str]:
+    """Literal words one of which any match must hold; empty when unknown.
+
+    Understands patterns that open with a word or a choice of words.
+    """
+    head = re.sub(r"^\\b", "", pattern.split(".*")[0])
+    if head.startswith("(?:"):
+        head = head[3:head.find(")")]
+    words = [re.sub(r"\\b$", "", w) for w in head.split("|")]
+    return words if all(_WORDS.fullmatch(w) for w in words) else []
+
+
 def found(text: Column, pattern: str) -> Column:
-    """Pattern search in which '.' stops at a line feed only."""
-    return text.rlike("(?d)" + pattern)
+    """Pattern search in which '.' stops at a line feed only.
+
+    A plain substring test comes first: it is many times cheaper than a regular
+    expression, and alone it settles patterns that are nothing but words.
+    """
+    words = openings(pattern)
+    if words and "|".join(words) == pattern:
+        return contains_any(text, words)
+    search = text.rlike("(?d)" + pattern)
+    return contains_any(text, words) & search if words else search
 
 
 def flag(condition: Column) -> Column:
@@ -60,8 +86,25 @@ def any_of(conditions) -> Column:
     return reduce(or_, conditions)
 
 
+def constant(value, shape: str) -> Column:
+    """A constant array or map as one small expression, folded by the optimizer."""
+    return F.from_json(F.lit(json.dumps(value)), shape)
+
+
+def word_list(words) -> Column:
+    return constant(list(words), "array<string>")
+
+
 def contains_any(text: Column, words) -> Column:
-    return any_of([text.contains(w) for w in words])
+    """Whether any of the words occurs as a substring."""
+    if len(words) == 1:
+        return text.contains(words[0])
+    return let(text, lambda t: F.exists(word_list(words), lambda w: F.contains(t, w)))
+
+
+def contained(text: Column, words) -> Column:
+    """Number of the words that occur as a substring."""
+    return let(text, lambda t: F.size(F.filter(word_list(words), lambda w: F.contains(t, w))))
 
 
 # ---------------------------------------------------------------- tokens
@@ -71,20 +114,18 @@ def word_count(text: Column) -> Column:
     return count_of(text, r"\S+")
 
 
-def _without(tokens: Column, stopwords) -> Column:
-    return F.filter(tokens, lambda w: ~w.isin(*stopwords))
-
-
 def content_words(folded: Column) -> Column:
     """Words of three or more plain letters minus stopwords, in text order."""
-    return _without(
-        F.regexp_extract_all(folded, F.lit(r"\b([a-z]{3,})\b")), L.CONTENT_STOPWORDS)
+    stop = [w for w in L.CONTENT_STOPWORDS if len(w) > 2]
+    by_first = "|".join(
+        f"{ch}(?:{'|'.join(w[1:] for w in stop if w[0] == ch)})" for ch in sorted({w[0] for w in stop}))
+    return F.regexp_extract_all(folded, F.lit(rf"\b(?!(?:{by_first})\b)([a-z]{{3,}})\b"))
 
 
 def tech_tokens(folded: Column) -> Column:
     """Distinct tokens that may hold digits, '+', '#' and '.', minus stopwords."""
     raw = F.regexp_extract_all(folded, F.lit(r"\b([a-z][a-z0-9+#.]+)\b"))
-    return _without(F.array_distinct(raw), L.TECH_STOPWORDS)
+    return F.array_except(raw, word_list(L.TECH_STOPWORDS))
 
 
 def fragments(folded: Column) -> Column:
@@ -116,7 +157,6 @@ def scrub_text(text: Column) -> Column:
 def education_context(folded: Column) -> Column:
     """The part after the first education heading, up to the next heading; else
     200 characters either side of the first hint; else the whole text."""
-    parts = F.split(folded, L.EDUCATION_HEADING_SPLIT)
     reach = L.EDUCATION_HINT_REACH
 
     def around(pattern: str) -> Column:
@@ -126,8 +166,7 @@ def education_context(folded: Column) -> Column:
         return F.when(hit > 0, F.substr(folded, start, stop - start))
 
     hints = [around(p) for p in L.EDUCATION_HINTS]
-    return F.when(F.size(parts) > 1, F.get(parts, F.lit(1))).otherwise(
-        F.coalesce(*hints, folded))
+    return F.coalesce(F.get(F.split(folded, L.EDUCATION_HEADING_SPLIT), F.lit(1)), *hints, folded)
 
 
 # ------------------------------------------------------- pattern counts
@@ -141,21 +180,22 @@ def achievement_count(folded: Column) -> Column:
     """
     verbs = L.ACHIEVEMENT_VERBS
     nested = [v for v in verbs for u in verbs if u != v and v.endswith(u)]
-    counts = [count_of(folded, p) for p in L.ACHIEVEMENT_FIGURES]
-    counts.append(count_of(folded, "(?:" + "|".join(verbs) + r")\b"))
-    counts += [count_of(folded, v + r"\b") for v in nested]
+    by_first = sorted({v[0] for v in verbs})
+    any_verb = "|".join(
+        f"{ch}(?:{'|'.join(v[1:] for v in verbs if v[0] == ch)})" for ch in by_first)
+
+    def gated(literal: str, pattern: str) -> Column:
+        return F.when(folded.contains(literal), count_of(folded, pattern)).otherwise(F.lit(0))
+
+    counts = [gated(sign, p) for sign, p in zip("%x$", L.ACHIEVEMENT_FIGURES)]
+    counts.append(count_of(folded, f"(?:{any_verb})\\b"))
+    counts += [gated(v, v + r"\b") for v in nested]
     return F.least(total(counts), F.lit(50))
 
 
 def certification_count(folded: Column) -> Column:
-    """Number of certification patterns present, capped at 30.
-
-    One combined test first: most text holds none of the patterns.
-    """
-    stems = [p.split(".*")[0] for p in L.CERTIFICATION_PATTERNS]
-    hits = total([flag(found(folded, p)) for p in L.CERTIFICATION_PATTERNS])
-    gate = folded.rlike("|".join(stems))
-    return F.when(gate, F.least(hits, F.lit(30))).otherwise(F.lit(0))
+    """Number of certification patterns present, capped at 30."""
+    return F.least(total([flag(found(folded, p)) for p in L.CERTIFICATION_PATTERNS]), F.lit(30))
 
 
 def education_level(folded: Column) -> Column:
@@ -182,16 +222,16 @@ def has_previous_job(folded: Column, text: Column) -> Column:
 
 
 def promotion_keywords(folded: Column) -> Column:
-    return total([flag(folded.contains(k)) for k in L.PROMOTION_KEYWORDS])
+    return contained(folded, L.PROMOTION_KEYWORDS)
 
 
 # -------------------------------------------------------- intake signals
 
 def contact_signals(folded: Column) -> Column:
     return F.struct(
-        folded.rlike(L.EMAIL).alias("email"),
-        any_of([folded.rlike(p) for p in L.PHONES]).alias("phone"),
-        folded.rlike(L.PROFILE_URL).alias("url"))
+        (folded.contains("@") & folded.rlike(L.EMAIL)).alias("email"),
+        (folded.rlike(r"\d\d\d") & any_of([folded.rlike(p) for p in L.PHONES])).alias("phone"),
+        contains_any(folded, L.PROFILE_URLS).alias("url"))
 
 
 def section_signals(folded: Column) -> Column:
@@ -202,7 +242,7 @@ def section_signals(folded: Column) -> Column:
 
 
 def negative_hits(folded: Column) -> Column:
-    return total([flag(folded.contains(k)) for k in L.NEGATIVE_KEYWORDS])
+    return contained(folded, L.NEGATIVE_KEYWORDS)
 
 
 def resume_likeness(folded: Column, n_entities: Column | None = None) -> Column:
@@ -223,7 +263,7 @@ def resume_likeness(folded: Column, n_entities: Column | None = None) -> Column:
     if n_entities is not None:
         score = score + points(n_entities > 5, 20)
     score = F.when(F.length(strip(folded)) < 50, F.lit(0)).otherwise(score)
-    return F.struct(score.alias("score"), (score >= 45).alias("is_resume"))
+    return let(score, lambda s: F.struct(s.alias("score"), (s >= 45).alias("is_resume")))
 
 
 # ------------------------------------------------------- years in words

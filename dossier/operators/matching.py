@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier import lexicon as L
 from dossier.functions import text as X
-from dossier.functions.numeric import cap, round_exact
+from dossier.functions.numeric import cap, let, round_exact
 from dossier.functions.terms import TermSet
 from dossier.functions.vectors import cosine
 
@@ -54,7 +54,7 @@ def match_terms(docs: DataFrame, dim: DataFrame, key: str = "doc_id",
     (key, word) rows, so the text itself moves once, for the candidates.
     """
     words = F.array_distinct(F.regexp_extract_all("folded", F.lit(WORD)))
-    present = F.col("folded").rlike(F.col("pattern"))
+    present = F.rlike("folded", F.col("pattern"))
     out = [key, "kind", "term"]
     if rows_within(dim, limit):
         return (docs.select(key, "folded", F.explode(words).alias("first_token"))
@@ -93,9 +93,8 @@ def match_terms_longest(docs: DataFrame, dim: DataFrame, key: str = "doc_id",
 def generic_phrase_score(folded: Column, phrases=None) -> Column:
     """Distinct stock phrases per hundred words (at least one hundred), cap 1."""
     hits = TermSet(phrases or L.GENERIC_PHRASES).count(folded)
-    words = X.word_count(folded)
-    return F.when(words == 0, F.lit(0.0)).otherwise(round_exact(cap(
-        hits / F.greatest(words * F.lit(0.01), F.lit(1.0)), 1.0), 4))
+    return let(X.word_count(folded), lambda words: F.when(words == 0, F.lit(0.0)).otherwise(
+        round_exact(cap(hits / F.greatest(words * F.lit(0.01), F.lit(1.0)), 1.0), 4)))
 
 
 def nearest_seed(vectors: DataFrame, seeds: DataFrame, threshold: float = 0.82,
@@ -119,26 +118,32 @@ def nearest_seed(vectors: DataFrame, seeds: DataFrame, threshold: float = 0.82,
 
 def relevant_categories(target_folded: Column, categories=None) -> Column:
     """Categories with a role that shares a whitespace token with the target."""
+    table = X.constant(
+        [{"name": name, "tokens": sorted({t for r in roles for t in r.lower().split()})}
+         for name, roles in (categories or L.JOB_CATEGORIES).items()],
+        "array<struct<name:string,tokens:array<string>>>")
     words = F.array_distinct(F.regexp_extract_all(target_folded, F.lit(r"(\S+)")))
-    flags = []
-    for name, roles in (categories or L.JOB_CATEGORIES).items():
-        tokens = sorted({t for role in roles for t in role.lower().split()})
-        flags.append(F.when(F.arrays_overlap(
-            words, F.array(*[F.lit(t) for t in tokens])), F.lit(name)))
-    return F.array_compact(F.array(*flags))
+    return let(words, lambda ws: F.transform(
+        F.filter(table, lambda c: F.arrays_overlap(ws, c.tokens)), lambda c: c["name"]))
 
 
 def mentioned_categories(folded: Column, categories=None) -> Column:
     """Categories with a role that occurs in the text as a substring."""
-    return F.array_compact(F.array(*[
-        F.when(X.contains_any(folded, [r.lower() for r in roles]), F.lit(name))
-        for name, roles in (categories or L.JOB_CATEGORIES).items()]))
+    table = X.constant(
+        [{"name": name, "roles": [r.lower() for r in roles]}
+         for name, roles in (categories or L.JOB_CATEGORIES).items()],
+        "array<struct<name:string,roles:array<string>>>")
+    return let(folded, lambda t: F.transform(
+        F.filter(table, lambda c: F.exists(c.roles, lambda r: F.contains(t, r))),
+        lambda c: c["name"]))
 
 
 def role_mentions(docs: DataFrame, categories=None, key: str = "doc_id") -> DataFrame:
     """(key, category, role) for every role found in the text as a substring."""
-    roles = F.array_compact(F.array(*[
-        F.when(F.col("folded").contains(role.lower()),
-               F.struct(F.lit(name).alias("category"), F.lit(role).alias("role")))
-        for name, members in (categories or L.JOB_CATEGORIES).items() for role in members]))
-    return docs.select(key, F.inline(roles))
+    table = X.constant(
+        [{"category": name, "role": role}
+         for name, roles in (categories or L.JOB_CATEGORIES).items() for role in roles],
+        "array<struct<category:string,role:string>>")
+    found = let(F.col("folded"), lambda t: F.filter(
+        table, lambda r: F.contains(t, F.lower(r.role))))
+    return docs.select(key, F.inline(found))

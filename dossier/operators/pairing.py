@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from dossier.functions import sets, spans
 from dossier.functions import text as X
-from dossier.functions.numeric import cap, round_exact, share
-from dossier.functions.terms import TermSet, extract_skills, normalize_aliases
+from dossier.functions.numeric import cap, let, round_exact, share
+from dossier.functions.terms import TermSet, normalize_aliases
 from dossier.functions.vectors import cosine
 from dossier.operators import matching
 
@@ -55,9 +55,9 @@ def keyword_stuffing(counts: Column, n_words: Column, target_words: Column) -> C
             acc.hits.alias("hits"),
             F.when(acc.most > 10, cap(acc.most * F.lit(0.02), 0.3)
                    ).otherwise(F.lit(0.0)).alias("penalty")))
-    ratio = share(seen.hits, n_words)
+    score = let(seen, lambda x: cap(share(x.hits, n_words) * F.lit(2.0) + x.penalty, 1.0))
     return F.when((n_words == 0) | (F.size(target_words) == 0), F.lit(0.0)).otherwise(
-        round_exact(cap(ratio * F.lit(2.0) + seen.penalty, 1.0), 4))
+        round_exact(score, 4))
 
 
 def semantic_similarity(cos: Column, recall: Column, target_words: Column,
@@ -121,12 +121,14 @@ def document_facts(docs: DataFrame, skills: TermSet, as_of_year: int,
     keep = [c for c in docs.columns if c != "text"]
     folded = F.col("folded")
     # stage 1: one scan of the text per fact
-    facts = docs.withColumn("folded", X.fold(F.col("text"))).select(
-        *keep, "folded", F.col("text").alias("_text"),
+    base = docs.select(*keep, X.fold(F.col("text")).alias("folded")).withColumn(
+        "_norm", F.lower(normalize_aliases(folded, lowered=True)))
+    facts = base.select(
+        *keep, "folded",
         X.word_count(folded).alias("words"),
         X.content_words(folded).alias("_content"),
-        X.tech_tokens(F.lower(normalize_aliases(folded))).alias("tokens"),
-        extract_skills(folded, skills).alias("skills"),
+        X.tech_tokens(F.col("_norm")).alias("tokens"),
+        skills.hits(F.col("_norm")).alias("skills"),
         spans.extract_spans(folded, as_of_year).alias("_spans"),
         spans.extract_spans(folded, as_of_year, "overlap").alias("_overlap"),
         spans.mentioned_years(folded).alias("_years"),
@@ -139,25 +141,22 @@ def document_facts(docs: DataFrame, skills: TermSet, as_of_year: int,
         matching.mentioned_categories(folded).alias("mentioned"),
         X.resume_likeness(folded).alias("likeness"))
     # stage 2: facts derived from facts
-    facts = (facts
-             .withColumn("years_experience", spans.years_experience(
-                 F.col("_spans"), F.col("_claimed")))
-             .withColumn("overlapping_jobs", spans.overlap_pairs(F.col("_overlap")))
-             .withColumn("gap_years", spans.year_gaps(
-                 F.col("_years"), compat).total_gap_years)
-             .withColumn("promotion_speed", spans.promotion_speed(
-                 folded, F.col("_years"), compat))
-             .withColumn("skill_experience_alignment", skill_alignment(
-                 folded, F.col("skills"), skills))
-             .withColumn("n_content", F.size("_content")))
-    facts = (facts
-             .withColumn("experience_graduation_gap", spans.graduation_gap(
-                 F.col("years_experience"), F.col("graduation_year"), as_of_year))
-             .withColumn("num_skills", F.size("skills"))
-             .withColumn("skill_density", skill_density(
-                 F.col("num_skills"), F.col("years_experience"), F.col("words"))))
+    facts = facts.select(
+        "*",
+        spans.years_experience(F.col("_spans"), F.col("_claimed")).alias("years_experience"),
+        spans.overlap_pairs(F.col("_overlap")).alias("overlapping_jobs"),
+        spans.year_gaps(F.col("_years"), compat).total_gap_years.alias("gap_years"),
+        spans.promotion_speed(folded, F.col("_years"), compat).alias("promotion_speed"),
+        skill_alignment(folded, F.col("skills"), skills).alias("skill_experience_alignment"),
+        F.size("_content").alias("n_content"), F.size("skills").alias("num_skills"))
+    facts = facts.select(
+        "*",
+        spans.graduation_gap(F.col("years_experience"), F.col("graduation_year"),
+                             as_of_year).alias("experience_graduation_gap"),
+        skill_density(F.col("num_skills"), F.col("years_experience"),
+                      F.col("words")).alias("skill_density"))
     return word_counts(facts, "_content", "word_counts").drop(
-        "_text", "folded", "_content", "_spans", "_overlap", "_years", "_claimed")
+        "folded", "_content", "_spans", "_overlap", "_years", "_claimed")
 
 
 def target_facts(jobs: DataFrame, skills: TermSet) -> DataFrame:
@@ -171,14 +170,14 @@ def target_facts(jobs: DataFrame, skills: TermSet) -> DataFrame:
     staged = jobs.select(
         *keep, X.fold(F.col("title")).alias("_title"),
         X.fold(F.col("description")).alias("_desc"))
-    staged = staged.withColumn("_norm", F.lower(normalize_aliases(desc))).withColumn(
+    staged = staged.withColumn("_norm", F.lower(normalize_aliases(desc, lowered=True))).withColumn(
         "_target", target)
     return staged.select(
         *keep,
         F.array_distinct(X.content_words(desc)).alias("target_words"),
         X.tech_tokens(F.col("_norm")).alias("target_tokens"),
         X.word_count(F.col("_norm")).alias("target_length"),
-        extract_skills(desc, skills).alias("target_skills"),
+        skills.hits(F.col("_norm")).alias("target_skills"),
         X.required_years(F.col("_target")).alias("required_years"),
         matching.relevant_categories(F.col("_target")).alias("relevant"))
 

@@ -54,7 +54,8 @@ def overlap_pairs(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     before = F.coalesce(F.sum("n").over(
         order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # ends sort ahead of starts of the same year: an end at s_j does not overlap j
-    marks = counted.select(key, "s", "e", "n", before.alias("before"), F.inline(F.array(
+    placed = counted.withColumn("before", before)
+    marks = placed.select(key, "s", "e", "n", "before", F.inline(F.array(
         F.struct(F.col("e").alias("year"), F.lit(0).alias("is_start"), F.col("n").alias("ended")),
         F.struct(F.col("s").alias("year"), F.lit(1).alias("is_start"),
                  F.lit(0).cast("bigint").alias("ended")))))

@@ -93,7 +93,7 @@ def fit_boosted(train: DataFrame, features, label: str = "label", parallelism: i
     """Boosted trees, one model per class against the rest."""
     gbt = GBTClassifier(seed=42, **{**BOOSTED_BEST, **params})
     rest = OneVsRest(classifier=gbt, labelCol=label, featuresCol="features",
-                     parallelism=parallelism, rawPredictionCol="raw")
+                     parallelism=parallelism)
     return Pipeline(stages=[assembler(features), rest]).fit(train)
 
 
@@ -119,7 +119,7 @@ def grid_search(train: DataFrame, features, label: str = "label", key: str = "do
     return search.fit(data)
 
 
-def class_probabilities(predicted: DataFrame, raw: str = "raw") -> DataFrame:
+def class_probabilities(predicted: DataFrame, raw: str = "rawPrediction") -> DataFrame:
     """Adds p0..p2: one-vs-rest margins through the logistic curve, made to sum to 1."""
     margins = vector_to_array(raw)
     sig = F.transform(margins, lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(-m)))
