@@ -53,13 +53,14 @@ def match_terms(docs: DataFrame, dim: DataFrame, key: str = "doc_id",
     rows is broadcast and nothing is shuffled.  A larger one is joined on narrow
     (key, word) rows, so the text itself moves once, for the candidates.
     """
-    words = F.array_distinct(F.regexp_extract_all("folded", F.lit(WORD)))
+    # explode_outer: the plain form would evaluate the words a second time in a filter
+    words = F.explode_outer(F.array_distinct(F.regexp_extract_all("folded", F.lit(WORD))))
     present = F.rlike("folded", F.col("pattern"))
     out = [key, "kind", "term"]
     if rows_within(dim, limit):
-        return (docs.select(key, "folded", F.explode(words).alias("first_token"))
+        return (docs.select(key, "folded", words.alias("first_token"))
                 .join(F.broadcast(dim), "first_token").filter(present).select(*out))
-    candidates = (docs.select(key, F.explode(words).alias("first_token"))
+    candidates = (docs.select(key, words.alias("first_token"))
                   .join(dim, "first_token").select(*out, "pattern"))
     return (candidates.join(docs.select(key, "folded"), key).filter(present).select(*out))
 
@@ -70,13 +71,16 @@ def match_terms_longest(docs: DataFrame, dim: DataFrame, key: str = "doc_id",
     a token belongs to one term at most."""
     small = dim.select("kind", "term", "tokens", F.size("tokens").alias("n_tokens"),
                        F.get("tokens", F.lit(0)).alias("token"))
-    if rows_within(dim, limit):
+    n_terms, longest = small.agg(F.count("*"), F.coalesce(F.max("n_tokens"), F.lit(1))).first()
+    if n_terms <= limit:
         small = F.broadcast(small)
-    tokens = F.regexp_extract_all("folded", F.lit(TOKEN))
-    base = docs.select(key, tokens.alias("doc_tokens"))
-    hits = (base.select(key, "doc_tokens", F.posexplode("doc_tokens").alias("pos", "token"))
-            .join(small, "token")
-            .filter(F.slice("doc_tokens", F.col("pos") + 1, F.col("n_tokens")) == F.col("tokens"))
+    tokens = docs.select(key, F.regexp_extract_all("folded", F.lit(TOKEN)).alias("doc_tokens"))
+    # every position carries the few tokens a term can span, not the whole text
+    starts = tokens.select(key, F.inline_outer(F.transform("doc_tokens", lambda t, i: F.struct(
+        t.alias("token"), i.alias("pos"),
+        F.slice(F.col("doc_tokens"), i + 1, longest).alias("ahead")))))
+    hits = (starts.join(small, "token")
+            .filter(F.slice("ahead", F.lit(1), F.col("n_tokens")) == F.col("tokens"))
             .groupBy(key)
             .agg(F.array_sort(F.collect_list(F.struct(
                 (-F.col("n_tokens")).alias("rank"), "pos", "kind", "term", "n_tokens"))).alias("hits")))
@@ -146,4 +150,4 @@ def role_mentions(docs: DataFrame, categories=None, key: str = "doc_id") -> Data
         "array<struct<category:string,role:string>>")
     found = let(F.col("folded"), lambda t: F.filter(
         table, lambda r: F.contains(t, F.lower(r.role))))
-    return docs.select(key, F.inline(found))
+    return docs.select(key, F.inline_outer(found)).filter(F.col("role").isNotNull())

@@ -312,11 +312,14 @@ def stuffing_ctes(source: str, out: str = "stuffed") -> str:
   AS keyword_stuffing_score FROM {out}_b)"""
 
 
-def alignment(f: str, skills: str, terms) -> str:
+def evidence(f: str) -> str:
     verbs = r"\b(?:" + "|".join(L.EVIDENCE_VERBS) + r")\b"
-    text = (f"array_to_string(list_filter({fragments(f)}, lambda p: {has('p', verbs)}), chr(10))")
+    return f"array_to_string(list_filter({fragments(f)}, lambda p: {has('p', verbs)}), chr(10))"
+
+
+def alignment(evidence_col: str, skills: str, terms) -> str:
     return round_exact(share(
-        f"len(list_intersect({skills}, {term_hits(f'({text})', terms)}))", f"len({skills})"), 4)
+        f"len(list_intersect({skills}, {term_hits(evidence_col, terms)}))", f"len({skills})"), 4)
 
 
 def density(n: str, years: str, words: str) -> str:

@@ -158,10 +158,10 @@ d1 AS (SELECT doc_id, job_id, f, skills, {D.word_count('f')} AS n_words, {D.cont
   {D.mentioned_years('f')} AS ys, {D.claimed_years('f')} AS claimed, {D.graduation_year('f', Y)} AS graduation_year,
   {D.achievement_count('f')} AS achievement_count, {D.generic_phrase_score('f')} AS generic_phrase_score,
   {D.certification_count('f')} AS num_certifications, {D.education_level('f')} AS education_level_encoded,
-  {D.mentioned_categories('f')} AS mentioned, {D.likeness('f')} AS likeness FROM k),
+  {D.mentioned_categories('f')} AS mentioned, {D.likeness('f')} AS likeness, {D.evidence('f')} AS ev FROM k),
 d2 AS (SELECT *, {D.years_experience('sp', 'claimed')} AS years_experience, {D.overlap_pairs('so')} AS overlapping_jobs,
   coalesce(list_sum({_steps}), 0) AS gap_years, CASE WHEN len(ys) > 1 THEN {_speed} ELSE 0e0 END AS promotion_speed,
-  {D.alignment('f', 'skills', L.default_skills())} AS skill_experience_alignment, len(skills) AS num_skills FROM d1),
+  {D.alignment('ev', 'skills', L.default_skills())} AS skill_experience_alignment, len(skills) AS num_skills FROM d1),
 d3 AS (SELECT *, {D.round_exact(f'({Y} - graduation_year) - years_experience', 2)} AS experience_graduation_gap,
   {D.density('num_skills', 'years_experience', 'n_words')} AS skill_density FROM d2)"""
 _term_hits = D.term_hits("norm", L.default_skills())
@@ -234,7 +234,8 @@ def summary(spark, d):
     return ranking.label_summary(screened(spark, d))
 
 
-@query("m9_skill_alignment", f"{PROFILES}, {SKILLS_CTE} SELECT doc_id, {D.alignment('f', 'skills', L.default_skills())} AS alignment FROM k")
+@query("m9_skill_alignment", f"{PROFILES}, {SKILLS_CTE}, v AS (SELECT doc_id, skills, {D.evidence('f')} AS ev FROM k) "
+       f"SELECT doc_id, {D.alignment('ev', 'skills', L.default_skills())} AS alignment FROM v")
 def alignment(spark, d):
     staged = profiles(spark, d).select("doc_id", "folded", extract_skills(folded(), SKILLS).alias("skills"))
     return staged.select("doc_id", P.skill_alignment(folded(), F.col("skills"), SKILLS).alias("alignment"))

@@ -33,8 +33,8 @@ def _union(select):
     return " UNION ALL ".join(select(c) for c in _NUMERIC)
 
 
-@query("a2_feature_stats", _union(lambda c: f"""SELECT '{c}' AS feature, count({c}) AS n, round(avg({c}), 4) AS mean,
- round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, round(max({c}), 4) AS max FROM lineitem"""))
+@query("a2_feature_stats", _union(lambda c: f"""SELECT '{c}' AS feature, count({c}) AS n, {D.round_exact(f'avg({c})', 4)} AS mean,
+ {D.round_exact(f'stddev_samp({c})', 4)} AS std, {D.round_exact(f'min({c})', 4)} AS min, {D.round_exact(f'max({c})', 4)} AS max FROM lineitem"""))
 def stats(spark, d):
     return profiling.feature_stats(I.table(spark, d, "lineitem"), [*_NUMERIC, "not_there"])
 
@@ -64,7 +64,7 @@ def impute(spark, d):
 
 
 @query("a6_class_means", "SELECT l_returnflag, " + ", ".join(
-    f"round(avg({c}), 4) AS {c}" for c in _NUMERIC) + " FROM lineitem GROUP BY l_returnflag")
+    f"{D.round_exact(f'avg({c})', 4)} AS {c}" for c in _NUMERIC) + " FROM lineitem GROUP BY l_returnflag")
 def class_means(spark, d):
     return profiling.class_means(I.table(spark, d, "lineitem"), "l_returnflag", _NUMERIC)
 

@@ -27,7 +27,7 @@ def _exploded(name, rule):
     @query(name, f"{_spans_sql(rule)}, u AS (SELECT doc_id, unnest(sp) AS x FROM s) "
            "SELECT doc_id, x.s AS s, x.e AS e FROM u")
     def run(spark, d):
-        return _with_spans(spark, d, rule).select("doc_id", F.inline("sp"))
+        return _with_spans(spark, d, rule).select("doc_id", F.inline_outer("sp")).filter("s is not null")
 
 
 _exploded("i1_extract_spans", "experience")
