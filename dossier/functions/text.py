@@ -175,22 +175,19 @@ def achievement_count(folded: Column) -> Column:
     """Figures and action verbs, every occurrence, capped at 50.
 
     The verbs carry no leading boundary, so a verb that ends in another verb
-    counts for both.  One alternation finds each word end once; the verbs that
-    end in a second verb are then added again.
+    counts for both.  Only patterns whose literal part occurs are searched.
     """
-    verbs = L.ACHIEVEMENT_VERBS
-    nested = [v for v in verbs for u in verbs if u != v and v.endswith(u)]
-    by_first = sorted({v[0] for v in verbs})
-    any_verb = "|".join(
-        f"{ch}(?:{'|'.join(v[1:] for v in verbs if v[0] == ch)})" for ch in by_first)
-
-    def gated(literal: str, pattern: str) -> Column:
-        return F.when(folded.contains(literal), count_of(folded, pattern)).otherwise(F.lit(0))
-
-    counts = [gated(sign, p) for sign, p in zip("%x$", L.ACHIEVEMENT_FIGURES)]
-    counts.append(count_of(folded, f"(?:{any_verb})\\b"))
-    counts += [gated(v, v + r"\b") for v in nested]
-    return F.least(total(counts), F.lit(50))
+    table = constant(
+        [{"part": sign, "pattern": p} for sign, p in zip("%x$", L.ACHIEVEMENT_FIGURES)]
+        + [{"part": v, "pattern": v + r"\b"} for v in L.ACHIEVEMENT_VERBS],
+        "array<struct<part:string,pattern:string>>")
+
+    def counted(t: Column) -> Column:
+        return F.aggregate(
+            F.filter(table, lambda x: F.contains(t, x.part)), F.lit(0),
+            lambda n, x: n + F.regexp_count(t, x.pattern))
+
+    return F.least(let(folded, counted), F.lit(50))
 
 
 def certification_count(folded: Column) -> Column:

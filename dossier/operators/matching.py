@@ -55,13 +55,16 @@ def match_terms(docs: DataFrame, dim: DataFrame, key: str = "doc_id",
     """
     # explode_outer: the plain form would evaluate the words a second time in a filter
     words = F.explode_outer(F.array_distinct(F.regexp_extract_all("folded", F.lit(WORD))))
-    present = F.rlike("folded", F.col("pattern"))
+    # a word met as a whole word is present; only longer terms need a look at the text
+    present = (F.col("term_lc") == F.col("first_token")) | (
+        F.contains("folded", F.col("term_lc")) & F.rlike("folded", F.col("pattern")))
     out = [key, "kind", "term"]
     if rows_within(dim, limit):
         return (docs.select(key, "folded", words.alias("first_token"))
                 .join(F.broadcast(dim), "first_token").filter(present).select(*out))
     candidates = (docs.select(key, words.alias("first_token"))
-                  .join(dim, "first_token").select(*out, "pattern"))
+                  .join(dim, "first_token")
+                  .select(*out, "pattern", "term_lc", "first_token"))
     return (candidates.join(docs.select(key, "folded"), key).filter(present).select(*out))
 
 

@@ -121,9 +121,9 @@ def describe(df: DataFrame, cols: list[str], exact_rows: int = EXACT_ROWS) -> Da
              "min": lambda c: F.min(c.cast("double")), "max": lambda c: F.max(c.cast("double"))}
     quart = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
     if df.limit(exact_rows + 1).count() <= exact_rows:
-        def pct(p):
-            return lambda c: F.percentile(c.cast("double"), p)
-        return _long(df, cols, {**basic, **{m: pct(p) for m, p in quart.items()}})
+        found = _long(df, cols, {**basic, "q": lambda c: F.percentile(
+            c.cast("double"), list(quart.values()))})
+        return found.select("*", *[F.get("q", F.lit(i)).alias(m) for i, m in enumerate(quart)]).drop("q")
     found = {c: exact_quantiles(df, c, list(quart.values()), exact_rows) for c in cols}
 
     def known(m):
