@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,23 +136,32 @@ def relevant_categories(target_folded: Column, categories=None) -> Column:
         F.filter(table, lambda c: F.arrays_overlap(ws, c.tokens)), lambda c: c["name"]))
 
 
+def mentioned_roles(folded: Column, categories=None) -> Column:
+    """Array of (category, role) for every role that occurs as a substring.
+
+    Roles share few last words, so those are looked for first.
+    """
+    by_last = defaultdict(list)
+    for name, roles in (categories or L.JOB_CATEGORIES).items():
+        for role in roles:
+            by_last[role.lower().split()[-1]].append(
+                {"category": name, "role": role, "low": role.lower()})
+    table = X.constant(
+        [{"last": last, "roles": roles} for last, roles in by_last.items()],
+        "array<struct<last:string,roles:array<struct<category:string,role:string,low:string>>>>")
+    return let(folded, lambda t: F.flatten(F.transform(
+        F.filter(table, lambda x: F.contains(t, x["last"])),
+        lambda x: F.filter(x["roles"], lambda r: F.contains(t, r["low"])))))
+
+
 def mentioned_categories(folded: Column, categories=None) -> Column:
     """Categories with a role that occurs in the text as a substring."""
-    table = X.constant(
-        [{"name": name, "roles": [r.lower() for r in roles]}
-         for name, roles in (categories or L.JOB_CATEGORIES).items()],
-        "array<struct<name:string,roles:array<string>>>")
-    return let(folded, lambda t: F.transform(
-        F.filter(table, lambda c: F.exists(c.roles, lambda r: F.contains(t, r))),
-        lambda c: c["name"]))
+    return F.array_distinct(F.transform(
+        mentioned_roles(folded, categories), lambda r: r["category"]))
 
 
 def role_mentions(docs: DataFrame, categories=None, key: str = "doc_id") -> DataFrame:
     """(key, category, role) for every role found in the text as a substring."""
-    table = X.constant(
-        [{"category": name, "role": role}
-         for name, roles in (categories or L.JOB_CATEGORIES).items() for role in roles],
-        "array<struct<category:string,role:string>>")
-    found = let(F.col("folded"), lambda t: F.filter(
-        table, lambda r: F.contains(t, F.lower(r.role))))
-    return docs.select(key, F.inline_outer(found)).filter(F.col("role").isNotNull())
+    found = mentioned_roles(F.col("folded"), categories)
+    return docs.select(key, F.inline_outer(found)).select(key, "category", "role").filter(
+        F.col("role").isNotNull())
