@@ -19,7 +19,7 @@ def items(spark, d):
 
 
 PROGRESS_SQL = f"""WITH i AS (SELECT {_JOB} AS job_id, {_STATUS} AS status, ts FROM events),
-g AS (SELECT job_id, count_if(status <> 'pending') AS completed, count_if(status = 'error') AS errors, count(*) AS total, min(ts) AS created_at FROM i GROUP BY job_id),
+g AS (SELECT job_id, count(CASE WHEN status <> 'pending' THEN 1 END) AS completed, count(CASE WHEN status = 'error' THEN 1 END) AS errors, count(*) AS total, min(ts) AS created_at FROM i GROUP BY job_id),
 p AS (SELECT *, CAST(round(completed * 100.0 / total) AS BIGINT) AS progress, CASE WHEN completed >= total THEN 'completed' ELSE 'processing' END AS status FROM g)"""
 
 

@@ -223,8 +223,8 @@ def years_experience(spans_expr: str, claimed: str) -> str:
 
 
 def overlap_pairs(spans_expr: str) -> str:
-    return (f"coalesce(list_sum(list_transform({spans_expr}, lambda a, i: len(list_filter("
-            f"{spans_expr}, lambda b, j: j < i AND a.s < b.e)))), 0)")
+    return (f"CAST(coalesce(list_sum(list_transform({spans_expr}, lambda a, i: len(list_filter("
+            f"{spans_expr}, lambda b, j: j < i AND a.s < b.e)))), 0) AS BIGINT)")
 
 
 def mentioned_years(f: str) -> str:

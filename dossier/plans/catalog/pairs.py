@@ -93,7 +93,7 @@ def stuffing(spark, d):
 
 
 @query("m12_pairing", f"WITH {I.DOCUMENTS_SQL}, {I.TARGETS_SQL} SELECT job_id, count(*) AS n_documents, "
-       "sum(length(text)) AS chars FROM docs JOIN targets USING (job_id) GROUP BY job_id")
+       "CAST(sum(length(text)) AS BIGINT) AS chars FROM docs JOIN targets USING (job_id) GROUP BY job_id")
 def pairing(spark, d):
     left = I.documents(spark, d).select("job_id", F.length("text").alias("chars"))
     return P.pair(left, I.document_targets(spark, d).select("job_id")).groupBy("job_id").agg(
@@ -228,8 +228,8 @@ def screen(spark, d):
         "prob_0", "prob_1", "prob_2")
 
 
-@query("a13_label_summary", f"""{SCREEN_SQL} SELECT job_id, count_if(classification = 'Authentic') AS authentic, count_if(classification = 'Suspicious') AS suspicious,
- count_if(classification = 'Potentially Fake') AS potentially_fake, count_if(classification = 'Not a Resume') AS not_a_resume, 0 AS errors FROM screened GROUP BY job_id""")
+@query("a13_label_summary", f"""{SCREEN_SQL} SELECT job_id, count(CASE WHEN classification = 'Authentic' THEN 1 END) AS authentic, count(CASE WHEN classification = 'Suspicious' THEN 1 END) AS suspicious,
+ count(CASE WHEN classification = 'Potentially Fake' THEN 1 END) AS potentially_fake, count(CASE WHEN classification = 'Not a Resume' THEN 1 END) AS not_a_resume, 0 AS errors FROM screened GROUP BY job_id""")
 def summary(spark, d):
     return ranking.label_summary(screened(spark, d))
 

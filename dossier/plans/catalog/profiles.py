@@ -49,8 +49,8 @@ def describe(spark, d):
 _GAPPY = "CASE WHEN event_type <> 'error' THEN value END"
 
 
-@query("a4_null_counts", f"""SELECT 'value' AS feature, count_if({_GAPPY} IS NULL) AS nulls FROM events
-UNION ALL SELECT 'props' AS feature, count_if(props IS NULL) AS nulls FROM events""")
+@query("a4_null_counts", f"""SELECT 'value' AS feature, count(CASE WHEN {_GAPPY} IS NULL THEN 1 END) AS nulls FROM events
+UNION ALL SELECT 'props' AS feature, count(CASE WHEN props IS NULL THEN 1 END) AS nulls FROM events""")
 def nulls(spark, d):
     t = I.table(spark, d, "events").select(F.expr(_GAPPY).alias("value"), "props")
     return profiling.null_counts(t, ["value", "props"])
@@ -96,8 +96,8 @@ def confusion(spark, d):
     return profiling.confusion(_predictions(spark, d), "y", "yhat")
 
 
-@query("a8_confusion_matrix", f"""{_PRED} SELECT y, count_if(yhat = 0) AS pred_0, count_if(yhat = 1) AS pred_1,
- count_if(yhat = 2) AS pred_2 FROM p GROUP BY y""")
+@query("a8_confusion_matrix", f"""{_PRED} SELECT y, count(CASE WHEN yhat = 0 THEN 1 END) AS pred_0, count(CASE WHEN yhat = 1 THEN 1 END) AS pred_1,
+ count(CASE WHEN yhat = 2 THEN 1 END) AS pred_2 FROM p GROUP BY y""")
 def matrix(spark, d):
     return profiling.confusion_matrix(_predictions(spark, d), "y", "yhat", [0, 1, 2])
 

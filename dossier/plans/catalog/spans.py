@@ -94,7 +94,7 @@ def _with_years(spark, d):
     return profiles(spark, d).select("doc_id", "folded", S.mentioned_years(folded()).alias("ys"))
 
 
-@query("i5_year_gaps", f"{_years} SELECT doc_id, len({_steps}) AS gap_count, coalesce(list_sum({_steps}), 0) AS total_gap_years FROM y")
+@query("i5_year_gaps", f"{_years} SELECT doc_id, len({_steps}) AS gap_count, CAST(coalesce(list_sum({_steps}), 0) AS BIGINT) AS total_gap_years FROM y")
 def gaps(spark, d):
     g = S.year_gaps(F.col("ys"))
     return _with_years(spark, d).select("doc_id", g.gap_count.alias("gap_count"), g.total_gap_years.alias("total_gap_years"))
@@ -104,7 +104,7 @@ ORDER_YEARS = "SELECT DISTINCT o_custkey AS doc_id, year(o_orderdate) AS year FR
 
 
 @query("i5_year_gaps_table", f"""WITH y AS ({ORDER_YEARS}), g AS (SELECT doc_id, year - lag(year) OVER (PARTITION BY doc_id ORDER BY year) AS step FROM y)
-SELECT doc_id, count(CASE WHEN step > 2 THEN 1 END) AS gap_count, coalesce(sum(CASE WHEN step > 2 THEN step END), 0) AS total_gap_years FROM g GROUP BY doc_id""")
+SELECT doc_id, count(CASE WHEN step > 2 THEN 1 END) AS gap_count, CAST(coalesce(sum(CASE WHEN step > 2 THEN step END), 0) AS BIGINT) AS total_gap_years FROM g GROUP BY doc_id""")
 def gaps_table(spark, d):
     return ST.year_gaps(order_years(spark, d))
 

@@ -113,7 +113,7 @@ text_query("t9_education_context", lambda f, text: {"context": X.education_conte
            {"context": D.education_context("f")}, "profiles")
 
 
-@query("t10_language_counts", "SELECT lang, count(*) AS n, sum(length(text)) AS chars FROM documents GROUP BY lang")
+@query("t10_language_counts", "SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang")
 def languages(spark, d):
     return I.table(spark, d, "documents").groupBy("lang").agg(
         F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
@@ -225,7 +225,7 @@ t AS (SELECT doc_id, x[1] AS pos, x[2] AS tok FROM (SELECT doc_id, unnest(z) AS
 one AS (SELECT doc_id, tok AS term FROM t),
 two AS (SELECT a.doc_id, a.tok || ' ' || c.tok AS term FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 AND b.tok = ' '
   JOIN t c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2)
-SELECT term, count(DISTINCT doc_id) AS n_docs, sum(doc_id) AS doc_sum FROM
+SELECT term, count(DISTINCT doc_id) AS n_docs, CAST(sum(doc_id) AS BIGINT) AS doc_sum FROM
   (SELECT DISTINCT doc_id, term FROM (SELECT * FROM one UNION ALL SELECT * FROM two) SEMI JOIN p USING (term)) GROUP BY term""")
 def term_matching(spark, d):
     dim = M.term_dimension(_phrases(spark, d))
