@@ -125,6 +125,22 @@ def nearest_seed(vectors: DataFrame, seeds: DataFrame, threshold: float = 0.82,
         (F.col("_best.sim") > threshold).alias("admitted"))
 
 
+def admit_phrases(phrases: DataFrame, matched: DataFrame, dim: DataFrame, seeds: DataFrame,
+                  key: str = "doc_id", threshold: float = 0.82) -> DataFrame:
+    """(key, term): new terms of documents in which no known term was found.
+
+    ``phrases`` holds (key, phrase, vec).  A phrase of 3 to 25 characters that is not in the
+    dictionary is admitted when it is close enough to a seed; it is title-cased.
+    """
+    text = F.lower(F.trim("phrase"))
+    fresh = (phrases.withColumn("term_lc", text)
+             .filter(F.length("term_lc").between(3, 25))
+             .join(dim.select("term_lc").distinct(), "term_lc", "left_anti")
+             .join(matched.select(key).distinct(), key, "left_anti"))
+    close = nearest_seed(fresh, seeds, threshold).filter("admitted")
+    return close.select(key, F.initcap("term_lc").alias("term")).distinct()
+
+
 def relevant_categories(target_folded: Column, categories=None) -> Column:
     """Categories with a role that shares a whitespace token with the target."""
     table = X.constant(

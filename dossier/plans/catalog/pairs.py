@@ -131,7 +131,8 @@ def cosines(spark, d):
         "vec_id", "label", F.round(cosine(F.col("embedding"), F.col("seed")), 6).alias("cos"))
 
 
-@query("m4_embed")
+@query("m4_embed", f"WITH f AS (SELECT doc_id, {D.fold('text')} AS f FROM documents) SELECT doc_id, 256 AS dims, "
+       f"CASE WHEN len({D.content_words('f')}) > 0 THEN 1e0 ELSE 0e0 END AS norm FROM f")
 def embed(spark, d):
     words = docs(spark, d).select("doc_id", X.content_words(folded()).alias("words"))
     vecs, _ = training.embed(words, "words")
@@ -298,6 +299,15 @@ def preview(spark, d):
         F.col("years"), F.col("jobs"), F.col("edu"), F.col("grad"), F.col("skills")).alias("preview"))
 
 
-@query("p6_result_payload")
+@query("p6_result_payload", f"""{SCREEN_SQL} SELECT doc_id, job_id, CASE WHEN likeness >= 45 THEN label ELSE 'Not a Resume' END AS classification,
+ final_match_score, len(list_intersect(skills, target_skills)) AS match_count, CAST(num_skills AS DOUBLE) AS num_skills FROM judged""")
 def payload(spark, d):
-    return ranking.result_struct(screened(spark, d)).select("doc_id", "job_id", "full_results")
+    """Fields read back from the stored JSON payload."""
+    def field(path):
+        return F.get_json_object("full_results", path)
+
+    return ranking.result_struct(screened(spark, d)).select("doc_id", "job_id", "full_results").select(
+        "doc_id", "job_id", field("$.classification.classification").alias("classification"),
+        field("$.scores.final_match_score").cast("double").alias("final_match_score"),
+        field("$.skills.match_count").cast("int").alias("match_count"),
+        field("$.validation.num_skills").cast("double").alias("num_skills"))

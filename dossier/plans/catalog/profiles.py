@@ -87,40 +87,40 @@ _YHAT = "CASE WHEN o_totalprice < 150000 THEN 0 WHEN o_totalprice < 330000 THEN
 _PRED = f"WITH p AS (SELECT {_Y} AS y, {_YHAT} AS yhat FROM orders)"
 
 
-def _predictions(spark, d):
+def predictions(spark, d):
     return I.table(spark, d, "orders").select(F.expr(_Y).alias("y"), F.expr(_YHAT).alias("yhat"))
 
 
 @query("a8_confusion", f"{_PRED} SELECT y, yhat, count(*) AS n FROM p GROUP BY y, yhat")
 def confusion(spark, d):
-    return profiling.confusion(_predictions(spark, d), "y", "yhat")
+    return profiling.confusion(predictions(spark, d), "y", "yhat")
 
 
 @query("a8_confusion_matrix", f"""{_PRED} SELECT y, count(CASE WHEN yhat = 0 THEN 1 END) AS pred_0, count(CASE WHEN yhat = 1 THEN 1 END) AS pred_1,
  count(CASE WHEN yhat = 2 THEN 1 END) AS pred_2 FROM p GROUP BY y""")
 def matrix(spark, d):
-    return profiling.confusion_matrix(_predictions(spark, d), "y", "yhat", [0, 1, 2])
+    return profiling.confusion_matrix(predictions(spark, d), "y", "yhat", [0, 1, 2])
 
 
-_REPORT = f"""{_PRED}, l AS (SELECT unnest([0, 1, 2]) AS label),
+REPORT_SQL = f"""{_PRED}, l AS (SELECT unnest([0, 1, 2]) AS label),
 c AS (SELECT label, count_if(y = label AND yhat = label) AS tp, count_if(y = label) AS support, count_if(yhat = label) AS predicted FROM p, l GROUP BY label),
 m AS (SELECT *, {D.share('tp', 'predicted')} AS p1, {D.share('tp', 'support')} AS r1 FROM c),
 f AS (SELECT label, tp, support, p1 AS precision, r1 AS recall, {D.share('2e0 * p1 * r1', '(p1 + r1)')} AS f1 FROM m)"""
 
 
-@query("a9_classification_report", f"""{_REPORT}, u AS (SELECT CAST(label AS VARCHAR) AS section, precision, recall, f1, support FROM f
+@query("a9_classification_report", f"""{REPORT_SQL}, u AS (SELECT CAST(label AS VARCHAR) AS section, precision, recall, f1, support FROM f
 UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM f
 UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM f)
 SELECT section, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM u""")
 def report(spark, d):
-    out = profiling.classification_report(_predictions(spark, d), "y", "yhat")
+    out = profiling.classification_report(predictions(spark, d), "y", "yhat")
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
-@query("a10_scores", f"{_REPORT} SELECT round(sum(tp) / CAST(sum(support) AS DOUBLE), 6) AS accuracy, "
+@query("a10_scores", f"{REPORT_SQL} SELECT round(sum(tp) / CAST(sum(support) AS DOUBLE), 6) AS accuracy, "
        "round(sum(f1 * support) / sum(support), 6) AS f1_weighted, CAST(sum(support) AS BIGINT) AS n FROM f")
 def scores(spark, d):
-    out = profiling.scores(_predictions(spark, d), "y", "yhat")
+    out = profiling.scores(predictions(spark, d), "y", "yhat")
     return out.withColumns({c: F.round(c, 6) for c in ("accuracy", "f1_weighted")})
 
 

@@ -9,6 +9,7 @@ from dossier import schemas
 from dossier.operators import profiling
 from dossier.plans import inputs as I
 from dossier.plans.catalog import query
+from dossier.plans.catalog.profiles import REPORT_SQL, importance, predictions
 from dossier.sources import files, store
 
 # events as stored analyses: the user is the owner, the time of the event its creation
@@ -130,11 +131,19 @@ def export(spark, d):
     return store.export_rows(analyses(spark, d), "user5")
 
 
-@query("s12_metrics_long")
-def metrics(spark, d):
-    from dossier.plans.catalog.profiles import _predictions, importance
+_PER = ("SELECT '1b' AS section, CAST(label AS VARCHAR) || '.{0}' AS name, round({0}, 6) AS value FROM f "
+        "UNION ALL SELECT '1b', 'macro avg.{0}', round(avg({0}), 6) FROM f "
+        "UNION ALL SELECT '1b', 'weighted avg.{0}', round(sum({0} * support) / sum(support), 6) FROM f")
+_WEIGHT = "SELECT '2', '{0}', round(abs(corr({0}, l_extendedprice)), 6) FROM lineitem"
+
 
-    p = _predictions(spark, d)
+@query("s12_metrics_long", f"{REPORT_SQL} " + " UNION ALL ".join(
+    [_PER.format(c) for c in ("precision", "recall", "f1")]
+    + ["SELECT '1', 'accuracy', round(sum(tp) / CAST(sum(support) AS DOUBLE), 6) FROM f",
+       "SELECT '1', 'f1_weighted', round(sum(f1 * support) / sum(support), 6) FROM f"]
+    + [_WEIGHT.format(c) for c in ("l_quantity", "l_discount", "l_tax")]))
+def metrics(spark, d):
+    p = predictions(spark, d)
     return store.metrics_long(profiling.scores(p, "y", "yhat"),
                               profiling.classification_report(p, "y", "yhat"), importance(spark, d))
 

@@ -158,3 +158,14 @@ def test_embedding_is_unit_length(spark):
     for r in vecs.collect():
         norm = sum(v * v for v in r.vec)
         assert abs(norm - (1.0 if r.words else 0.0)) < 1e-5
+
+
+def test_admit_phrases(spark):
+    phrases = spark.createDataFrame(
+        [(1, "quantum chips", [1.0, 0.0]), (1, "far away", [0.0, 1.0]), (2, "quantum chips", [1.0, 0.0]),
+         (1, "Python", [1.0, 0.0]), (1, "ab", [1.0, 0.0])], "doc_id INT, phrase STRING, vec ARRAY<DOUBLE>")
+    seeds = spark.createDataFrame([(0, [0.9, 0.1])], "seed_id INT, vec ARRAY<DOUBLE>")
+    matched = spark.createDataFrame([(2,)], "doc_id INT")
+    dim = matching.term_dimension(matching.builtin_terms(spark, SKILLS))
+    out = matching.admit_phrases(phrases, matched, dim, seeds)
+    assert [tuple(r) for r in out.collect()] == [(1, "Quantum Chips")]
