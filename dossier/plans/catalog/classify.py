@@ -11,7 +11,8 @@ from dossier.operators import features, pairing, profiling, ranking, training, v
 from dossier.plans import inputs as I
 from dossier.plans.catalog import duck as D
 from dossier.plans.catalog import query
-from dossier.plans.catalog.text import docs, folded
+from dossier.plans.catalog.text import folded
+from dossier.session import cut_lineage
 
 # feature rows from order lines: every line gets the four features the rules read
 _COLS = {"match": "l_quantity / 50", "generic": "l_discount * 8", "stuffing": "l_tax * 10",
@@ -196,8 +197,6 @@ def labelled(spark, d):
 
 
 def _split(spark, d):
-    from dossier.session import cut_lineage
-
     data = cut_lineage(labelled(spark, d))
     both = training.stratified_split(data, "label", "doc_id")
     return both.filter("is_train"), both.filter("not is_train")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dossier import lexicon as L
 from dossier.functions import sets
+from dossier.functions import spans as S
 from dossier.functions import text as X
 from dossier.functions.terms import TermSet, extract_skills, normalize_aliases
 from dossier.functions.vectors import cosine
@@ -18,6 +19,7 @@ from dossier.plans.catalog import duck as D
 from dossier.plans.catalog import query
 from dossier.plans.catalog.text import (
     PROFILES, SKILLS, SKILLS_CTE, docs, folded, postings, profiles)
+from dossier.session import cut_lineage
 
 Y = I.AS_OF
 
@@ -37,7 +39,8 @@ def brand_pairs(spark, d):
              F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("job_id"), "l_partkey"),
              "o_orderkey")
          .join(I.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
-         .select("doc_id", "job_id", "p_brand"))
+         .select("doc_id", "job_id", "p_brand").distinct())
+    t = cut_lineage(t)  # three aggregates read it: the joins run once
     have = t.groupBy("doc_id").agg(F.array_sort(F.collect_set("p_brand")).alias("have"))
     want = t.groupBy("job_id").agg(F.array_sort(F.collect_set("p_brand")).alias("want"))
     return t.select("doc_id", "job_id").distinct().join(have, "doc_id").join(want, "job_id")
@@ -244,8 +247,6 @@ def alignment(spark, d):
 
 @query("m11_experience_relevance", f"{FACTS_SQL}, {TARGETS_SQL} SELECT doc_id, job_id, {_exp} AS relevance FROM d3 JOIN j3 USING (job_id)")
 def relevance(spark, d):
-    from dossier.functions import spans as S
-
     left = profiles(spark, d).select(
         "doc_id", "job_id", S.text_years_experience(folded(), Y).alias("years"),
         M.mentioned_categories(folded()).alias("mentioned"))
@@ -256,8 +257,6 @@ def relevance(spark, d):
 
 @query("m13_skill_density", f"{FACTS_SQL} SELECT doc_id, skill_density FROM d3")
 def density(spark, d):
-    from dossier.functions import spans as S
-
     staged = profiles(spark, d).select(
         "doc_id", F.size(extract_skills(folded(), SKILLS)).alias("n"),
         S.text_years_experience(folded(), Y).alias("years"), X.word_count(folded()).alias("words"))
@@ -289,8 +288,6 @@ b AS (SELECT *, {D.years_experience('sp', 'claimed')} AS years FROM a)
 SELECT doc_id, 'Experience: ~' || CAST(years AS VARCHAR) || ' years' || chr(10) || 'Past Roles: ' || {_listing('jobs', 3, 1)} || chr(10) || 'Education: ' ||
  {_listing('edu', 3, 1)} || ' (Class of ' || grad || ')' || chr(10) || chr(10) || 'Top Skills: ' || {_listing('skills', 10, None)} AS preview FROM b""")
 def preview(spark, d):
-    from dossier.functions import spans as S
-
     staged = profiles(spark, d).select(
         "doc_id", extract_skills(folded(), SKILLS).alias("skills"), _EDU.hits(folded()).alias("edu"),
         _TITLES.hits(folded()).alias("jobs"), S.text_years_experience(folded(), Y).alias("years"),
