@@ -39,9 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="dossier-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return tempfile.mkdtemp(prefix="dossier-checkpoint-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
