@@ -4,16 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossier.llm import exact_dedup
+from dossier.llm import exact_dedup, queries, repeats, simhash, toxicity
 from dossier.llm.common import table, written
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain calls toxic go."""
+    labels, categories = toxicity.categories_of(table(spark, sf_dir, "labels"))
+    return toxicity.reject(docs, toxicity.train(docs, labels, categories))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of equal texts stays."""
     return exact_dedup.exact_dedup(docs)
 
 
-STAGES = [("exact_dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of linked fingerprints stays."""
+    return simhash.near_dedup(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that stand earlier in the corpus are cut out."""
+    return repeats.cut_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return queries.packed(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("simhash", drop_near_copies),
+    ("suffix_array", cut_repeats),
+    ("packing", pack),
+]
 
 # the first stage is a trained classifier, which SQL cannot express
 ORACLE_SQL = None

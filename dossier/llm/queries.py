@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, exact_dedup, packing, repeats, simhash
+from dossier.llm import bpe, exact_dedup, packing, repeats, simhash, toxicity
 from dossier.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The pieces of the packed sequences, their ids as a checksum."""
+    return packing.pack(docs, BYTE_VOCABULARY).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset")
+
+
 @query("op1_exact_dedup", """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                     'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -44,11 +51,21 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the chain's categories, and the documents that ``toxic`` rejects."""
+    docs = table(spark, sf_dir, "documents")
+    labels, categories = toxicity.categories_of(table(spark, sf_dir, "labels"))
+    chain = toxicity.train(docs, labels, categories)
+    cut = chain.cuts[categories.index("toxic")]
+    return toxicity.score(docs, chain).select(
+        "doc_id", *[F.round(f"p_{c}", 9).alias(f"p_{c}") for c in categories],
+        (F.col("p_toxic") >= cut).alias("toxic"))
+
+
 @query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), BYTE_VOCABULARY).select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
-        "sequence_id", "offset")
+    return packed(table(spark, sf_dir, "documents"))
 
 
 @query("op7_suffix_array")
