@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, exact_dedup, neighbours, packing, repeats, simhash, toxicity
+from dossier.llm import bpe, exact_dedup, lines, neighbours, packing, repeats, simhash, toxicity
 from dossier.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -42,6 +42,41 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+@query("op2_line_dedup", """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos
+           FROM documents),
+c AS (SELECT doc_id, pos, trim(line) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS s
+      FROM l WHERE trim(line) <> ''),
+w AS (SELECT a.doc_id, a.s, a.pos AS first, z.pos AS last,
+             a.t || chr(10) || b.t || chr(10) || z.t AS content
+      FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.s = a.s + 1
+      JOIN c z ON z.doc_id = a.doc_id AND z.s = a.s + 2),
+later AS (SELECT * FROM w
+          QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, s) > 1),
+apart AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 3
+                    THEN 0 ELSE 1 END AS new FROM later),
+island AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM apart),
+runs AS (SELECT doc_id, min(first) AS first, max(last) AS last FROM island GROUP BY doc_id, n),
+counts AS (SELECT doc_id, count(*) AS n_runs FROM runs GROUP BY doc_id),
+kept AS (SELECT l.doc_id, count(*) AS n_kept, string_agg(l.line, chr(10) ORDER BY l.pos) AS text
+         FROM l WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = l.doc_id
+                                  AND l.pos BETWEEN r.first AND r.last) GROUP BY l.doc_id)
+SELECT d.doc_id, len(string_split(coalesce(d.text, ''), chr(10))) AS n_lines,
+       len(string_split(coalesce(d.text, ''), chr(10))) - coalesce(k.n_kept, 0) AS n_removed,
+       coalesce(n.n_runs, 0) AS n_runs, sha256(coalesce(k.text, '')) AS text_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN counts n USING (doc_id)""")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its later repeated runs of lines."""
+    removed = F.aggregate("removed_runs", F.lit(0), lambda n, r: n + r.last - r.first + 1)
+    before = F.size(F.split(F.coalesce("whole", F.lit("")), "\n", -1))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("whole"))
+    return lines.cut_runs(docs).select(
+        "doc_id", before.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"),
+        F.size("removed_runs").cast("long").alias("n_runs"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 @query("op3_bpe")
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
