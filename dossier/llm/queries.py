@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, exact_dedup, lines, neighbours, packing, repeats, simhash, toxicity
+from dossier.llm import (
+    bpe, counting, exact_dedup, lines, neighbours, packing, repeats, simhash, threads, toxicity)
 from dossier.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -116,3 +117,37 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op8_chat", """
+WITH m AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+own AS (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS words,
+               turn - CASE WHEN (conv_id + turn) % 3 = 0 AND turn > 1 THEN 2 ELSE 1 END AS quoted
+        FROM m),
+linked AS (SELECT a.conv_id, a.turn, max(b.turn) AS parent FROM own a
+           JOIN own q ON q.conv_id = a.conv_id AND q.turn = a.quoted AND q.words <> ''
+           JOIN own b ON b.conv_id = a.conv_id AND b.turn < a.turn AND b.words = q.words
+           GROUP BY a.conv_id, a.turn),
+tree AS (
+  SELECT conv_id, turn, CAST(NULL AS BIGINT) AS parent, turn AS root, 0 AS depth FROM own
+  WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM linked)
+  UNION ALL
+  SELECT l.conv_id, l.turn, l.parent, t.root, t.depth + 1 FROM linked l
+  JOIN tree t ON t.conv_id = l.conv_id AND t.turn = l.parent)
+SELECT o.conv_id, o.turn, o.role, t.parent, t.root, t.depth,
+       sha256('<|' || o.role || '|>' || chr(10) || trim(o.text) || chr(10) || '<|end|>' || chr(10))
+         AS formatted_sha256
+FROM own o JOIN tree t USING (conv_id, turn)""".replace("WITH m", "WITH RECURSIVE m", 1))
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table holds no quotations, so its turns are first written as mail that quotes."""
+    mail = threads.as_mail(table(spark, sf_dir, "conversations"))
+    return threads.conversations(mail).select(
+        "conv_id", "turn", "role", "parent", "root", "depth",
+        F.sha2(F.col("formatted").cast("binary"), 256).alias("formatted_sha256"))
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the source, the language and every line of every document."""
+    return counting.count_tokens(table(spark, sf_dir, "documents"), BYTE_VOCABULARY,
+                                 ["source", "lang", "text"], by_line=["text"])
