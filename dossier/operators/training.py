@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import HashingTF, IDF, Normalizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, IDF, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -190,20 +190,43 @@ def path_contributions(model, features, label: Column) -> Column:
                            F.get(x.steps, label).alias("contribution")))
 
 
+def word_buckets(words: Column, size: int) -> Column:
+    """The hash bucket of every word, as text: MD5, so that any engine can repeat it."""
+    return F.transform(words, lambda w: F.pmod(
+        F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("int"), F.lit(size)).cast("string"))
+
+
+def fit_encoder(docs: DataFrame, words: str, size: int = 256) -> PipelineModel:
+    """Inverse document frequencies of hashed words, learned in one pass over ``docs``."""
+    hashed = docs.select(word_buckets(F.col(words), size).alias("_b"))
+    counts = CountVectorizerModel.from_vocabulary(
+        [str(b) for b in range(size)], inputCol="_b", outputCol="_tf")
+    return Pipeline(stages=[counts, IDF(inputCol="_tf", outputCol="_idf"),
+                            Normalizer(inputCol="_idf", outputCol="_unit")]).fit(hashed)
+
+
 def embed(docs: DataFrame, words: str, out: str = "vec", size: int = 256,
           model: PipelineModel | None = None) -> tuple[DataFrame, PipelineModel]:
     """Unit vectors from hashed word counts weighted by inverse document frequency.
 
-    Any other encoder can take its place: the scores need an array column only.
-    Returns the documents with ``out`` (array of float) and the fitted weights.
+    ``words`` is an array of words, or of (w, c) entries for words with their counts.  Any other
+    encoder can take its place: the scores need an array column only.  Returns the
+    documents with ``out`` (array of double) and the fitted weights.
     """
+    counted = "struct" in dict(docs.dtypes)[words]
     if model is None:
-        model = Pipeline(stages=[
-            HashingTF(inputCol=words, outputCol="_tf", numFeatures=size),
-            IDF(inputCol="_tf", outputCol="_idf"),
-            Normalizer(inputCol="_idf", outputCol="_unit")]).fit(docs)
-    done = model.transform(docs).withColumn(out, vector_to_array("_unit", "float32"))
-    return done.drop("_tf", "_idf", "_unit"), model
+        source = docs if not counted else docs.select(
+            F.transform(words, lambda x: x.w).alias(words))
+        model = fit_encoder(source, words, size)
+    size = len(model.stages[0].vocabulary)
+    if counted:
+        hashed = F.flatten(F.zip_with(
+            word_buckets(F.transform(words, lambda x: x.w), size), F.col(words),
+            lambda b, x: F.array_repeat(b, x.c)))
+    else:
+        hashed = word_buckets(F.col(words), size)
+    done = model.transform(docs.withColumn("_b", hashed))
+    return done.withColumn(out, vector_to_array("_unit")).drop("_b", "_tf", "_idf", "_unit"), model
 
 
 def embed_distinct(docs: DataFrame, text: str, encode) -> DataFrame:
@@ -213,6 +236,6 @@ def embed_distinct(docs: DataFrame, text: str, encode) -> DataFrame:
     not on their content.
     """
     keyed = docs.withColumn("_k", F.sha2(F.col(text), 256))
-    distinct = keyed.groupBy("_k").agg(F.any_value(text).alias(text))
-    vectors = encode(distinct).select("_k", "vec")
+    distinct = keyed.groupBy("_k").agg(F.any_value(text).alias(text)).select(text)
+    vectors = encode(distinct).select(F.sha2(F.col(text), 256).alias("_k"), "vec")
     return keyed.join(vectors, "_k", "left").drop("_k")

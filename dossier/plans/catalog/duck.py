@@ -346,3 +346,17 @@ def probs_ctes(source: str, out: str = "judged") -> str:
   ELSE 'Potentially Fake' END AS label,
   {r4('CASE WHEN p0 >= 8e-1 THEN p0 WHEN p0 >= 5e-1 THEN greatest(p1, p0) WHEN p2 > p0 THEN p2 ELSE 1e0 - p0 END')}
   AS conf, {r4('p0')} AS r0, {r4('p1')} AS r1, {r4('p2')} AS r2 FROM {out}_b)"""
+
+
+def hashed_ctes(source: str, key: str, words: str, out: str, fitted: str | None = None,
+                size: int = 256) -> str:
+    """``out`` (key, b, x): unit vectors of hashed words; frequencies from ``source``, or from
+    the ones that made ``fitted``."""
+    own = "" if fitted else f"""{out}_idf AS (SELECT b, ln(((SELECT count(*) FROM {source}) + 1e0) / (count(*) + 1e0)) AS w,
+  (SELECT count(*) FROM {source}) AS n FROM {out}_tf GROUP BY b), """
+    idf = f"{fitted or out}_idf"
+    return f"""{out}_tf AS (SELECT {key}, ('0x' || substr(md5(t), 1, 7))::BIGINT % {size} AS b, count(*) AS tf
+  FROM (SELECT {key}, unnest({words}) AS t FROM {source}) GROUP BY ALL), {own}
+{out}_raw AS (SELECT {key}, b, tf * coalesce(w, ln((SELECT max(n) FROM {idf}) + 1e0)) AS y FROM {out}_tf LEFT JOIN {idf} USING (b)),
+{out}_norm AS (SELECT {key}, sqrt(sum(y * y)) AS norm FROM {out}_raw GROUP BY {key}),
+{out} AS MATERIALIZED (SELECT {key}, b, CASE WHEN norm > 0 THEN y / norm ELSE 0e0 END AS x FROM {out}_raw JOIN {out}_norm USING ({key}))"""

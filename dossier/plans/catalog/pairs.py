@@ -134,23 +134,33 @@ def cosines(spark, d):
         "vec_id", "label", F.round(cosine(F.col("embedding"), F.col("seed")), 6).alias("cos"))
 
 
-@query("m4_embed", f"WITH f AS (SELECT doc_id, {D.fold('text')} AS f FROM documents) SELECT doc_id, 256 AS dims, "
-       f"CASE WHEN len({D.content_words('f')}) > 0 THEN 1e0 ELSE 0e0 END AS norm FROM f")
+WORDS_SQL = f"""WITH f AS (SELECT doc_id, text, {D.fold('text')} AS f FROM documents),
+c AS MATERIALIZED (SELECT doc_id, text, {D.content_words('f')} AS words FROM f)"""
+
+
+def _components(df):
+    """The components that are not zero, one row each."""
+    return df.select("doc_id", F.posexplode("vec").alias("bucket", "x")).filter("x <> 0").select(
+        "doc_id", "bucket", F.round("x", 6).alias("x"))
+
+
+@query("m4_embed", f"{WORDS_SQL}, {D.hashed_ctes('c', 'doc_id', 'words', 'h')} "
+       "SELECT doc_id, b AS bucket, round(x, 6) AS x FROM h WHERE x <> 0")
 def embed(spark, d):
     words = docs(spark, d).select("doc_id", X.content_words(folded()).alias("words"))
-    vecs, _ = training.embed(words, "words")
-    norm = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    return vecs.select("doc_id", F.size("vec").alias("dims"), F.round(F.sqrt(norm), 4).alias("norm"))
+    return _components(training.embed(words, "words")[0])
 
 
-@query("m7_embed_distinct", f"""SELECT doc_id, {D.word_count('text')} AS words, length(text) AS chars FROM documents""")
+# the encoder sees every distinct text once, so repeated texts weigh less in its frequencies
+@query("m7_embed_distinct", f"""{WORDS_SQL}, u AS MATERIALIZED (SELECT text, any_value(words) AS words FROM c GROUP BY text),
+{D.hashed_ctes('u', 'text', 'words', 'h')}
+SELECT c.doc_id, b AS bucket, round(x, 6) AS x FROM h JOIN c USING (text) WHERE x <> 0""")
 def embed_distinct(spark, d):
     def encode(texts):
-        return texts.withColumn("vec", F.array(
-            X.word_count(F.col("text")).cast("double"), F.length("text").cast("double")))
-    done = training.embed_distinct(docs(spark, d).select("doc_id", "text"), "text", encode)
-    return done.select("doc_id", F.get("vec", F.lit(0)).cast("int").alias("words"),
-                       F.get("vec", F.lit(1)).cast("int").alias("chars"))
+        words = texts.withColumn("words", X.content_words(X.fold(F.col("text"))))
+        return training.embed(words, "words")[0].select("text", "vec")
+    return _components(training.embed_distinct(
+        docs(spark, d).select("doc_id", "text"), "text", encode))
 
 
 # ------------------------------------------- candidate texts x postings
@@ -166,21 +176,24 @@ d1 AS (SELECT doc_id, job_id, f, skills, {D.word_count('f')} AS n_words, {D.cont
 d2 AS (SELECT *, {D.years_experience('sp', 'claimed')} AS years_experience, {D.overlap_pairs('so')} AS overlapping_jobs,
   coalesce(list_sum({_steps}), 0) AS gap_years, CASE WHEN len(ys) > 1 THEN {_speed} ELSE 0e0 END AS promotion_speed,
   {D.alignment('ev', 'skills', L.default_skills())} AS skill_experience_alignment, len(skills) AS num_skills FROM d1),
-d3 AS (SELECT *, {D.round_exact(f'({Y} - graduation_year) - years_experience', 2)} AS experience_graduation_gap,
+d3 AS MATERIALIZED (SELECT *, {D.round_exact(f'({Y} - graduation_year) - years_experience', 2)} AS experience_graduation_gap,
   {D.density('num_skills', 'years_experience', 'n_words')} AS skill_density FROM d2)"""
 _term_hits = D.term_hits("norm", L.default_skills())
 TARGETS_SQL = f"""{I.POSTINGS_SQL},
 j1 AS (SELECT job_id, {D.fold('title')} AS t, {D.fold('description')} AS f FROM postings),
 j2 AS (SELECT *, lower({D.normalize_aliases('f', ci=False)}) AS norm, CASE WHEN {D.strip('t')} <> '' THEN t ELSE f END AS aim FROM j1),
-j3 AS (SELECT job_id, list_distinct({D.content_words('f')}) AS target, {D.tech_tokens('norm')} AS target_tokens,
+j3 AS MATERIALIZED (SELECT job_id, list_distinct({D.content_words('f')}) AS target, {D.tech_tokens('norm')} AS target_tokens,
   {D.word_count('norm')} AS target_length, {_term_hits} AS target_skills, {D.required_years('aim')} AS required_years,
   {D.relevant_categories('aim')} AS relevant FROM j2)"""
-_cos, _recall = D.cosine("v.embedding", "w.embedding"), D.token_recall("tokens", "target_tokens")
+_recall = D.token_recall("tokens", "target_tokens")
 _exp = D.experience_relevance("years_experience", "required_years", "relevant", "mentioned")
 SCORES_SQL = f"""{FACTS_SQL}, {TARGETS_SQL},
 p0 AS (SELECT * FROM d3 JOIN j3 USING (job_id)),
 {D.stuffing_ctes('p0', 'p1')},
-p2 AS (SELECT p1.*, {_cos} AS cos, {_recall} AS recall FROM p1 LEFT JOIN embeddings v ON v.vec_id = doc_id LEFT JOIN embeddings w ON w.vec_id = job_id),
+{D.hashed_ctes('d3', 'doc_id', 'words', 'hd')},
+{D.hashed_ctes('j3', 'job_id', 'target', 'ht', 'hd')},
+dots AS (SELECT p1.doc_id, sum(a.x * b.x) AS cos FROM p1 JOIN hd a USING (doc_id) JOIN ht b ON b.job_id = p1.job_id AND b.b = a.b GROUP BY p1.doc_id),
+p2 AS (SELECT p1.*, least(1e0, greatest(0e0, coalesce(dots.cos, 0e0))) AS cos, {_recall} AS recall FROM p1 LEFT JOIN dots USING (doc_id)),
 p3 AS (SELECT *, {D.jaccard('skills', 'target_skills')} AS skill_overlap_score,
   {D.semantic('cos', 'recall', 'target_length')} AS semantic_similarity, {_exp} AS experience_relevance_score FROM p2),
 p4 AS (SELECT *, {D.round_exact('6e-1 * semantic_similarity + 2.5e-1 * skill_overlap_score + 1.5e-1 * experience_relevance_score', 4)}
@@ -188,9 +201,7 @@ p4 AS (SELECT *, {D.round_exact('6e-1 * semantic_similarity + 2.5e-1 * skill_ove
 
 
 def scored(spark, d):
-    return screening.score(
-        I.profiles(spark, d), I.postings(spark, d),
-        doc_vectors=I.vectors(spark, d, "doc_id"), job_vectors=I.vectors(spark, d, "job_id"))
+    return screening.score(I.profiles(spark, d), I.postings(spark, d))
 
 
 _MATCH = ["semantic_similarity", "skill_overlap_score", "experience_relevance_score", "final_match_score"]
@@ -206,9 +217,7 @@ def match_scores(spark, d):
 @query("m14_feature_frame", f"{SCORES_SQL} SELECT doc_id, job_id, "
        + ", ".join(f"CAST({n} AS DOUBLE) AS {n}" for n in L.FEATURES) + " FROM p4")
 def feature_frame(spark, d):
-    return screening.feature_table(
-        I.profiles(spark, d), I.postings(spark, d),
-        doc_vectors=I.vectors(spark, d, "doc_id"), job_vectors=I.vectors(spark, d, "job_id"))
+    return screening.feature_table(I.profiles(spark, d), I.postings(spark, d))
 
 
 SCREEN_SQL = f"""{SCORES_SQL},
@@ -220,9 +229,7 @@ screened AS (SELECT doc_id, job_id, final_match_score, CASE WHEN likeness >= 45
 
 
 def screened(spark, d):
-    return screening.screen(
-        I.profiles(spark, d), I.postings(spark, d),
-        doc_vectors=I.vectors(spark, d, "doc_id"), job_vectors=I.vectors(spark, d, "job_id"))
+    return screening.screen(I.profiles(spark, d), I.postings(spark, d))
 
 
 @query("screen_profiles", f"{SCREEN_SQL} SELECT * FROM screened")
