@@ -15,12 +15,6 @@ from dossier.functions.vectors import cosine
 
 WORD = r"([a-z0-9_]+)"
 TOKEN = r"([a-z0-9_]+|[^a-z0-9_\s])"
-DIM_LIMIT = 200_000
-
-
-def rows_within(df: DataFrame, limit: int) -> bool:
-    """Whether a table has at most ``limit`` rows (reads no more than that)."""
-    return df.limit(limit + 1).count() <= limit
 
 
 def term_dimension(terms: DataFrame) -> DataFrame:
@@ -45,40 +39,34 @@ def builtin_terms(spark: SparkSession, skills=None) -> DataFrame:
     return spark.createDataFrame(rows, "kind STRING, term STRING")
 
 
-def match_terms(docs: DataFrame, dim: DataFrame, key: str = "doc_id",
-                limit: int = DIM_LIMIT) -> DataFrame:
+def match_terms(docs: DataFrame, dim: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, kind, term) for every term present; overlapping terms all kept.
 
     ``docs`` has ``key`` and ``folded``; ``dim`` comes from ``term_dimension``.  The
-    distinct words of a text meet the dictionary on the term's first word, and only
-    such candidates are verified against the text.  A dictionary within ``limit``
-    rows is broadcast and nothing is shuffled.  A larger one is joined on narrow
-    (key, word) rows, so the text itself moves once, for the candidates.
+    distinct words of a text meet the dictionary on the term's first word, as narrow (key,
+    word) rows; no hint, so the optimizer broadcasts a dictionary that it has measured as
+    small.  A term of one word is then found.  Only candidates of longer terms meet the
+    text again and are verified there.
     """
     # explode_outer: the plain form would evaluate the words a second time in a filter
     words = F.explode_outer(F.array_distinct(F.regexp_extract_all("folded", F.lit(WORD))))
-    # a word met as a whole word is present; only longer terms need a look at the text
-    present = (F.col("term_lc") == F.col("first_token")) | (
-        F.contains("folded", F.col("term_lc")) & F.rlike("folded", F.col("pattern")))
     out = [key, "kind", "term"]
-    if rows_within(dim, limit):
-        return (docs.select(key, "folded", words.alias("first_token"))
-                .join(F.broadcast(dim), "first_token").filter(present).select(*out))
-    candidates = (docs.select(key, words.alias("first_token"))
-                  .join(dim, "first_token")
-                  .select(*out, "pattern", "term_lc", "first_token"))
-    return (candidates.join(docs.select(key, "folded"), key).filter(present).select(*out))
+    candidates = docs.select(key, words.alias("first_token")).join(dim, "first_token")
+    whole = F.col("term_lc") == F.col("first_token")
+    longer = candidates.filter(~whole).groupBy(key).agg(F.collect_set(F.struct(
+        "kind", "term", "term_lc", "pattern")).alias("terms"))
+    verified = (docs.select(key, "folded").join(longer, key)
+                .select(key, "folded", F.inline("terms"))
+                .filter(F.contains("folded", F.col("term_lc")) & F.rlike("folded", F.col("pattern"))))
+    return candidates.filter(whole).select(*out).unionByName(verified.select(*out))
 
 
-def match_terms_longest(docs: DataFrame, dim: DataFrame, key: str = "doc_id",
-                        limit: int = DIM_LIMIT) -> DataFrame:
+def match_terms_longest(docs: DataFrame, dim: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, kind, term, pos, n_tokens): terms compete, longest first, then leftmost;
     a token belongs to one term at most."""
     small = dim.select("kind", "term", "tokens", F.size("tokens").alias("n_tokens"),
                        F.get("tokens", F.lit(0)).alias("token"))
-    n_terms, longest = small.agg(F.count("*"), F.coalesce(F.max("n_tokens"), F.lit(1))).first()
-    if n_terms <= limit:
-        small = F.broadcast(small)
+    longest = small.agg(F.coalesce(F.max("n_tokens"), F.lit(1))).first()[0]
     tokens = docs.select(key, F.regexp_extract_all("folded", F.lit(TOKEN)).alias("doc_tokens"))
     # every position carries the few tokens a term can span, not the whole text
     starts = tokens.select(key, F.inline_outer(F.transform("doc_tokens", lambda t, i: F.struct(
@@ -107,22 +95,27 @@ def generic_phrase_score(folded: Column, phrases=None) -> Column:
 
 
 def nearest_seed(vectors: DataFrame, seeds: DataFrame, threshold: float = 0.82,
-                 limit: int = 1000) -> DataFrame:
+                 block: int = 1000) -> DataFrame:
     """Adds best_seed, best_sim and admitted (best_sim > threshold).
 
-    ``vectors`` has ``vec``; ``seeds`` has (seed_id, vec).  The seeds enter every row
-    as one array, so their number is checked.
+    ``vectors`` has ``vec``; ``seeds`` has (seed_id, vec), in any number: they are gathered into
+    blocks of about ``block``, every vector is compared with every block, and the
+    blocks' winners are reduced per vector.
     """
-    if not rows_within(seeds, limit):
-        raise ValueError(f"more than {limit} seeds")
-    table = seeds.agg(F.array_sort(F.collect_list(F.struct("seed_id", "vec")))).scalar()
-    scored = vectors.withColumn("_seeds", table).withColumn("_best", F.array_max(F.transform(
-        "_seeds", lambda s: F.struct(cosine(F.col("vec"), s.vec).alias("sim"),
-                                     (-s.seed_id).alias("neg_id")))))
+    blocks = F.greatest(F.lit(1), F.ceil(F.lit(seeds.count()) / block))
+    table = seeds.groupBy(F.pmod(F.xxhash64("seed_id"), blocks).alias("_b")).agg(
+        F.array_sort(F.collect_list(F.struct("seed_id", "vec"))).alias("_seeds")).drop("_b")
+    named = vectors.select(F.struct(*vectors.columns).alias("_row")).withColumn(
+        "_uid", F.monotonically_increasing_id())
+    vec = F.col("_row.vec")
+    best = F.array_max(F.transform("_seeds", lambda s: F.struct(
+        cosine(vec, s.vec).alias("sim"), (-s.seed_id).alias("neg_id"))))
+    scored = (named.join(table, F.lit(True), "left").select("_uid", "_row", best.alias("_best"))
+              .groupBy("_uid").agg(F.any_value("_row").alias("_row"), F.max("_best").alias("_best")))
     return scored.select(
-        *vectors.columns, (-F.col("_best.neg_id")).alias("best_seed"),
+        "_row.*", (-F.col("_best.neg_id")).alias("best_seed"),
         F.col("_best.sim").alias("best_sim"),
-        (F.col("_best.sim") > threshold).alias("admitted"))
+        F.coalesce(F.col("_best.sim") > threshold, F.lit(False)).alias("admitted"))
 
 
 def admit_phrases(phrases: DataFrame, matched: DataFrame, dim: DataFrame, seeds: DataFrame,

@@ -10,8 +10,6 @@ from pyspark.sql.window import Window
 
 from dossier.functions.numeric import round_exact, share
 
-EXACT_ROWS = 1_000_000
-
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """(value, n, percent) of a column, nulls left out."""
@@ -66,82 +64,79 @@ def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
         for i, (a, b) in enumerate(pairs)])))
 
 
-def _kth(df: DataFrame, col: str, k: int, exact_rows: int) -> float:
-    """The k-th smallest value (0-based) of a column without nulls.
+SKETCH = 10_000
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
+                    accuracy: int = SKETCH) -> dict[str, list[float]]:
+    """Per column its exact quantiles, with linear interpolation between neighbours.
 
-    Sketch quantiles give two values around it; one pass counts the rows below,
-    at, between and above them, and only the piece that holds position k is kept.
-    Every round drops both values, and the rows finally sorted are few.
+    Three passes for all columns together, whatever the table's size.  A sketch gives two
+    values around every quantile; a count fixes how many rows lie below them; the rows
+    between, about 4 / accuracy of the table, are counted by value and summed up.
     """
-    part, n, v = df, df.count(), F.col(col)
-    while n > exact_rows:
-        around = [max(0.0, k / n - 0.002), min(1.0, (k + 1) / n + 0.002)]
-        lo, hi = part.agg(F.percentile_approx(col, around, 5000)).first()[0]
-        below, at_lo, between, at_hi = part.agg(
-            F.count_if(v < lo), F.count_if(v == lo),
-            F.count_if((v > lo) & (v < hi)), F.count_if((v == hi) & (v > lo))).first()
-        pieces = [(below, v < lo, None), (at_lo, None, lo), (between, (v > lo) & (v < hi), None),
-                  (at_hi, None, hi), (n - below - at_lo - between - at_hi, v > hi, None)]
-        for size, keep, value in pieces:
-            if k < size:
-                break
-            k -= size
-        if value is not None:
-            return value
-        part, n = part.filter(keep), size
-    running = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = part.groupBy(col).agg(F.count("*").alias("n"))
-    return counts.select(col, F.sum("n").over(running).alias("upto")).filter(
-        F.col("upto") > k).agg(F.min(col)).first()[0]
-
-
-def exact_quantiles(df: DataFrame, col: str, probs: list[float],
-                    exact_rows: int = EXACT_ROWS) -> list[float]:
-    """Exact quantiles with linear interpolation between neighbours."""
-    values = df.select(F.col(col).cast("double").alias("v")).filter("v is not null")
-    n = values.count()
-    out = []
-    for p in probs:
-        at = p * (n - 1)
-        low = int(at)
-        a = _kth(values, "v", low, exact_rows)
-        b = a if at == low else _kth(values, "v", min(low + 1, n - 1), exact_rows)
-        out.append(a + (b - a) * (at - low))
+    value = {c: F.col(c).cast("double") for c in cols}
+    margin = 2.0 / accuracy
+    near = [q for p in probs for q in (max(0.0, p - margin), min(1.0, p + margin))]
+    first = df.agg(*[x for i, c in enumerate(cols) for x in (
+        F.count(value[c]).alias(f"n{i}"), F.min(value[c]).alias(f"lo{i}"),
+        F.max(value[c]).alias(f"hi{i}"),
+        F.percentile_approx(value[c], near, accuracy).alias(f"q{i}"))]).first()
+    slots = []      # (slot, column, quantile, row counted from 0, bounds)
+    for i, c in enumerate(cols):
+        n = first[f"n{i}"]
+        for j, p in enumerate(probs):
+            if n:
+                # a few rows are further apart than the sketch's error
+                wide = 2.0 / n > margin
+                slots.append((len(slots), c, j, p * (n - 1),
+                              first[f"lo{i}"] if wide else first[f"q{i}"][2 * j],
+                              first[f"hi{i}"] if wide else first[f"q{i}"][2 * j + 1]))
+    out = {c: [None] * len(probs) for c in cols}
+    if not slots:
+        return out
+    below = df.agg(*[F.count_if(value[c] < lo).alias(f"b{s}") for s, c, _, _, lo, _ in slots]).first()
+    inside = (df.select(F.explode(F.array(*[
+        F.when(value[c].between(lo, hi), F.struct(F.lit(s).alias("slot"), value[c].alias("v")))
+        for s, c, _, _, lo, hi in slots])).alias("x")).filter("x is not null")
+        .groupBy("x.slot", "x.v").agg(F.count(F.lit(1)).alias("n")))
+    upto = F.sum("n").over(Window.partitionBy("slot").orderBy("v"))
+
+    def wanted(extra: int):
+        return F.coalesce(*[F.when(F.col("slot") == s, F.lit(int(at) + extra - below[f"b{s}"]))
+                            for s, _, _, at, _, _ in slots])
+
+    found = {r.slot: r for r in inside.withColumn("upto", upto).groupBy("slot").agg(
+        F.min(F.when(F.col("upto") > wanted(0), F.col("v"))).alias("a"),
+        F.min(F.when(F.col("upto") > wanted(1), F.col("v"))).alias("b")).collect()}
+    for s, c, j, at, _, _ in slots:
+        a, b = found[s].a, found[s].b
+        out[c][j] = a if at == int(at) else a + (b - a) * (at - int(at))
     return out
 
 
-def describe(df: DataFrame, cols: list[str], exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """(feature, n, mean, std, min, q25, q50, q75, max) with exact quartiles.
-
-    A table of up to ``exact_rows`` rows takes one pass with the exact percentile
-    aggregate, which keeps all values; beyond that every quartile is bracketed.
-    """
+def describe(df: DataFrame, cols: list[str], accuracy: int = SKETCH) -> DataFrame:
+    """(feature, n, mean, std, min, q25, q50, q75, max) with exact quartiles."""
     basic = {"n": F.count, "mean": lambda c: F.avg(c.cast("double")),
              "std": lambda c: F.stddev_samp(c.cast("double")),
              "min": lambda c: F.min(c.cast("double")), "max": lambda c: F.max(c.cast("double"))}
     quart = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    if df.limit(exact_rows + 1).count() <= exact_rows:
-        found = _long(df, cols, {**basic, "q": lambda c: F.percentile(
-            c.cast("double"), list(quart.values()))})
-        return found.select("*", *[F.get("q", F.lit(i)).alias(m) for i, m in enumerate(quart)]).drop("q")
-    found = {c: exact_quantiles(df, c, list(quart.values()), exact_rows) for c in cols}
+    found = exact_quantiles(df, cols, list(quart.values()), accuracy)
 
     def known(m):
         i = list(quart).index(m)
-        return F.coalesce(*[F.when(F.col("feature") == c, F.lit(q[i])) for c, q in found.items()])
+        return F.coalesce(*[F.when(F.col("feature") == c, F.lit(q[i]).cast("double"))
+                            for c, q in found.items()])
 
     return _long(df, cols, basic).select("*", *[known(m).alias(m) for m in quart])
 
 
-def impute_median(df: DataFrame, cols: list[str], exact_rows: int = EXACT_ROWS) -> DataFrame:
+def impute_median(df: DataFrame, cols: list[str], accuracy: int = SKETCH) -> DataFrame:
     """Nulls become the exact column median."""
-    if df.limit(exact_rows + 1).count() <= exact_rows:
-        row = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in cols]).first()
-        medians = {c: row[c] for c in cols}
-    else:
-        medians = {c: exact_quantiles(df, c, [0.5], exact_rows)[0] for c in cols}
+    medians = exact_quantiles(df, cols, [0.5], accuracy)
     return df.withColumns({
-        c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in medians.items()})
+        c: F.coalesce(F.col(c).cast("double"), F.lit(m[0]).cast("double"))
+        for c, m in medians.items()})
 
 
 def numeric_or_median(df: DataFrame, names: list[str]) -> DataFrame:

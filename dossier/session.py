@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,11 +51,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def write_once(df: DataFrame, *layout: str) -> DataFrame:
+    """Write the rows once to the shared folder and read them from there.
+
+    Cuts the lineage like a checkpoint, survives lost executors, and later reads fetch
+    only the columns they use.  The files go when the session's file system closes.
+    """
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_FOLDERS[app])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    where = f"{_FOLDERS[app]}/{uuid.uuid4().hex}"
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*layout) if layout else writer).parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a table that was read in fewer parts than there are cores.
+    """For tests and benches on one machine: hash-partition a small file over the cores.
 
-    A small file is one part, which would put all text work on one core.  A large
-    table already comes in many parts and is returned as it is.
+    A file with one row group is one part, which would put all text work on one core.  On a
+    cluster the reader's split size decides and the table is returned as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    sc = df.sparkSession.sparkContext
+    if not sc.master.startswith("local["):
+        return df
+    return df.repartition(sc.defaultParallelism, *keys)

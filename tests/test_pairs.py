@@ -1,4 +1,5 @@
 import random
+from contextlib import contextmanager
 import re
 
 import pytest
@@ -74,13 +75,24 @@ def test_skill_density(spark):
     assert got == [5.0, 1.5, 0.0, 20.0]
 
 
+@contextmanager
+def without_broadcast(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def test_matching_paths_agree(spark):
     docs = spark.createDataFrame(
         [(1, RESUME), (2, "React Native and react; .NET"), (3, ""), (4, "C++ c# go-getter ci/cd")],
         "doc_id INT, text STRING").withColumn("folded", X.fold(F.col("text")))
     dim = matching.term_dimension(matching.builtin_terms(spark, SKILLS))
     broadcast = {tuple(r) for r in matching.match_terms(docs, dim).collect()}
-    shuffled = {tuple(r) for r in matching.match_terms(docs, dim, limit=0).collect()}
+    with without_broadcast(spark):
+        shuffled = {tuple(r) for r in matching.match_terms(docs, dim).collect()}
     assert broadcast == shuffled and (2, "skill", "React") in broadcast
     terms = TermSet(SKILLS)
     for r in docs.select("doc_id", terms.hits(F.col("folded")).alias("s")).collect():
@@ -103,9 +115,12 @@ def test_longest_matching_against_brute_force(spark):
             if not taken & set(range(p, p - n)):
                 taken |= set(range(p, p - n))
                 want.add((i, v, p))
-    for limit in (matching.DIM_LIMIT, 0):
-        got = matching.match_terms_longest(df, dim, limit=limit)
-        assert {(r.doc_id, r.term, r.pos) for r in got.collect()} == want
+    def found():
+        return {(r.doc_id, r.term, r.pos) for r in matching.match_terms_longest(df, dim).collect()}
+
+    assert found() == want
+    with without_broadcast(spark):
+        assert found() == want
 
 
 @pytest.mark.parametrize("match, generic, stuffing, density, cls, p, label, confidence", [
@@ -140,7 +155,10 @@ def test_align_features(spark):
 def test_screening_sample(spark):
     docs = spark.createDataFrame([(1, 7, RESUME), (2, 7, "")], "doc_id LONG, job_id LONG, text STRING")
     jobs = spark.createDataFrame([(7, "", "Python and Docker on AWS")], "job_id LONG, title STRING, description STRING")
-    rows = {r.doc_id: r for r in screening.screen(docs, jobs, skills=SKILLS, as_of_year=AS_OF).collect()}
+    vectors = {"doc_vectors": spark.createDataFrame([], "doc_id LONG, vec ARRAY<DOUBLE>"),
+               "job_vectors": spark.createDataFrame([], "job_id LONG, vec ARRAY<DOUBLE>")}
+    rows = {r.doc_id: r for r in screening.screen(
+        docs, jobs, skills=SKILLS, as_of_year=AS_OF, **vectors).collect()}
     r = rows[1]
     assert [c for c in r.asDict() if c in L.FEATURES] == L.FEATURES
     assert r.skill_overlap_score == round(3 / 9, 4) and r.years_experience == 8.5 and r.num_skills == 9.0
@@ -152,6 +170,19 @@ def test_screening_sample(spark):
     assert compat.gap_years == 0.0
 
 
+def test_screening_embeds_both_sides(spark):
+    posting = ("We look for a platform engineer with Python, Docker and AWS who runs a cloud platform, "
+               "migrates legacy systems and reduces deployment time for several teams")
+    docs = spark.createDataFrame(
+        [(1, 7, f"{RESUME}\n{posting}"), (2, 7, "Pastry chef\nBaked bread and cakes for weddings " * 20)],
+        "doc_id LONG, job_id LONG, text STRING")
+    jobs = spark.createDataFrame([(7, "", posting)], "job_id LONG, title STRING, description STRING")
+    got = {r.doc_id: r.semantic_similarity for r in screening.score(docs, jobs, skills=SKILLS).collect()}
+    assert got[1] > 0.25 > got[2]
+    with pytest.raises(ValueError):
+        screening.score(docs, jobs, doc_vectors=docs.selectExpr("doc_id", "array(1.0) AS vec"))
+
+
 def test_embedding_is_unit_length(spark):
     docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["c"]), (3, [])], "doc_id INT, words ARRAY<STRING>")
     vecs, _ = training.embed(docs, "words", size=64)

@@ -23,11 +23,13 @@ def test_exact_quantiles_by_brackets(spark):
     values = [rnd.gauss(0, 1) for _ in range(4000)] + [0.25] * 3000 + [float(i % 7) for i in range(1000)]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v DOUBLE")
     probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = profiling.exact_quantiles(df, "v", probs, exact_rows=50)
-    assert np.allclose(got, np.quantile(values, probs), rtol=0, atol=1e-12)
-    small = profiling.describe(df, ["v"]).first()
-    large = profiling.describe(df, ["v"], exact_rows=50).first()
-    assert np.allclose([small.q25, small.q50, small.q75], [large.q25, large.q50, large.q75])
+    for accuracy in (100, 10_000):
+        got = profiling.exact_quantiles(df, ["v"], probs, accuracy)["v"]
+        assert np.allclose(got, np.quantile(values, probs), rtol=0, atol=1e-12)
+        row = profiling.describe(df, ["v"], accuracy).first()
+        assert np.allclose([row.q25, row.q50, row.q75], got[1:4])
+    empty = profiling.describe(df.filter("v is null"), ["v"]).first()
+    assert empty.n == 0 and empty.q50 is None
 
 
 def test_impute_median(spark):
