@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 # fixed values: search grids
 TREE_GRID = {"maxDepth": [3, 5, 7, 10, 15, 30], "minInstancesPerNode": [1, 2, 5, 10],
-             "impurity": ["gini", "entropy"]}
+             "impurity": ["gini", "entropy"], "weightCol": ["balanced", "equal"]}
 BOOSTED_GRID = {"maxDepth": [3, 5, 7], "stepSize": [0.01, 0.1, 0.2],
                 "maxIter": [50, 100, 200], "subsamplingRate": [0.8, 1.0]}
 BOOSTED_BEST = {"maxDepth": 5, "stepSize": 0.2, "maxIter": 50, "subsamplingRate": 0.8}
@@ -105,7 +105,12 @@ def fit_forest(train: DataFrame, features, label: str = "label", **params) -> Pi
 def grid_search(train: DataFrame, features, label: str = "label", key: str = "doc_id",
                 grid: dict | None = None, folds: int = 5, parallelism: int = 4,
                 estimator=None):
-    """Cross-validated search on weighted F1; folds come from a stable hash."""
+    """Cross-validated search on weighted F1; folds come from a stable hash.
+
+    The default grid is the full one; least rows to split a node are not a parameter of Spark's
+    trees.  Rows are weighted by class ('balanced') or not ('equal').
+    """
+    train = balanced_weights(train, label, "balanced").withColumn("equal", F.lit(1.0))
     est = estimator or DecisionTreeClassifier(labelCol=label, featuresCol="features", seed=42)
     builder = ParamGridBuilder()
     for name, values in (grid or TREE_GRID).items():
@@ -119,6 +124,18 @@ def grid_search(train: DataFrame, features, label: str = "label", key: str = "do
     return search.fit(data)
 
 
+def boosted_search(train: DataFrame, features, label: str = "label", key: str = "doc_id",
+                   grid: dict | None = None, folds: int = 5, parallelism: int = 4):
+    """The search over boosted trees: for every class against the rest, its best parameters."""
+    found = {}
+    for k in sorted(r[0] for r in train.select(label).distinct().collect()):
+        one = train.withColumn("_is", (F.col(label) == k).cast("double"))
+        found[k] = grid_search(
+            one, features, "_is", key, grid or BOOSTED_GRID, folds, parallelism,
+            GBTClassifier(labelCol="_is", featuresCol="features", seed=42))
+    return found
+
+
 def class_probabilities(predicted: DataFrame, raw: str = "rawPrediction") -> DataFrame:
     """Adds p0..p2: one-vs-rest margins through the logistic curve, made to sum to 1."""
     margins = vector_to_array(raw)
@@ -152,42 +169,59 @@ def model_card(model, features, scores: DataFrame, params: dict) -> DataFrame:
     return wide.unionByName(given).unionByName(weights)
 
 
-def path_contributions(model, features, label: Column) -> Column:
-    """Array of (feature, value, contribution) of a fitted decision tree for a class.
+def leaf_paths(model, features) -> list[tuple]:
+    """(leaf, class, root share, contributions) of a fitted decision tree.
 
-    Path attribution: every split on the way to a row's leaf gives its feature the
-    change in the class probability; the root probability (bias) is left out.  This is
-    an approximation of Shapley values.  The tree becomes one expression, evaluated
-    by Spark per row; ``label`` is the class index.
+    Every split on the way to a leaf gives its feature the change in the class share.  Leaves
+    are numbered from left to right, as the model numbers them; their number is bounded by the
+    tree's depth.
     """
     tree = model.stages[-1] if isinstance(model, PipelineModel) else model
+    root, rows = tree._call_java("rootNode"), []
 
     def shares(node) -> list[float]:
         stats = list(node.impurityStats().stats())
         whole = sum(stats) or 1.0
         return [v / whole for v in stats]
 
-    def walk(node, so_far: dict) -> Column:
+    base, leaf = shares(root), 0
+    pending = [(root, [[0.0] * len(features) for _ in base])]
+    while pending:
+        node, so_far = pending.pop()
         if node.subtreeDepth() == 0:
-            return F.array(*[F.array(*[F.lit(v) for v in so_far[i]])
-                             for i in range(len(features))])
+            rows += [(float(leaf), k, base[k], steps) for k, steps in enumerate(so_far)]
+            leaf += 1
+            continue
         f, here = node.split().featureIndex(), shares(node)
-        sides = []
-        for child in (node.leftChild(), node.rightChild()):
-            moved = [b - a for a, b in zip(here, shares(child))]
-            sides.append(walk(child, {**so_far, f: [
-                x + d for x, d in zip(so_far[f], moved)]}))
-        return F.when(F.col(features[f]) <= node.split().threshold(), sides[0]).otherwise(sides[1])
-
-    root = tree._call_java("rootNode")
-    zeros = {i: [0.0] * len(shares(root)) for i in range(len(features))}
-    steps = walk(root, zeros)
+        for child in (node.rightChild(), node.leftChild()):     # the left one is taken up first
+            moved = [list(steps) for steps in so_far]
+            for k, (old, new) in enumerate(zip(here, shares(child))):
+                moved[k][f] += new - old
+            pending.append((child, moved))
+    return rows
+
+
+def path_contributions(df: DataFrame, model, features, label: str = "prediction") -> DataFrame:
+    """Rows scored by a fitted decision tree, with root_share and ``contributions``: an array of
+    (feature, value, contribution) toward the class ``label``.
+
+    Path attribution, an approximation of Shapley values: root_share plus the contributions
+    is the class share of the row's leaf.  The row meets its leaf's entry in a join.
+    """
+    tree = model.stages[-1]
+    tree.setLeafCol("_leaf")
+    paths = df.sparkSession.createDataFrame(
+        leaf_paths(model, features),
+        "_leaf DOUBLE, _class INT, root_share DOUBLE, _steps ARRAY<DOUBLE>")
+    scored = model.transform(df).withColumn("_class", F.col(label).cast("int"))
     values = F.array(*[F.col(n).cast("double") for n in features])
     names = F.array(*[F.lit(n) for n in features])
-    return F.transform(
-        F.arrays_zip(names.alias("feature"), values.alias("value"), steps.alias("steps")),
+    parts = F.transform(
+        F.arrays_zip(names.alias("feature"), values.alias("value"), F.col("_steps").alias("steps")),
         lambda x: F.struct(x.feature.alias("feature"), x.value.alias("value"),
-                           F.get(x.steps, label).alias("contribution")))
+                           x.steps.alias("contribution")))
+    return scored.join(paths, ["_leaf", "_class"]).withColumn("contributions", parts).drop(
+        "_leaf", "_class", "_steps")
 
 
 def word_buckets(words: Column, size: int) -> Column:

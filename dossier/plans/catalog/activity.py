@@ -29,13 +29,13 @@ def progress(spark, d):
 
 
 @query("k2_live_jobs", f"""{PROGRESS_SQL} SELECT job_id, status FROM p WHERE NOT (status = 'completed'
- AND epoch(date_trunc('second', (SELECT max(ts) FROM events))) - epoch(date_trunc('second', created_at)) > 1800 * 24)""")
+ AND epoch(date_trunc('second', (SELECT max(ts) FROM events))) - epoch(date_trunc('second', created_at)) > 1800)""")
 def live(spark, d):
     rows = items(spark, d)
     jobs = A.batch_progress(rows).join(rows.groupBy("job_id").agg(F.min("ts").alias("created_at")), "job_id")
     now = rows.agg(F.max("ts")).scalar()
     stamped = jobs.withColumn("created_at", F.col("created_at").cast("timestamp"))
-    return A.live_jobs(stamped, now.cast("timestamp"), 30 * 24).select("job_id", "status")
+    return A.live_jobs(stamped, now.cast("timestamp")).select("job_id", "status")
 
 
 @query("k3_quota_usage", """SELECT user_id AS client, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, count(*) AS requests, CAST(count(*) > 1 AS INT) AS over_quota

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from dossier.functions import sets
@@ -202,46 +203,76 @@ def _split(spark, d):
     return both.filter("is_train"), both.filter("not is_train")
 
 
-@query("c7_decision_tree")
+# a model has no SQL, but what must hold of its rows does: the held-out rows themselves, and
+# identities between a row's probabilities, contributions and verdict
+TEST_SQL = f"""WITH {I.DOCUMENTS_SQL}, {I.TARGETS_SQL},
+y AS (SELECT doc_id, CAST(CASE WHEN quality = 1 THEN 0 WHEN toxic = 1 THEN 2 ELSE 1 END AS DOUBLE) AS label FROM labels),
+a AS (SELECT doc_id, label, ('0x' || substr(md5(doc_id || ':42'), 1, 15))::BIGINT AS h FROM docs JOIN y USING (doc_id) JOIN targets USING (job_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h) AS k, count(*) OVER (PARTITION BY label) AS n FROM a),
+test AS (SELECT doc_id, label FROM r WHERE k > floor(n * 8e-1 + 5e-1))"""
+
+
+def _sum(values):
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+@query("c7_decision_tree", f"{TEST_SQL} SELECT doc_id, label, 1e0 AS p_sum, 1 AS is_most_probable FROM test")
 def tree(spark, d):
     train, test = _split(spark, d)
     model = training.fit_tree(train, MODEL_FEATURES)
-    return profiling.scores(model.transform(test), "label", "prediction")
+    p = vector_to_array("probability")
+    return model.transform(test).select(
+        "doc_id", "label", F.round(_sum(p), 9).alias("p_sum"),
+        (F.get(p, F.col("prediction").cast("int")) == F.array_max(p)).cast("int").alias("is_most_probable"))
 
 
-@query("c5_path_contributions")
+@query("c5_path_contributions", f"{TEST_SQL} SELECT doc_id, label, {len(MODEL_FEATURES)} AS n_features, 0e0 AS residual FROM test")
 def paths(spark, d):
     train, test = _split(spark, d)
-    model = training.fit_tree(train, MODEL_FEATURES, maxDepth=4)
-    done = model.transform(test)
-    parts = training.path_contributions(model, MODEL_FEATURES, F.col("prediction").cast("int"))
-    return done.withColumn("top", verdict.top_contributions(parts)).select(
-        "doc_id", "prediction", F.inline("top"))
+    model = training.fit_tree(train, MODEL_FEATURES)
+    done = training.path_contributions(test, model, MODEL_FEATURES)
+    reached = F.col("root_share") + _sum(F.transform("contributions", lambda c: c.contribution))
+    leaf = F.get(vector_to_array("probability"), F.col("prediction").cast("int"))
+    return done.select("doc_id", "label", F.size("contributions").alias("n_features"),
+                       (F.round(reached - leaf, 9) + F.lit(0.0)).alias("residual"))
+
 
+# the operator's default is the full grid; the query searches a part of it on all labelled rows
+_PART = {"maxDepth": [3, 5], "impurity": ["gini", "entropy"]}
 
-@query("c8_grid_search")
+
+@query("c8_grid_search", f"{TEST_SQL} SELECT doc_id, label, 4 AS n_points, 5 AS n_folds, 1 AS best_chosen FROM test")
 def grid(spark, d):
     train, test = _split(spark, d)
-    found = training.grid_search(train, MODEL_FEATURES, grid={"maxDepth": [3, 5], "impurity": ["gini", "entropy"]}, folds=3)
+    found = training.grid_search(train, MODEL_FEATURES, grid=_PART)
+    best = found.getEstimatorParamMaps()[found.avgMetrics.index(max(found.avgMetrics))]
+    chosen = all(found.bestModel.getOrDefault(p.name) == v for p, v in best.items())
     done = found.bestModel.transform(training.assembler(MODEL_FEATURES).transform(test))
-    return profiling.scores(done, "label", "prediction")
+    return done.select("doc_id", "label", F.lit(len(found.avgMetrics)).alias("n_points"),
+                       F.lit(found.getNumFolds()).alias("n_folds"), F.lit(int(chosen)).alias("best_chosen"))
 
 
-@query("c9_boosted_trees")
+@query("c9_boosted_trees", f"{TEST_SQL} SELECT doc_id, label, 1e0 AS p_sum, 1 AS rule_holds, 1 AS margin_is_largest FROM test")
 def boosted(spark, d):
     train, test = _split(spark, d)
-    model = training.fit_boosted(train, MODEL_FEATURES, maxIter=10)
-    done = training.class_probabilities(model.transform(test))
-    v = done.withColumn("v", verdict.verdict(F.col("p0"), F.col("p1"), F.col("p2")))
-    return v.select("doc_id", "label", "prediction", "v.classification", "v.confidence")
-
-
-@query("c10_model_card")
+    model = training.fit_boosted(train, MODEL_FEATURES)
+    done = training.class_probabilities(model.transform(test)).withColumn(
+        "v", verdict.verdict(F.col("p0"), F.col("p1"), F.col("p2")).classification)
+    holds = ((F.col("v") == "Authentic") == (F.col("p0") >= 0.8)) & (
+        (F.col("v") == "Potentially Fake") == (F.col("p0") < 0.5))
+    largest = F.get(F.array("p0", "p1", "p2"), F.col("prediction").cast("int")) == F.greatest("p0", "p1", "p2")
+    return done.select("doc_id", "label", F.round(F.col("p0") + F.col("p1") + F.col("p2"), 9).alias("p_sum"),
+                       holds.cast("int").alias("rule_holds"), largest.cast("int").alias("margin_is_largest"))
+
+
+@query("c10_model_card", f"""{TEST_SQL} SELECT 'importance' AS section, {len(MODEL_FEATURES)} AS n, 1e0 AS total UNION ALL
+SELECT 'param' AS section, 2 AS n, 25e0 AS total UNION ALL SELECT 'score' AS section, 1 AS n, CAST((SELECT count(*) FROM test) AS DOUBLE) AS total""")
 def card(spark, d):
     train, test = _split(spark, d)
     params = {"maxDepth": 5, "numTrees": 20}
     model = training.fit_forest(train, MODEL_FEATURES, **params)
     scores = profiling.scores(model.transform(test), "label", "prediction")
-    return training.model_card(model, MODEL_FEATURES, scores, params)
-
-
+    card = training.model_card(model, MODEL_FEATURES, scores, params)
+    rows = card.filter("section <> 'score' or name = 'n'")
+    return rows.groupBy("section").agg(
+        F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("double")), 3).alias("total"))

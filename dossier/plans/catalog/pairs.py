@@ -18,7 +18,7 @@ from dossier.plans import screening
 from dossier.plans.catalog import duck as D
 from dossier.plans.catalog import query
 from dossier.plans.catalog.text import (
-    PROFILES, SKILLS, SKILLS_CTE, docs, folded, postings, profiles)
+    LONGEST_CTES, PROFILES, SKILLS, SKILLS_CTE, docs, folded, postings, profiles)
 from dossier.session import cut_lineage
 
 Y = I.AS_OF
@@ -278,27 +278,39 @@ def posting_skills(spark, d):
         X.word_count(F.lower(normalize_aliases(folded()))).alias("target_length"))
 
 
-_EDU, _TITLES = TermSet(L.EDUCATION_TERMS), TermSet(sorted({r for rs in L.JOB_CATEGORIES.values() for r in rs}))
-
-
 def _listing(items, k, empty):
     text = (f"array_to_string(list_transform(list_sort({items})[1:{k}], lambda x: x), ', ') || "
             f"CASE WHEN len({items}) > {k} THEN '...' ELSE '' END")
     return text if empty is None else f"CASE WHEN len({items}) = 0 THEN 'Not detected' ELSE {text} END"
 
 
-@query("p5_preview", f"""{PROFILES}, {SKILLS_CTE},
-a AS (SELECT doc_id, skills, {D.spans('f', Y)} AS sp, {D.claimed_years('f')} AS claimed, {D.graduation_year('f', Y)} AS grad,
-  list_transform({D.term_hits('f', L.EDUCATION_TERMS)}, lambda x: list_aggregate(list_transform(string_split(x, ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ')) AS edu,
-  list_transform({D.term_hits('f', _TITLES.names.values())}, lambda x: list_aggregate(list_transform(string_split(lower(x), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ')) AS jobs FROM k),
+def _titled(kind):
+    words = "string_split(lower(term), ' ')"
+    return (f"(SELECT doc_id, list(DISTINCT list_aggregate(list_transform({words}, lambda w: upper(w[1]) || w[2:]), "
+            f"'string_agg', ' ')) AS items FROM longest WHERE kind = '{kind}' GROUP BY doc_id)")
+
+
+@query("p5_preview", f"""{PROFILES}, {SKILLS_CTE}, {LONGEST_CTES},
+a AS (SELECT k.doc_id, skills, {D.spans('f', Y)} AS sp, {D.claimed_years('f')} AS claimed, {D.graduation_year('f', Y)} AS grad,
+  coalesce(e.items, []) AS edu, coalesce(j.items, []) AS jobs FROM k LEFT JOIN {_titled('education')} e USING (doc_id)
+  LEFT JOIN {_titled('job_title')} j USING (doc_id)),
 b AS (SELECT *, {D.years_experience('sp', 'claimed')} AS years FROM a)
 SELECT doc_id, 'Experience: ~' || CAST(years AS VARCHAR) || ' years' || chr(10) || 'Past Roles: ' || {_listing('jobs', 3, 1)} || chr(10) || 'Education: ' ||
  {_listing('edu', 3, 1)} || ' (Class of ' || grad || ')' || chr(10) || chr(10) || 'Top Skills: ' || {_listing('skills', 10, None)} AS preview FROM b""")
 def preview(spark, d):
-    staged = profiles(spark, d).select(
-        "doc_id", extract_skills(folded(), SKILLS).alias("skills"), _EDU.hits(folded()).alias("edu"),
-        _TITLES.hits(folded()).alias("jobs"), S.text_years_experience(folded(), Y).alias("years"),
-        S.graduation_year(folded(), Y).alias("grad"))
+    """Roles and education come from the competing match: 'Scrum Master' is no 'Master'."""
+    texts = profiles(spark, d)
+    dim = M.term_dimension(M.builtin_terms(spark).filter("kind <> 'generic'"))
+
+    def of(kind):
+        return F.collect_set(F.when(F.col("kind") == kind, F.initcap(F.lower("term"))))
+
+    found = M.match_terms_longest(texts, dim).groupBy("doc_id").agg(
+        of("education").alias("edu"), of("job_title").alias("jobs"))
+    staged = texts.select(
+        "doc_id", extract_skills(folded(), SKILLS).alias("skills"),
+        S.text_years_experience(folded(), Y).alias("years"),
+        S.graduation_year(folded(), Y).alias("grad")).join(found, "doc_id", "left")
     return staged.select("doc_id", ranking.preview(
         F.col("years"), F.col("jobs"), F.col("edu"), F.col("grad"), F.col("skills")).alias("preview"))
 

@@ -45,14 +45,24 @@ def sanitize_jobs(spark, d):
     return files.sanitize_jobs(I.postings(spark, d))
 
 
-@query("s4_reject_reasons", r"""WITH p AS (SELECT page_id, lower(url) AS u, strlen(html) AS n,
- substr(html, 1, 9) AS head, regexp_extract(lower(url), '\.([^./]*)$', 1) AS ext FROM pages)
-SELECT page_id, n AS length, CASE WHEN n > 5242880 THEN '413 too large' WHEN n = 0 THEN '400 empty' END AS reject_reason FROM p""")
+# pages as uploads of every kind: PDF, archive, program, empty, control characters, text
+_HEADS = {0: "%PDF-1.7 ", 1: "PK\x03\x04", 2: "MZ\x90 ", 4: "\x01\x02"}
+_UPLOAD = "concat('upload', page_id, element_at(array('.pdf', '.txt', '.docx', '.exe', ''), cast(page_id % 5 + 1 as int)))"
+_LIMIT = 8000
+
+
+@query("s4_reject_reasons", rf"""WITH p AS (SELECT page_id, page_id % 7 AS m, page_id % 5 AS e,
+ CASE page_id % 7 WHEN 3 THEN 0 WHEN 0 THEN strlen(html) + 9 WHEN 1 THEN strlen(html) + 4 WHEN 2 THEN strlen(html) + 5 WHEN 4 THEN strlen(html) + 2 ELSE strlen(html) END AS n FROM pages)
+SELECT page_id, n AS length, CASE WHEN n > {_LIMIT} THEN '413 too large' WHEN n = 0 THEN '400 empty' WHEN m = 2 THEN '415 unsupported type'
+ WHEN m = 4 AND e IN (3, 4) THEN '415 unsupported extension' WHEN m = 1 AND e <> 2 THEN '415 zip archive' END AS reject_reason FROM p""")
 def reject_reasons(spark, d):
-    content = F.col("html").cast("binary")
-    return I.table(spark, d, "pages").select(
-        "page_id", F.octet_length("html").alias("length"),
-        files.reject_reason(F.col("url"), F.octet_length("html"), content).alias("reject_reason"))
+    head = F.coalesce(*[F.when(F.col("page_id") % 7 == k, F.lit(h)) for k, h in _HEADS.items()], F.lit(""))
+    content = F.when(F.col("page_id") % 7 == 3, "").otherwise(F.concat(head, "html")).cast("binary")
+    files_ = I.table(spark, d, "pages").select(
+        "page_id", F.expr(_UPLOAD).alias("path"), content.alias("content"))
+    return files_.select(
+        "page_id", F.octet_length("content").alias("length"),
+        files.reject_reason(F.col("path"), F.octet_length("content"), F.col("content"), _LIMIT).alias("reject_reason"))
 
 
 @query("s5_decode_text", "SELECT doc_id, length(text) AS n, md5(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))) AS digest FROM documents")

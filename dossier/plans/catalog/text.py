@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from dossier import lexicon as L
@@ -233,7 +235,28 @@ def term_matching(spark, d):
         F.count("*").alias("n_docs"), F.sum("doc_id").alias("doc_sum"))
 
 
-@query("x2_longest_matching")
+def _dictionary_sql() -> str:
+    """The built-in terms with their tokens, as rows."""
+    kinds = {"skill": L.default_skills(), "education": L.EDUCATION_TERMS,
+             "job_title": sorted({r for rs in L.JOB_CATEGORIES.values() for r in rs})}
+    rows = [f"({D.q(kind)}, {D.q(t)}, [{', '.join(map(D.q, re.findall(r'[a-z0-9_]+|[^a-z0-9_ ]', t.lower())))}])"
+            for kind, terms in kinds.items() for t in terms]
+    return ", ".join(rows)
+
+
+# all hits of a text in their order of preference, taken one by one unless a word is taken
+LONGEST_CTES = rf"""lw AS (SELECT doc_id, {D.found('f', r'[a-z0-9_]+|[^a-z0-9_[:space:]]')} AS r FROM f),
+lt AS (SELECT doc_id, r, unnest(range(1, len(r) + 1)) AS pos FROM lw),
+ld AS (SELECT * FROM (VALUES {_dictionary_sql()}) AS v(kind, term, toks)),
+lh AS (SELECT doc_id, pos - 1 AS pos, kind, term, len(toks) AS n FROM lt JOIN ld ON r[pos] = toks[1]
+  AND r[pos:pos + len(toks) - 1] = toks),
+lg AS (SELECT doc_id, list({{'pos': pos, 'n': n, 'kind': kind, 'term': term}} ORDER BY n DESC, pos, kind, term) AS hs FROM lh GROUP BY doc_id),
+lk AS (SELECT doc_id, list_reduce(list_transform(hs, lambda x: [x]), lambda kept, x: CASE WHEN len(list_filter(kept,
+  lambda q: x[1].pos < q.pos + q.n AND q.pos < x[1].pos + x[1].n)) > 0 THEN kept ELSE list_concat(kept, x) END) AS kept FROM lg),
+longest AS (SELECT doc_id, h.kind AS kind, h.term AS term, h.pos AS pos, h.n AS n_tokens FROM (SELECT doc_id, unnest(kept) AS h FROM lk))"""
+
+
+@query("x2_longest_matching", f"{PROFILES}, {LONGEST_CTES} SELECT * FROM longest")
 def longest(spark, d):
     dim = M.term_dimension(M.builtin_terms(spark).filter("kind <> 'generic'"))
     return M.match_terms_longest(profiles(spark, d), dim)

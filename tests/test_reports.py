@@ -73,15 +73,16 @@ def test_path_contributions_reach_the_leaf(spark):
         (F.col("id") % 7).cast("double").alias("b")).withColumn(
         "label", F.when(F.col("a") > 10, 2.0).when(F.col("b") > 3, 1.0).otherwise(0.0))
     model = training.fit_tree(df, ["a", "b"], balanced=False, maxDepth=3)
-    out = model.transform(df).withColumn("c", training.path_contributions(
-        model, ["a", "b"], F.col("prediction").cast("int")))
+    out = training.path_contributions(df, model, ["a", "b"]).withColumnRenamed("contributions", "c")
+    assert out.count() == 400
     share = out.groupBy("label").count().collect()
     root = {r.label: r["count"] / 400 for r in share}
     from pyspark.ml.functions import vector_to_array
-    rows = out.select("prediction", "c", vector_to_array("probability").alias("p")).collect()
+    rows = out.select("prediction", "c", "root_share", vector_to_array("probability").alias("p")).collect()
     for r in rows:
         total = sum(x.contribution for x in r.c)
         assert abs(root[r.prediction] + total - r.p[int(r.prediction)]) < 1e-6
+        assert abs(root[r.prediction] - r.root_share) < 1e-9
 
 
 def test_preview(spark):
