@@ -1,8 +1,10 @@
 """Exact duplicates by sorting the content itself.
 
-Texts are range-partitioned by their normalised bytes (the splitters come from a sample
-that the range exchange draws), each range is sorted externally, and equal texts end up
-adjacent: the window operator compares every text with its neighbour in full.
+Texts are range-partitioned by their normalised bytes, each range is sorted externally, and
+equal texts end up adjacent: the window operator compares every text with its neighbour in
+full.  The splitters come from a sample that the range exchange draws; they are made of the
+first HEAD characters and a hash of the whole text, so that the sample stays small however
+long the texts are, and texts with a common head spread over several ranges.
 
 A text that holds more than 1/HOT_SHARE of all rows would fill one range by itself.  Such
 texts get a salt as second sort key, so their copies spread over SALTS runs; the runs
@@ -17,6 +19,8 @@ from pyspark.sql.window import Window
 
 from dossier.llm.common import SALTS, ascii_lower, hot_keys, text_of, written
 
+HEAD = 64
+
 
 def _split(docs: DataFrame, id_col: str, text_col: str, carry) -> tuple[DataFrame, DataFrame]:
     """(cold, hot) rows as (row, id, norm, salt); hot texts are salted.
@@ -42,11 +46,15 @@ def _first(keep: str, column: str = "id") -> Column:
             else F.col(column).desc_nulls_last())
 
 
-def _runs(rows: DataFrame, keep: str) -> DataFrame:
+def _runs(rows: DataFrame, keep: str, salted: bool) -> DataFrame:
     """Content sort: every row with its run's winner (place 1), winning id and length."""
-    same = Window.partitionBy("norm", "salt")
+    # a constant salt would not count as a key, and the ranges would be hashed anew
+    salt = ["salt"] if salted else []
+    same = Window.partitionBy("norm", "head", "digest", *salt)
     ranked = same.orderBy(_first(keep))
-    return (rows.repartitionByRange("norm", "salt")
+    return (rows.withColumn("head", F.substring("norm", 1, HEAD))
+            .withColumn("digest", F.xxhash64("norm"))
+            .repartitionByRange("head", "digest", *salt)
             .select("row", "id", "norm", "salt", F.row_number().over(ranked).alias("place"),
                     F.first("id").over(ranked).alias("keep_id"),
                     F.count(F.lit(1)).over(same).alias("size")))
@@ -61,10 +69,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one is kept.  An empty table gives no rows.
     """
     cold, hot = _split(docs, id_col, text_col, [id_col])
-    done = _runs(cold, keep).select(
+    done = _runs(cold, keep, False).select(
         "id", "keep_id", F.col("size").alias("group_size"), (F.col("place") == 1).alias("kept"),
         F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
-    runs = written(_runs(hot, keep).select(
+    runs = written(_runs(hot, keep, True).select(
         "id", "keep_id", "size", "place", "salt",
         F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")))
     best = F.min if keep == "smallest" else F.max
@@ -87,7 +95,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows that stay, with all their columns; cases as in ``exact_groups``."""
     cold, hot = _split(docs, id_col, text_col, docs.columns)
     merged = Window.partitionBy("norm").orderBy(_first(keep), "salt")
-    heads = _runs(hot, keep).filter(F.col("place") == 1).select(
+    heads = _runs(hot, keep, True).filter(F.col("place") == 1).select(
         "row", F.row_number().over(merged).alias("place"))
-    return (_runs(cold, keep).select("row", "place").unionByName(heads)
+    return (_runs(cold, keep, False).select("row", "place").unionByName(heads)
             .filter(F.col("place") == 1).select("row.*"))
