@@ -18,4 +18,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     from dossier.plans.catalog import (  # noqa: F401
-        activity, classify, pairs, profiles, spans, stored, text)
+        activity, classify, pairs, profiles, roundtrip, spans, stored, text)

@@ -54,22 +54,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 _FOLDERS: dict[str, str] = {}
 
 
-def write_once(df: DataFrame, *layout: str) -> DataFrame:
-    """Write the rows once to the shared folder and read them from there.
-
-    Cuts the lineage like a checkpoint, survives lost executors, and later reads fetch
-    only the columns they use.  The files go when the session's file system closes.
-    """
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed when the session's file system closes."""
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
         _FOLDERS[app] = f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_FOLDERS[app])
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    where = f"{_FOLDERS[app]}/{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*layout) if layout else writer).parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    return f"{_FOLDERS[app]}/{uuid.uuid4().hex}"
+
+
+def write_once(df: DataFrame) -> DataFrame:
+    """Write the rows once to the shared folder and read them from there.
+
+    Cuts the lineage like a checkpoint, survives lost executors, and later reads fetch
+    only the columns they use.
+    """
+    where = scratch_path(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -40,8 +40,12 @@ def analysis_rows(results: DataFrame, username: str | None = None) -> DataFrame:
 
 
 def write_analyses(rows: DataFrame, path: str) -> None:
-    """Append, laid out by owner so that a history reads its owner's files only."""
-    rows.write.mode("append").partitionBy("username").parquet(path)
+    """Append, laid out by owner so that a history reads its owner's files only.
+
+    Rows are gathered by owner first, else every task would write a file per owner; the
+    rebalance splits an owner with very many rows over several tasks.
+    """
+    rows.hint("rebalance", "username").write.mode("append").partitionBy("username").parquet(path)
 
 
 def owned_by(df: DataFrame, user) -> DataFrame:
