@@ -109,9 +109,20 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
-@query("op7_suffix_array")
+@query("op7_suffix_array", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+') AS r FROM documents),
+p AS (SELECT doc_id, r, unnest(range(1, len(r) - 48)) AS s FROM w WHERE len(r) >= 50),
+k AS (SELECT doc_id, s, md5(array_to_string(r[s:s + 49], ' ')) AS stretch FROM p),
+later AS (SELECT doc_id, s FROM k
+          QUALIFY row_number() OVER (PARTITION BY stretch ORDER BY doc_id, s) > 1),
+apart AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50
+                    THEN 0 ELSE 1 END AS new FROM later),
+island AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM apart)
+SELECT doc_id, min(s) - 1 AS start_word, max(s) - min(s) + 50 AS n_words
+FROM island GROUP BY doc_id, n""")
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeated_spans(table(spark, sf_dir, "documents"))
+    """Without ``source_id``, which may be any earlier occurrence."""
+    return repeats.repeated_spans(table(spark, sf_dir, "documents")).drop("source_id")
 
 
 @query("op9_simhash")
