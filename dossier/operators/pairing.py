@@ -112,10 +112,11 @@ def skill_density(n_skills: Column, years: Column, words: Column) -> Column:
 
 
 def document_facts(docs: DataFrame, skills: TermSet, as_of_year: int,
-                   compat: bool = False) -> DataFrame:
+                   compat: bool = False, phrases=None, categories=None) -> DataFrame:
     """Everything a document contributes to a pair.  Row-local: no shuffle.
 
-    ``docs`` has a ``text`` column, which is dropped; other columns are kept.
+    ``docs`` has a ``text`` column, which is dropped; other columns are kept.  ``phrases`` (stock
+    phrases) and ``categories`` (category -> roles) replace the built-in lists.
     """
     keep = [c for c in docs.columns if c != "text"]
     folded = F.col("folded")
@@ -134,10 +135,10 @@ def document_facts(docs: DataFrame, skills: TermSet, as_of_year: int,
         X.claimed_years(folded).alias("_claimed"),
         spans.graduation_year(folded, as_of_year).alias("graduation_year"),
         X.achievement_count(folded).alias("achievement_count"),
-        matching.generic_phrase_score(folded).alias("generic_phrase_score"),
+        matching.generic_phrase_score(folded, phrases).alias("generic_phrase_score"),
         X.certification_count(folded).alias("num_certifications"),
         X.education_level(folded).alias("education_level_encoded"),
-        matching.mentioned_categories(folded).alias("mentioned"),
+        matching.mentioned_categories(folded, categories).alias("mentioned"),
         X.resume_likeness(folded).alias("likeness"))
     # stage 2: facts derived from facts
     facts = facts.select(
@@ -158,7 +159,7 @@ def document_facts(docs: DataFrame, skills: TermSet, as_of_year: int,
         "folded", "_content", "_spans", "_overlap", "_years", "_claimed")
 
 
-def target_facts(jobs: DataFrame, skills: TermSet) -> DataFrame:
+def target_facts(jobs: DataFrame, skills: TermSet, categories=None) -> DataFrame:
     """Everything a target contributes to a pair.
 
     ``jobs`` has ``title`` and ``description``, which are dropped; the rest is kept.
@@ -178,7 +179,7 @@ def target_facts(jobs: DataFrame, skills: TermSet) -> DataFrame:
         X.word_count(F.col("_norm")).alias("target_length"),
         skills.hits(F.col("_norm")).alias("target_skills"),
         X.required_years(F.col("_target")).alias("required_years"),
-        matching.relevant_categories(F.col("_target")).alias("relevant"))
+        matching.relevant_categories(F.col("_target"), categories).alias("relevant"))
 
 
 def pair_scores(pairs: DataFrame, compat: bool = False) -> DataFrame:

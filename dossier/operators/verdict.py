@@ -104,10 +104,12 @@ def needs_review(label: Column) -> Column:
 def apply_reviews(df: DataFrame, reviews: DataFrame, keys=("doc_id", "job_id")) -> DataFrame:
     """A 'Disagree' review of a flagged row turns its label into 'Suspicious'.
 
-    ``reviews`` holds (keys, consensus, reasoning); one row per key is used.
+    ``reviews`` holds (keys, consensus, reasoning).  Of several reviews of one key a
+    'Disagree' prevails, whatever else was answered.
     """
+    other = F.coalesce(F.col("consensus") != "Disagree", F.lit(True)).alias("other")
     one = reviews.groupBy(*keys).agg(
-        F.min(F.struct("consensus", "reasoning")).alias("review"))
+        F.min(F.struct(other, "consensus", "reasoning")).alias("review"))
     flagged = needs_review(F.col("classification"))
     joined = df.join(one, list(keys), "left")
     return joined.withColumn("review", F.when(flagged, F.col("review"))).withColumn(
