@@ -57,3 +57,11 @@ def hot_keys(keys: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
     least = keys.count() // share
     return (keys.groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
             .filter((F.col("copies") > least) & (F.col("copies") > 1)).select(key))
+
+
+def attach(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """Inner join of written rows with a table that has ``key`` once: rows of hot keys meet a
+    broadcast of their fewer than HOT_SHARE entries, the others are shuffled."""
+    hot = F.broadcast(small.join(F.broadcast(hot_keys(rows, key)), key, "left_semi"))
+    cold = rows.join(hot.select(key), key, "left_anti").join(small, key)
+    return cold.unionByName(rows.join(hot, key))

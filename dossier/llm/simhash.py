@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dossier.llm.common import text_of, written
+from dossier.llm.common import attach, text_of, written
 from dossier.llm.components import components
 
 BITS, SEED, SEGMENTS, CROWD = 64, 42, 2, 64
@@ -132,7 +132,7 @@ def _labelled(rows: DataFrame, distance: int, segments: int, crowd: int) -> Data
     reached = found.join(least, "component").select("fp", "reached")
     labels = entries.join(reached, "fp", "left").select(
         "fp", F.coalesce("reached", "least").alias("component"))
-    return rows.join(labels, "fp")
+    return attach(rows, written(labels), "fp")
 
 
 def near_classes(docs: DataFrame, shingle: int = 3, distance: int = 3,
