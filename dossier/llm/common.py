@@ -1,21 +1,17 @@
-"""Shared pieces of the corpus operators: written intermediate tables, hot keys, text columns."""
+"""Shared pieces of the corpus operators: hot keys and text columns; ``written`` cuts lineage."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.session import shared_folder
+from dossier.session import write_once as written  # noqa: F401
 
 # A key is hot when it holds more than one HOT_SHARE-th of all rows, so there are
 # fewer than HOT_SHARE hot keys whatever the input: their table may be broadcast.
 HOT_SHARE = 1024
 SALTS = 256
 
-_FOLDERS: dict[str, str] = {}
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -23,24 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, *layout: str) -> DataFrame:
-    """Write the rows once to the shared folder and read them from there.
-
-    Cuts the lineage and survives lost executors; later reads fetch only the columns
-    they use.  The files are removed when the session's file system closes.
-    """
-    spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    if app not in _FOLDERS:
-        _FOLDERS[app] = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_FOLDERS[app])
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    where = f"{_FOLDERS[app]}/{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*layout) if layout else writer).parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
-
-
 def text_of(name: str) -> Column:
     """The text column with null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
