@@ -7,7 +7,7 @@ its first ``length - window + 1`` words inside the repeat.
 
 The suffixes are sorted by (hash of those first words, document, place) in ranges, and each is
 compared with its neighbours.  Those with an equal neighbour are extended left and right:
-every stretch of ``length`` words around them is compared in full length (by a 128-bit
+every stretch of ``length`` words around them is compared in full length (by a 96-bit
 hash) with all others, and a word is a repeat when it lies in a stretch that occurs
 earlier, in the order of (document, place).  Nothing is paired: a stretch needs only the
 first place where it occurs.
@@ -64,10 +64,10 @@ class Sampled:
         return ranges(self.value, self.retained, self.retained + self.block, 0xA0761D6478BD642F)
 
     def stretches(self, candidate: np.ndarray) -> np.ndarray:
-        """Starts of the stretches whose first window has a candidate as its minimum.
+        """Starts of the stretches in which the minimum of every window is a candidate.
 
-        Only that suffix is sure to be retained in every copy: others may owe their place
-        to words outside the stretch.
+        Such a minimum is retained in every copy of the stretch, whatever stands around it;
+        one whose block ends outside the stretch says nothing.
         """
         start = np.flatnonzero(self.whole)
         which = np.searchsorted(self.retained, start)
@@ -76,7 +76,13 @@ class Sampled:
             wrong = self.grams[self.retained[which[open_]]] != self.least[start[open_]]
             open_ = open_[wrong]
             which[open_] += 1
-        return start[candidate[which]]
+        # the minima stand in ascending order: those of a stretch's windows are a slice
+        place = self.retained[which]
+        inner = self.block - GRAM + 1                   # windows that a stretch holds
+        stop = np.minimum(np.arange(len(start)) + inner, np.searchsorted(
+            place, start + self.length - self.block, side="right"))
+        other = np.concatenate(([0], np.cumsum(~candidate[which])))
+        return start[other[stop] == other[:-1]]
 
 
 def _chunks(columns: dict):
@@ -166,7 +172,8 @@ def _stretches(rows: DataFrame, candidates: DataFrame, length: int, window: int)
                 text = found.text[start]
                 parts.append((
                     _signed(ranges(found.value, start, start + length, 0xE7037ED1A0B428DB)),
-                    _signed(ranges(mixed(found.value), start, start + length, 0x8EBC6AF09C88C6E3)),
+                    (_signed(ranges(mixed(found.value), start, start + length, 0x8EBC6AF09C88C6E3))
+                     >> 32).astype(np.int32),
                     batch.column("id").to_numpy()[text], batch.column("mark").to_numpy()[text],
                     (start - found.origin[text]).astype(np.int32)))
         if not parts:
@@ -174,30 +181,31 @@ def _stretches(rows: DataFrame, candidates: DataFrame, length: int, window: int)
         h1, h2, own, mark, start = map(np.concatenate, zip(*parts))
         parts.clear()
         order = np.lexsort((start, mark, own, h2, h1))
-        h1, h2, own, mark, start = (x[order] for x in (h1, h2, own, mark, start))
-        later = np.concatenate(([False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])))
-        lead = np.maximum.accumulate(np.where(later, 0, np.arange(len(later))))
-        first = ~later
-        n = int(first.sum())
+        later = np.concatenate(([False], (np.diff(h1[order]) == 0) & (np.diff(h2[order]) == 0)))
+        lead = order[np.maximum.accumulate(np.where(later, 0, np.arange(len(later))))]
+        # in the order of the documents, so that a document's rows compress well
+        first, nothing = np.sort(order[~later]), np.zeros(int((~later).sum()), np.int64)
         yield from _chunks({"h1": h1[first], "h2": h2[first], "id": own[first],
-                            "mark": mark[first], "start": start[first], "stop": start[first],
-                            "source": own[first], "done": np.zeros(n, bool)})
+                            "mark": mark[first], "start": start[first],
+                            "stop": nothing.astype(np.int32), "source": nothing,
+                            "done": nothing.astype(bool)})
         # one row seen twice is not a repeat of itself
-        later &= (mark != mark[lead]) | (start != start[lead])
-        own, source, mark, start = own[later], own[lead][later], mark[later], start[later]
+        later &= (mark[order] != mark[lead]) | (start[order] != start[lead])
+        source, order = own[lead][later], order[later]
+        own, mark, start = own[order], mark[order], start[order]
         order = np.lexsort((start, mark, own))
         own, source, mark, start = (x[order] for x in (own, source, mark, start))
         new = np.concatenate(([True], (mark[1:] != mark[:-1]) | (own[1:] != own[:-1])
                               | (start[1:] > start[:-1] + 1)))[:len(own)]
         begin = np.flatnonzero(new)
         end = np.concatenate((begin[1:], [len(own)])) - 1 if len(begin) else begin
-        yield from _chunks({"h1": mark[begin], "h2": start[begin].astype(np.int64),
+        yield from _chunks({"h1": mark[begin], "h2": start[begin],
                             "id": own[begin], "mark": mark[begin], "start": start[begin],
                             "stop": start[end], "source": source[begin],
                             "done": np.ones(len(begin), bool)})
 
     return rows.join(candidates, "mark").select("id", "mark", "body", "places").mapInArrow(
-        run, "h1 long, h2 long, id long, mark long, start int, stop int, source long, done boolean")
+        run, "h1 long, h2 int, id long, mark long, start int, stop int, source long, done boolean")
 
 
 def _spans(rows: DataFrame, length: int, window: int) -> DataFrame:
@@ -208,7 +216,7 @@ def _spans(rows: DataFrame, length: int, window: int) -> DataFrame:
     later = (stretches.withColumn("head", head)
              .filter(F.col("done") | (F.col("head") != F.struct("id", "mark", "start")))
              .select("id", "mark", F.struct(
-                 "start", "stop",
+                 "start", F.when(F.col("done"), F.col("stop")).otherwise(F.col("start")).alias("stop"),
                  F.when(F.col("done"), F.col("source")).otherwise(F.col("head.id"))
                  .alias("source")).alias("run")))
 
@@ -239,7 +247,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     """One row per repeated span: id, start_word, n_words, source_id.
 
     A span is a maximal run of words each of which lies in a stretch of ``length`` words that
-    occurs earlier in the corpus; ``source_id`` is a document with an earlier occurrence
+    occurs earlier in the corpus; ``source_id`` is some document with an earlier occurrence
     of its first stretch (the document itself when it repeats itself).  Words are runs
     without ASCII white space, compared byte for byte.  Null, empty and short texts have no
     spans.  Ids are integers; null ids come last in the order and are returned as
