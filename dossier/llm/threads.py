@@ -130,24 +130,26 @@ def conversations(messages: DataFrame, thread: str = "conv_id", order: str = "tu
     comes first; a null text counts as empty; rows equal in all four columns count once.
     """
     parsed = _parsed(messages, thread, order, role, text)
-    up = written(parsed.select("uid").join(_originals(parsed), "uid", "left").select(
+    linked = parsed.select("uid").join(_originals(parsed), "uid", "left")
+    start = written(linked.select(
         "uid", "parent", F.coalesce("parent", "uid").alias("top"),
-        F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")))
-    while True:     # each round doubles the reach
-        higher = up.select(F.col("uid").alias("top"), F.col("top").alias("top2"),
-                           F.col("depth").alias("depth2"))
-        now = written(up.join(higher, "top").select(
+        F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"),
+        F.col("parent").isNull().alias("done")))
+    settled, open_ = start.filter("done"), start.filter("not done")
+    while not open_.isEmpty():  # each round doubles the reach of what has not met its root
+        higher = settled.unionByName(open_).select(
+            F.col("uid").alias("top"), F.col("top").alias("top2"),
+            F.col("depth").alias("depth2"), F.col("done").alias("done2"))
+        now = written(open_.join(higher, "top").select(
             "uid", "parent", F.col("top2").alias("top"),
-            (F.col("depth") + F.col("depth2")).alias("depth"),
-            (F.col("top2") != F.col("top")).alias("moved")))
-        up = now.drop("moved")
-        if now.filter("moved").isEmpty():
-            break
+            (F.col("depth") + F.col("depth2")).alias("depth"), F.col("done2").alias("done")))
+        settled, open_ = settled.unionByName(now.filter("done")), now.filter("not done")
+    up = settled.drop("done")
     names = parsed.select("uid", "own_order")
-    linked = (parsed.drop("units").join(up, "uid")
-              .join(names.toDF("parent", "parent_order"), "parent", "left")
-              .join(names.toDF("top", "root_order"), "top", "left"))
-    return linked.select(
+    rows = (parsed.drop("units").join(up, "uid")
+            .join(names.toDF("parent", "parent_order"), "parent", "left")
+            .join(names.toDF("top", "root_order"), "top", "left"))
+    return rows.select(
         F.col("own_thread").alias(thread), F.col("own_order").alias(order), "role",
         F.col("parent_order").alias("parent"), F.col("root_order").alias("root"), "depth", "body",
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), "body",
