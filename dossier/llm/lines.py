@@ -7,6 +7,9 @@ only when its fingerprint stands at several positions.  Such windows are compare
 every window that has an earlier copy (by document and place) is a match; matches that
 touch or overlap extend each other, forwards and backwards, to maximal runs.  The later runs are
 deleted, the first stays.
+
+With ``words``, the guarantee depends on content too: fewer lines also make a window when they
+have that many words, and so do all lines of a text with fewer than ``run``.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql.window import Window
 from dossier.llm.common import text_of, written
 
 RUN = 3
+WORD = r"[^ \t\n\x0B\f\r]+"
 
 
 def _lines(text: Column) -> Column:
@@ -34,41 +38,58 @@ def _mark(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), text_of(text_col))
 
 
-def _windows(docs: DataFrame, run: int, id_col: str, text_col: str) -> DataFrame:
-    """Written (id, mark, start, first, last, fingerprint, at, content) of every window of
-    ``run`` lines: its place among the lines that are not blank, and its line numbers."""
+def _windows(docs: DataFrame, run: int, words: int | None, id_col: str,
+             text_col: str) -> DataFrame:
+    """Written (id, mark, start, stop, first, last, fingerprint, at, content) of every window:
+    its places among the lines that are not blank, and its line numbers."""
     lines = docs.select(F.col(id_col).alias("id"), _mark(id_col, text_col).alias("mark"),
-                        _content(text_of(text_col)).alias("lines")).filter(F.size("lines") >= run)
+                        _content(text_of(text_col)).alias("lines")).filter(
+        F.size("lines") >= (run if words is None else 1))
     hashed = lines.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x.line)))
-    starts = F.sequence(F.lit(1), F.size("lines") - F.lit(run - 1))
+    if words is not None:
+        hashed = hashed.withColumn("counts", F.transform(
+            "lines", lambda x: F.regexp_count(x.line, F.lit(WORD))))
 
-    def window(s):
-        part, least = F.slice("lines", s, run), F.array_min(F.slice("hashes", s, run))
+    def window(s, size):
+        part, least = F.slice("lines", s, size), F.array_min(F.slice("hashes", s, size))
         return F.struct(
-            s.alias("start"), F.element_at(part, 1).at.alias("first"),
-            F.element_at(part, run).at.alias("last"), least.alias("fingerprint"),
-            F.array_position(F.slice("hashes", s, run), least).alias("at"),
+            s.alias("start"), (s + F.lit(size - 1)).alias("stop"),
+            F.element_at(part, 1).at.alias("first"),
+            F.element_at(part, size).at.alias("last"), least.alias("fingerprint"),
+            F.array_position(F.slice("hashes", s, size), least).alias("at"),
             F.unhex(F.md5(F.array_join(F.transform(part, lambda x: x.line), "\n")))
             .alias("content"))
 
-    return written(hashed.select("id", "mark", F.explode(F.transform(starts, window)).alias("w"))
+    def of(size):
+        starts = F.when(F.size("lines") >= size, F.sequence(
+            F.lit(1), F.size("lines") - F.lit(size - 1))).otherwise(F.array().cast("array<int>"))
+        if size < run:
+            starts = F.filter(starts, lambda s: (F.size("lines") == size) | (F.aggregate(
+                F.slice("counts", s, size), F.lit(0), lambda n, x: n + x) >= words))
+        return F.transform(starts, lambda s: window(s, size))
+
+    sizes = [run] if words is None else range(1, run + 1)
+    return written(hashed.select("id", "mark", F.explode(F.concat(*map(of, sizes))).alias("w"))
                    .select("id", "mark", "w.*"))
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
+                  text_col: str = "text", words: int | None = None) -> DataFrame:
     """(id, mark, first, last, source_id): the later runs of every document.
 
     ``first`` and ``last`` are line numbers from 0; a run has ``run`` or more lines that are not
-    blank, and lines are compared trimmed.  ``source_id`` is the document with the first copy
-    of the run's first window.  Null and short texts have no runs.  A null id comes
+    blank, and lines are compared trimmed.  With ``words``, fewer lines are a run too when they
+    have ``words`` words (without ASCII white space) or are all lines of both texts.
+    ``source_id`` is the document with the first copy of the run's first window.  Null
+    and blank texts have no runs, nor have shorter ones without ``words``.  A null id comes
     last in the order.  Rows equal in id and text share a mark and count as one document.
     """
-    windows = _windows(docs, run, id_col, text_col)
+    windows = _windows(docs, run, words, id_col, text_col)
     shared = (windows.select("fingerprint", "mark", (F.col("start") + F.col("at")).alias("place"))
               .distinct().groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
               .filter("n > 1").select("fingerprint"))
-    own = F.struct(F.col("id").isNull().alias("late"), "id", "mark", "start", "first", "last")
+    own = F.struct(F.col("id").isNull().alias("late"), "id", "mark", "start", "stop", "first",
+                   "last")
     matched = windows.join(shared, "fingerprint", "left_semi").select(
         "content", own.alias("own"))
     first = (matched.groupBy("content").agg(F.min("own").alias("head"),
@@ -76,23 +97,25 @@ def repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id",
              .filter(F.col("head") != F.col("tail")).select("content", "head"))
     later = matched.join(first, "content").filter(F.col("own") != F.col("head")).select(
         "own.*", F.col("head.id").alias("source_id")).distinct()
-    order = Window.partitionBy("mark", "id").orderBy("start")
-    apart = F.coalesce(F.col("start") > F.lag("start").over(order) + run, F.lit(True))
+    order = Window.partitionBy("mark", "id").orderBy("start", "stop").rowsBetween(
+        Window.unboundedPreceding, -1)
+    apart = F.coalesce(F.col("start") > F.max("stop").over(order) + 1, F.lit(True))
+    order = order.rowsBetween(Window.unboundedPreceding, 0)
     return (later.withColumn("island", F.sum(apart.cast("int")).over(order))
             .groupBy("id", "mark", "island").agg(
                 F.min("first").alias("first"), F.max("last").alias("last"),
-                F.min(F.struct("start", "source_id")).alias("head"))
+                F.min(F.struct("start", "stop", "source_id")).alias("head"))
             .select("id", "mark", "first", "last", F.col("head.source_id").alias("source_id")))
 
 
 def cut_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id",
-             text_col: str = "text") -> DataFrame:
+             text_col: str = "text", words: int | None = None) -> DataFrame:
     """All rows and columns, and ``removed_runs`` array<(first, last)>; the runs' lines are
     cut out of the text.
 
     A text without runs, null included, stays as it is.
     """
-    runs = (repeated_runs(docs, run, id_col, text_col).groupBy("mark")
+    runs = (repeated_runs(docs, run, id_col, text_col, words).groupBy("mark")
             .agg(F.collect_list(F.struct("first", "last")).alias("runs")))
     joined = docs.select(F.struct(*docs.columns).alias("row"),
                          _mark(id_col, text_col).alias("mark")).join(runs, "mark", "left")

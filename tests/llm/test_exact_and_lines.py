@@ -106,3 +106,40 @@ def test_lines_of_odd_rows(spark):
     assert texts[12] == "a\nb\nc\nd\ne" and texts[13] == "x\ny" and texts[1] is None
     assert {(r.doc_id, r.source_id) for r in lines.repeated_runs(docs).selectExpr(
         "id AS doc_id", "source_id").collect()} == {(13, 12)}
+
+
+def cut_by_words(texts: list, run: int, words: int) -> list:
+    """As ``cut_by_hand``, and fewer lines count with ``words`` words or as a whole text."""
+    seen, out = set(), []
+    for text in texts:
+        whole = (text or "").split("\n")
+        full = [(k, x.strip(" ")) for k, x in enumerate(whole) if x.strip(" ")]
+        hit = set()
+        for s in range(len(full)):
+            for size in range(1, min(run, len(full) - s) + 1):
+                key = tuple(x for _, x in full[s:s + size])
+                if size == run or size == len(full) or sum(len(x.split()) for x in key) >= words:
+                    if key in seen:
+                        hit.update(range(s, s + size))
+                    seen.add(key)
+        gone = {full[s][0] for s in hit}
+        for s in hit:       # blank lines inside a run go with it
+            if s + 1 in hit:
+                gone.update(range(full[s][0], full[s + 1][0]))
+        out.append((len(gone), "\n".join(x for k, x in enumerate(whole) if k not in gone)))
+    return out
+
+
+def test_few_long_lines_and_short_texts_repeat(spark):
+    chance = random.Random(8)
+    long = [odd.words(n, n) for n in (60, 30, 25, 50, 49)]
+    texts = [long[0], f"x\n{long[0]}\ny", long[0], f"{long[1]}\n\n{long[2]}", "short", "short",
+             f"z\n {long[1]}\n{long[2]}", long[4], f"{long[4]}\nown line", "short\nother", None, ""]
+    texts += ["\n".join(chance.choice(["a", "b", "", *long]) for _ in range(chance.randint(0, 6)))
+              for _ in range(60)]
+    got = {r.doc_id: r for r in lines.cut_runs(odd.plain(spark, texts), words=50).collect()}
+    for k, (gone, text) in enumerate(cut_by_words(texts, 3, 50)):
+        assert sum(r.last - r.first + 1 for r in got[k].removed_runs) == gone
+        assert (got[k].text or "") == text
+    assert [got[k].text for k in (0, 1, 2, 4, 5, 6, 8)] == [
+        long[0], "x\ny", "", "short", "", "z", f"{long[4]}\nown line"]
