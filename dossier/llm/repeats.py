@@ -25,7 +25,7 @@ from dossier.llm.common import text_of, written
 from dossier.llm.wordhash import Words, mixed, ranges, sliding
 
 LENGTH, WINDOW, GRAM = 50, 30, 5
-ROWS, ROWS_OUT = 128, 1 << 16
+ROWS, ROWS_OUT, SEEN = 128, 1 << 16, 1 << 20
 NO_ID = (1 << 63) - 1
 
 
@@ -100,18 +100,33 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.xxhash64(own, body).alias("mark"), body.alias("body"))
 
 
+def _once(batches):
+    """The batches without rows whose mark the task has seen, as far as ``SEEN`` marks go."""
+    seen: set[int] = set()
+    for batch in batches:
+        new = []
+        for k, mark in enumerate(batch.column("mark").to_pylist()):
+            if mark not in seen:
+                new.append(k)
+                seen.add(mark)
+        if len(seen) > SEEN:
+            seen.clear()
+        yield batch if len(new) == batch.num_rows else batch.take(pa.array(new, pa.int64()))
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
 def _candidates(rows: DataFrame, length: int, window: int) -> DataFrame:
-    """(mark, places): retained suffixes that equal a neighbour in the sorted order.
+    """(mark, places): retained suffixes that equal a neighbour in the sorted order; a mark has
+    a place once, however many rows share the mark.
 
     A suffix at the edge of a range has a neighbour in another range, which is not seen: it
     counts as a candidate, and the full comparison that follows decides.
     """
     def retain(batches):
-        for whole in batches:
+        for whole in _once(batches):
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
                 found = Sampled([t.encode() for t in batch.column("body").to_pylist()],
@@ -133,6 +148,9 @@ def _candidates(rows: DataFrame, length: int, window: int) -> DataFrame:
             if held is not None:
                 block, mark, place = (np.concatenate((h, x)) for h, x in
                                       zip(held, (block, mark, place)))
+            new = np.concatenate(([True], (block[1:] != block[:-1]) | (mark[1:] != mark[:-1])
+                                  | (place[1:] != place[:-1])))
+            block, mark, place = block[new], mark[new], place[new]
             equal = block[1:] == block[:-1]
             near = np.concatenate(([held is None or held_equal], equal)) | np.concatenate(
                 (equal, [False]))
@@ -204,7 +222,7 @@ def _stretches(rows: DataFrame, candidates: DataFrame, length: int, window: int)
                             "stop": start[end], "source": source[begin],
                             "done": np.ones(len(begin), bool)})
 
-    return rows.join(candidates, "mark").select("id", "mark", "body", "places").mapInArrow(
+    return rows.dropDuplicates(["mark"]).join(candidates, "mark").select("id", "mark", "body", "places").mapInArrow(
         run, "h1 long, h2 int, id long, mark long, start int, stop int, source long, done boolean")
 
 

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import odd
 from dossier.llm import components, repeats, simhash
@@ -160,6 +161,27 @@ def test_repeats_of_odd_rows(spark):
     assert repeats.repeated_spans(none).count() == 0 and repeats.cut_repeats(none).count() == 0
 
 
+def test_equal_rows_are_worked_on_once(spark):
+    shared, tail, *own = odd.words(120, 31), odd.words(90, 32), *(odd.words(60, k) for k in (35, 36, 37))
+    once = [(1, f"{shared} {own[0]}"), (7, f"{shared} {tail} {own[1]}"),
+            (None, f"{tail} {shared} {own[2]}"), (8, odd.words(200, 34))]
+    docs = once + [once[1]] * 300 + [once[2]] * 300 + [once[3]] * 300
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    rows = repeats._keyed(table, "doc_id", "text")
+    found = repeats._candidates(rows, 50, 30)
+    places = {r.mark: r.places for r in found.collect()}
+    assert len(places) >= 3 and all(len(p) == len(set(p)) for p in places.values())
+    stretches = repeats._stretches(rows, found, 50, 30).filter("not done")
+    assert stretches.count() == stretches.select("h1", "h2", "mark", "start").distinct().count()
+    got = [(r.doc_id, r.start_word, r.n_words) for r in repeats.repeated_spans(table).collect()]
+    assert len(got) == len(set(got)) and set(got) == spans_by_hand(once, 50)
+    cut = repeats.cut_repeats(table)
+    assert cut.count() == len(docs)
+    assert {(r.doc_id, r.text, r.n) for r in cut.groupBy("doc_id", "text").agg(
+        F.count("*").alias("n")).collect()} == {
+        (1, once[0][1], 1), (7, f"{tail} {own[1]}", 301), (None, own[2], 301), (8, once[3][1], 301)}
+
+
 def test_word_hashes_do_not_depend_on_the_batch():
     alone = [Words([t]).hash.tolist() for t in (b"a bb  c", b"", b"bb\tc a")]
     together = Words([b"a bb  c", b"", b"bb\tc a"])
