@@ -7,8 +7,8 @@ query visits the lists nearest to it; there, after each block of columns, a hypo
 on the partial distance abandons the candidates that are most unlikely to come below
 the query's bound.  What is left is measured exactly, on the original vectors.
 
-The bound is the distance of the k-th nearest among a sample that every task holds, so it is a
-true upper bound from the start.
+The bound is the distance of the k-th nearest among a sample that every task holds, with one row
+per id as ids count once in the result, so it is a true upper bound from the start.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def build(vectors: DataFrame, k: int, dims: int, covered: float = COVERED) -> Index:
-    """Centres and probe count from a sample of at most MAX_SAMPLE vectors.
+    """Centres and probe count from a sample of at most MAX_SAMPLE vectors, one per id.
 
     ``vectors``: (id, vec) of usable vectors.  The number of lists grows with the root of the
     table up to MAX_LISTS.  The probe count is the least that finds ``covered`` of the
@@ -98,9 +98,11 @@ def build(vectors: DataFrame, k: int, dims: int, covered: float = COVERED) -> In
     size, longest = vectors.agg(F.count(F.lit(1)), F.max(F.aggregate(
         "vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()
     lists = max(1, min(MAX_LISTS, round(size ** 0.5)))
-    rows = (vectors.withColumn("rank", F.xxhash64(F.lit("sample"), "id")).orderBy("rank", "id")
-            .limit(min(MAX_SAMPLE, lists * PER_LIST)).select("id", "vec").toArrow()
-            .combine_chunks())
+    drawn = (vectors.select("id", F.xxhash64(F.lit("sample"), "id").alias("rank")).distinct()
+             .orderBy("rank", "id").limit(min(MAX_SAMPLE, lists * PER_LIST)).select("id"))
+    rows = (vectors.join(F.broadcast(drawn), "id", "left_semi").groupBy("id")
+            .agg(F.min("vec").alias("vec")).orderBy(F.xxhash64(F.lit("sample"), "id"), "id")
+            .toArrow().combine_chunks())
     ids = rows.column("id").to_numpy()
     sample = _matrix(rows.column("vec").combine_chunks(), dims).astype(np.float32)
     turn, _ = np.linalg.qr(np.random.default_rng(3).standard_normal((dims + 1, dims + 1)))

@@ -106,6 +106,24 @@ def test_neighbours_against_all(spark, n, k):
     assert found / total >= 0.9
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_neighbours_with_repeated_ids(spark, hot):
+    """Every row doubled, or an id that holds a third of the rows."""
+    chance = np.random.default_rng(11)
+    rows = [(j, chance.standard_normal(12).astype(np.float32).tolist()) for j in range(1000)]
+    rows += ([(7, chance.standard_normal(12).astype(np.float32).tolist()) for _ in range(500)]
+             if hot else rows)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(table, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = neighbours_by_hand(rows, 20)
+    assert set(got) == set(want) and {len(ids) for ids in got.values()} == {20}
+    assert np.mean([len(got[q] & set(ids)) / 20 for q, (ids, _) in want.items()]) >= 0.9
+    index = neighbours.build(table.toDF("id", "vec"), 20, 12)
+    assert sorted(index.sample_ids.tolist()) == list(range(1000))
+
+
 def test_scan_keeps_what_is_within_the_bound():
     chance = np.random.default_rng(2)
     q, v = chance.standard_normal((20, 64)), chance.standard_normal((400, 64))
