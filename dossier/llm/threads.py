@@ -104,14 +104,13 @@ def _originals(parsed: DataFrame) -> DataFrame:
     blocks = seen.groupBy(*key, "block").agg(F.max(original).alias("best"))
     before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("carried", F.max("best").over(before)).drop("best")
-    # at one message quoted units come first, so a message is never its own original
-    running = (Window.partitionBy(*key, "block").orderBy("place", "uid", F.desc("level"))
-               .rowsBetween(Window.unboundedPreceding, -1))
+    # strictly earlier places, so neither the message nor one of the same place hides an original
+    running = (Window.partitionBy(*key, "block").orderBy("place")
+               .rangeBetween(Window.unboundedPreceding, -1))
     found = (seen.withColumn("here", F.max(original).over(running))
              .filter(F.col("level") > 0).join(blocks, [*key, "block"])
              .withColumn("to", F.coalesce("here", "carried"))
-             .filter(F.col("to").isNotNull() & (F.col("to.uid") != F.col("uid"))
-                     & (F.col("to.place") < F.col("place"))))
+             .filter(F.col("to").isNotNull()))
     return (found.groupBy("uid", "level", "to").agg(F.sum("weight").alias("weight"))
             .groupBy("uid").agg(F.max(F.struct((-F.col("level")).alias("near"), "weight", "to"))
                                 .alias("best")).select("uid", F.col("best.to.uid").alias("parent")))

@@ -165,6 +165,15 @@ def test_replies_follow_quotations(spark):
     assert threads.conversations(none).count() == 0
 
 
+def test_messages_of_one_turn(spark):
+    """In some of the threads the message that repeats the words has the smaller uid."""
+    rows = [r for k in range(20) for r in [(k, 0, "user", "the same words"), (
+        k, 1, "user", "the same words"), (k, 1, "other", "> the same words\nYes.")]]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = threads.conversations(table).filter("role = 'other'").collect()
+    assert len(got) == 20 and {(r.parent, r.root, r.depth) for r in got} == {(0, 0, 1)}
+
+
 def test_long_thread_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(threads, "PLACES", 4)
     rows = [(1, k, "user", (f"> word {k - 1}\n> same words\n" if k else "")
