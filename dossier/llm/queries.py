@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm import (
-    bpe, counting, exact_dedup, lines, neighbours, packing, repeats, simhash, threads, toxicity)
+    bpe, counting, exact_dedup, lines, neighbours, packing, phrases, repeats, simhash, threads,
+    toxicity)
 from dossier.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -162,3 +163,37 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of the source, the language and every line of every document."""
     return counting.count_tokens(table(spark, sf_dir, "documents"), BYTE_VOCABULARY,
                                  ["source", "lang", "text"], by_line=["text"])
+
+
+@query("op11_collocations", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[.,;:!?\n\x0B\x0C\r]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS ws FROM p),
+g AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS s FROM w),
+c AS MATERIALIZED (SELECT lang, k, array_to_string(ws[s:s + k - 1], ' ') AS phrase, count(*) AS f
+      FROM g, (VALUES (1), (2), (3), (4)) AS sizes(k) WHERE s + k - 1 <= len(ws) GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM c WHERE k = 1 GROUP BY lang),
+f AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS ws FROM c WHERE f >= 30),
+inside AS (SELECT lang, phrase, max(f) AS longer FROM (
+    SELECT f.lang, f.f, array_to_string(ws[b:b + size - 1], ' ') AS phrase
+    FROM f, (VALUES (2), (3)) AS sizes(size), (VALUES (1), (2), (3)) AS starts(b)
+    WHERE size < k AND b + size - 1 <= k) GROUP BY ALL),
+cand AS (SELECT f.lang, f.k, f.phrase, f.ws, f.f AS a FROM f LEFT JOIN inside USING (lang, phrase)
+         WHERE f.k > 1 AND (longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * f.f)),
+parts AS MATERIALIZED (
+  SELECT x.lang, x.phrase, x.a, b, array_to_string(x.ws[1:b], ' ') AS left_part,
+         array_to_string(x.ws[b + 1:], ' ') AS right_part
+  FROM cand x, (VALUES (1), (2), (3)) AS cuts(b) WHERE b < x.k),
+cut AS (SELECT x.lang, x.phrase, x.a, b, l.f AS l, r.f AS r,
+               (2000000::HUGEINT * x.a) // (l.f::HUGEINT + r.f) AS score
+        FROM parts x JOIN f l ON l.lang = x.lang AND l.phrase = x.left_part
+        JOIN f r ON r.lang = x.lang AND r.phrase = x.right_part),
+worst AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, b) = 1),
+ranked AS (SELECT *, row_number() OVER (
+             PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM worst)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000""")
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents")).select(
+        "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
