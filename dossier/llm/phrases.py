@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from itertools import count
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +35,15 @@ from dossier.llm.common import HOT_SHARE, SALTS, written
 # fixed values: characters that end a piece, and the two that part words
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 
-LONGEST, ROUNDS = 4, 4
+LONGEST, ROUNDS, CUTS = 4, 4, 32
 HOT_SAMPLE = 1000           # documents read to find hot pairs; they only decide where rows go
 CHUNK_BYTES, PLACES = 8 << 20, 1 << 21
 ENTRIES, GATHERED, HELD = 4096, 1 << 20, 1 << 22
 BITS, LOW = 21, (1 << 21) - 1
 
 _TABLE = bytes.maketrans(PIECE_ENDS + b"\t", b"\n" * len(PIECE_ENDS) + b" ")
-ADJACENT = "lang string, node string, route int, edges string"
+# a key (pair, route, language, apart by tabs) and its entries, each after a line end
+ADJACENT = "row string"
 FOUND = "k int, lang string, phrase string, n long, part boolean"
 
 
@@ -71,11 +73,14 @@ def _grams(word: np.ndarray, number: np.ndarray, start: int, stop: int):
 
 
 def _adjacency(raws: list[bytes], langs: list[str], hot: tuple[set, set], places: int = PLACES):
-    """Record batches of ADJACENT: equal grams added up, by language and first two words."""
+    """Record batches of ADJACENT: equal grams added up, by language and first two words.
+
+    A row is one string, since columns of their own would double its size.
+    """
     word, number, names = _words(raws)
     codes: dict = defaultdict(count().__next__)
     lang_of = np.fromiter((codes[x] for x in langs), np.int64, len(langs))
-    lang_names = pa.array(list(codes), pa.string())
+    lang_names = pa.array([quote(x, safe="") for x in codes], pa.string())
     for start in range(0, len(word), places):
         stop = min(start + places, len(word))
         texts, *grams = _grams(word, number, start, stop)
@@ -107,18 +112,19 @@ def _adjacency(raws: list[bytes], langs: list[str], hot: tuple[set, set], places
         lists = pa.ListArray.from_arrays(
             pa.array(np.append(cuts, len(pair)), pa.int32()), entries.take(pa.array(order)))
         at = pa.array(pair[cuts])
+        key = pc.binary_join_element_wise(
+            nodes.take(at), pa.array(route[cuts]).cast(pa.string()), lang.take(at), "\t")
         yield pa.RecordBatch.from_arrays(
-            [lang.take(at), nodes.take(at), pa.array(route[cuts], pa.int32()),
-             pc.binary_join(lists, "\n")], ["lang", "node", "route", "edges"])
+            [pc.binary_join_element_wise(key, pc.binary_join(lists, "\n"), "\n")], ["row"])
 
 
 def _routes(lang, nodes, pair, known, w3, w4, hot: tuple[set, set]) -> np.ndarray:
     """-1; for entries of hot pairs a salt by the third word, of hot triples by the fourth."""
     route = np.full(len(pair), -1, np.int64)
-    keys = pc.binary_join_element_wise(lang, nodes, "\n")
+    keys = pc.binary_join_element_wise(lang, nodes, "\t")
 
     def among(these: pa.Array, wanted: set) -> np.ndarray:
-        return pc.is_in(these, value_set=pa.array(["\n".join(k) for k in wanted], pa.string())
+        return pc.is_in(these, value_set=pa.array(["\t".join(k) for k in wanted], pa.string())
                         ).to_numpy(zero_copy_only=False)
 
     def salts(codes):
@@ -130,7 +136,7 @@ def _routes(lang, nodes, pair, known, w3, w4, hot: tuple[set, set]) -> np.ndarra
     if len(at):
         route[at] = salts(w3[at])
         at = at[among(pc.binary_join_element_wise(
-            keys.take(pa.array(pair[at])), known.take(pa.array(w3[at])), "\n"), hot[1])]
+            keys.take(pa.array(pair[at])), known.take(pa.array(w3[at])), "\t"), hot[1])]
     if len(at):
         route[at] = SALTS + salts(w4[at])
     return route
@@ -169,10 +175,13 @@ def _hot(rows: DataFrame) -> tuple[set, set]:
     if not size:
         return set(), set()
     sample = rows.sample(False, min(1.0, HOT_SAMPLE / size), 7)
+    entry = F.explode(F.slice(F.split("row", "\n"), 2, 1 << 30)).alias("entry")
+    part = lambda column, by, at: F.split_part(column, F.lit(by), F.lit(at))
+    key = F.substring_index("row", "\n", 1)
     lists = written(_sent(sample, (set(), set())).select(
-        "lang", "node", F.explode(F.split("edges", "\n")).alias("entry")).select(
-        "lang", "node", F.split_part("entry", F.lit(" "), F.lit(1)).alias("third"),
-        F.split_part("entry", F.lit(" "), F.lit(3)).cast("long").alias("n")))
+        part(key, "\t", 3).alias("lang"), part(key, "\t", 1).alias("node"), entry).select(
+        "lang", "node", part(F.col("entry"), " ", 1).alias("third"),
+        part(F.col("entry"), " ", 3).cast("long").alias("n")))
     places = lists.agg(F.sum("n")).first()[0] or 0
 
     def over(*keys):
@@ -183,16 +192,16 @@ def _hot(rows: DataFrame) -> tuple[set, set]:
     return over("lang", "node"), over("lang", "node", "third")
 
 
-def _added(batch: pa.Table):
+def _added(rows: pa.Array):
     """Entries of adjacency rows, equal ones added up: (group of the row's key, third word,
-    fourth word, count), the words, and the first row of every group; rows are sorted."""
-    lang, node, route = (batch.column(c).combine_chunks() for c in ("lang", "node", "route"))
-    new = np.ones(len(lang), bool)
-    if len(lang) > 1:
-        same = pc.and_(pc.and_(pc.equal(lang[1:], lang[:-1]), pc.equal(node[1:], node[:-1])),
-                       pc.equal(route[1:], route[:-1]))
-        new[1:] = ~same.to_numpy(zero_copy_only=False)
-    lists = pc.split_pattern(batch.column("edges").combine_chunks(), "\n")
+    fourth word, count), the words, and the key of every group; rows are sorted."""
+    halves = pc.split_pattern(rows, "\n", max_splits=1).flatten()
+    even = pa.array(np.arange(0, len(halves), 2))
+    keys, edges = halves.take(even), halves.take(pc.add(even, 1))
+    new = np.ones(len(keys), bool)
+    if len(keys) > 1:
+        new[1:] = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
+    lists = pc.split_pattern(edges, "\n")
     parts = pc.split_pattern(lists.flatten(), " ").flatten()
     group = np.repeat(np.cumsum(new) - 1, np.diff(lists.offsets.to_numpy()))
     words = pc.dictionary_encode(pa.concat_arrays(
@@ -206,23 +215,25 @@ def _added(batch: pa.Table):
     n = np.add.reduceat(n[order], first) if total else n
     key = key[first]
     return (key >> 2 * BITS, key >> BITS & LOW, key & LOW, n, words.dictionary,
-            np.flatnonzero(new))
+            keys.take(pa.array(np.flatnonzero(new))))
 
 
 def _every(parts: pa.Array, at: int) -> pa.Array:
     return pa.array(np.arange(at, len(parts), 3))
 
 
-def _sums(batch: pa.Table, least: int, cut: bool):
+def _sums(batch: pa.Array, least: int, cut: bool):
     """Counts of the phrases that begin with the rows' nodes, as FOUND rows.
 
     ``cut``: the rows are not all of their only group, so every count is a part.
     """
-    group, w3, w4, n, words, firsts = _added(batch)
-    at = pa.array(firsts)
-    lang, node = batch.column("lang").combine_chunks().take(at), batch.column(
-        "node").combine_chunks().take(at)
-    route = batch.column("route").combine_chunks().take(at).to_numpy()
+    group, w3, w4, n, words, keys = _added(batch)
+    size = len(keys)
+    parts = pc.split_pattern(keys, "\t").flatten()
+    node, route, lang = (parts.take(_every(parts, k)) for k in range(3))
+    route, lang = route.cast(pa.int64()).to_numpy(), lang.dictionary_encode()
+    lang = pa.array([unquote(x) for x in lang.dictionary.to_pylist()], pa.string()).take(
+        lang.indices)
     halves = pc.split_pattern(node, " ").flatten()
     even = pa.array(np.arange(0, len(halves), 2))
     first, second = halves.take(even), halves.take(pc.add(even, 1))
@@ -230,9 +241,8 @@ def _sums(batch: pa.Table, least: int, cut: bool):
 
     def rows(k: int, where, phrase: pa.Array, counts, part):
         shown = pa.array(np.flatnonzero(part | (counts >= least)))
-        size = len(shown)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(size, k), pa.int32()), lang.take(pa.array(where)).take(shown),
+            [pa.array(np.full(len(shown), k), pa.int32()), lang.take(pa.array(where)).take(shown),
              phrase.take(shown), pa.array(counts).take(shown), pa.array(part).take(shown)],
             ["k", "lang", "phrase", "n", "part"])
 
@@ -249,12 +259,12 @@ def _sums(batch: pa.Table, least: int, cut: bool):
     yield rows(3, owner[real], pc.binary_join_element_wise(
         node.take(pa.array(owner[real])), words.take(pa.array(third[real])), " "),
         flow[real], cut | (route[owner[real]] >= SALTS))
-    total = np.bincount(owner, flow, len(firsts)).astype(np.int64)
+    total = np.add.reduceat(flow, np.searchsorted(owner, np.arange(size)))
     real = np.flatnonzero(paired)
     yield rows(2, real, node.take(pa.array(real)), total[real], cut | (route[real] >= 0))
     # neighbouring groups often share their first word
-    change = np.ones(len(firsts), bool)
-    if len(firsts) > 1:
+    change = np.ones(size, bool)
+    if size > 1:
         change[1:] = ~pc.and_(pc.equal(first[1:], first[:-1]),
                               pc.equal(lang[1:], lang[:-1])).to_numpy(zero_copy_only=False)
     starts = np.flatnonzero(change)
@@ -270,47 +280,44 @@ def _flows(lists: DataFrame, least: int, gathered: int = GATHERED,
     a task's memory does not depend on the size of its groups.
     """
     def run(batches):
-        held, entries, cut = [], 0, False
+        held, entries, cut = [], 0, None        # cut: the key of a group given out in parts
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                piece = batch.slice(at, 1024)
+                piece = batch.column("row").slice(at, 1024)
                 held.append(piece)
-                entries += pc.sum(pc.count_substring(piece.column("edges"), "\n")).as_py()
-                entries += piece.num_rows
+                entries += pc.sum(pc.count_substring(piece, "\n")).as_py()
                 if entries < gathered:
                     continue
-                whole = pa.Table.from_batches(held).combine_chunks()
-                key = [whole.column(c)[-1].as_py() for c in ("lang", "node", "route")]
-                other = pc.invert(pc.and_(pc.and_(
-                    pc.equal(whole.column("lang"), key[0]), pc.equal(whole.column("node"), key[1])),
-                    pc.equal(whole.column("route"), key[2])))
-                before = pc.sum(other).as_py() or 0
-                if before:
-                    start = 0
-                    if cut:         # the rest of a group that is already given out in parts
-                        group = [whole.column(c)[0].as_py() for c in ("lang", "node", "route")]
-                        while start < before and group == [
-                                whole.column(c)[start].as_py() for c in ("lang", "node", "route")]:
-                            start += 1
-                        yield from _sums(whole.slice(0, start), least, True)
-                        cut = False
-                    if start < before:
-                        yield from _sums(whole.slice(start, before - start), least, False)
-                    whole = whole.slice(before)
-                elif cut or entries >= most:
-                    yield from _sums(whole, least, True)
-                    whole, cut = whole.slice(0, 0), True
-                held = whole.to_batches()
-                entries = (pc.sum(pc.count_substring(whole.column("edges"), "\n")).as_py() or 0
-                           ) + whole.num_rows
-        if held and entries:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            yield from _sums(whole, least, cut)     # parts are right too, only more rows
-
-    near = lists.repartition("lang", "node", "route").sortWithinPartitions("lang", "node", "route")
+                rows = pa.concat_arrays(held)
+                starts, last = _starts(rows, cut), _starts(rows, rows[-1].as_py().split("\n")[0])
+                of_cut = pc.sum(starts).as_py() if cut is not None else 0
+                after = len(rows) - pc.sum(last).as_py()
+                if of_cut:
+                    yield from _sums(rows.slice(0, of_cut), least, True)
+                if after > of_cut:
+                    yield from _sums(rows.slice(of_cut, after - of_cut), least, False)
+                rows = rows.slice(max(after, of_cut))
+                entries = pc.sum(pc.count_substring(rows, "\n")).as_py() or 0
+                if entries >= most:
+                    yield from _sums(rows, least, True)
+                    cut, rows, entries = rows[-1].as_py().split("\n")[0], rows.slice(0, 0), 0
+                held = [rows]
+        rows = pa.concat_arrays(held) if held else []
+        of_cut = pc.sum(_starts(rows, cut)).as_py() if len(rows) and cut is not None else 0
+        if of_cut:
+            yield from _sums(rows.slice(0, of_cut), least, True)
+        if len(rows) > of_cut:
+            yield from _sums(rows.slice(of_cut), least, False)
+
+    near = lists.repartition(F.substring_index("row", "\n", 1)).sortWithinPartitions("row")
     return near.mapInArrow(run, FOUND)
 
 
+def _starts(rows: pa.Array, key: str | None) -> pa.Array:
+    """Whether a row has the key."""
+    return pc.starts_with(rows, (key or "") + "\n")
+
+
 def _span(phrase: Column, first, size) -> Column:
     """Words ``first`` (from 1) to ``first + size - 1`` of a phrase."""
     return F.array_join(F.slice(F.split(phrase, " "), first, size), " ")
@@ -417,8 +424,12 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, covered: int
             .join(parts.withColumnsRenamed({"part": "right", "times": "r"}), ["lang", "right"]))
     worst = both.groupBy("lang", "phrase", "a").agg(
         F.min(F.struct(cut_score().alias("score"), "cut", "l", "r")).alias("worst"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    # a language is first cut to its best in CUTS parts, so its last sort is bounded
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(CUTS))).orderBy(*order)
     ranked = (worst.select("lang", "phrase", "a", "worst.l", "worst.r", "worst.score")
-              .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top))
+              .withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= top)
+              .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+              .filter(F.col("rank") <= top))
     return ranked.join(words, "lang").select(
         "lang", "rank", "phrase", "a", "l", "r", F.col("words").alias("n"), "score")
