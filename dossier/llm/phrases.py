@@ -37,8 +37,8 @@ PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 
 LONGEST, ROUNDS, CUTS = 4, 4, 32
 HOT_SAMPLE = 1000           # documents read to find hot pairs; they only decide where rows go
-CHUNK_BYTES, PLACES = 8 << 20, 1 << 21
-ENTRIES, GATHERED, HELD = 4096, 1 << 20, 1 << 22
+CHUNK_BYTES, PLACES = 6 << 20, 1 << 21
+ENTRIES, GATHERED, HELD = 4096, 1 << 19, 1 << 22
 BITS, LOW = 21, (1 << 21) - 1
 
 _TABLE = bytes.maketrans(PIECE_ENDS + b"\t", b"\n" * len(PIECE_ENDS) + b" ")
