@@ -201,9 +201,9 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op12_hard_negatives", """
 WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-                  list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
+                  [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
-           AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+           AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id,
              CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
       FROM r a JOIN r b ON b.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0),
