@@ -24,6 +24,16 @@ def text_of(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(names) -> Column:
+    """One struct of the columns."""
+    return F.struct(*[F.col(quoted(name)) for name in names])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; other letters keep their case."""
     plain = F.octet_length(text) == F.char_length(text)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dossier.llm.common import SALTS, ascii_lower, hot_keys, text_of, written
+from dossier.llm.common import SALTS, ascii_lower, hot_keys, text_of, whole_row, written
 
 HEAD = 64
 
@@ -30,7 +30,7 @@ def _split(docs: DataFrame, id_col: str, text_col: str, carry) -> tuple[DataFram
     """
     mark = F.xxhash64(F.lower(text_of(text_col)))
     hot = F.broadcast(hot_keys(docs.select(mark.alias("_mark")), "_mark"))
-    rows = docs.select(F.struct(*carry).alias("row"), F.col(id_col).alias("id"),
+    rows = docs.select(whole_row(carry).alias("row"), F.col(id_col).alias("id"),
                        text_of(text_col).alias("norm"), mark.alias("_mark"))
     cold = rows.join(hot, "_mark", "left_anti").withColumn("salt", F.lit(0))
     warm = rows.join(hot, "_mark", "left_semi").withColumn(

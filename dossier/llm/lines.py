@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dossier.llm.common import text_of, written
+from dossier.llm.common import quoted, text_of, whole_row, written
 
 RUN = 3
 WORD = r"[^ \t\n\x0B\f\r]+"
@@ -113,17 +113,17 @@ def cut_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id",
     """All rows and columns, and ``removed_runs`` array<(first, last)>; the runs' lines are
     cut out of the text.
 
-    A text without runs, null included, stays as it is.
+    A text without runs, null included, stays as it is.  A column ``removed_runs`` is replaced.
     """
     runs = (repeated_runs(docs, run, id_col, text_col, words).groupBy("mark")
             .agg(F.collect_list(F.struct("first", "last")).alias("runs")))
-    joined = docs.select(F.struct(*docs.columns).alias("row"),
+    joined = docs.select(whole_row(docs.columns).alias("row"),
                          _mark(id_col, text_col).alias("mark")).join(runs, "mark", "left")
     kept = F.filter(_lines(text_of(f"row.{text_col}")), lambda x, i: ~F.exists(
         "runs", lambda r: i.between(r.first, r.last)))
     return joined.select(
         *[F.when(F.col("runs").isNotNull(), F.array_join(kept, "\n"))
-          .otherwise(F.col(f"row.`{c}`")).alias(c) if c == text_col
-          else F.col(f"row.`{c}`").alias(c) for c in docs.columns],
+          .otherwise(F.col(f"row.{quoted(c)}")).alias(c) if c == text_col
+          else F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns if c != "removed_runs"],
         F.coalesce("runs", F.array().cast("array<struct<first:int,last:int>>"))
         .alias("removed_runs"))

@@ -104,7 +104,7 @@ def build(vectors: DataFrame, k: int, dims: int, covered: float = COVERED) -> In
             .agg(F.min("vec").alias("vec")).orderBy(F.xxhash64(F.lit("sample"), "id"), "id")
             .toArrow().combine_chunks())
     ids = rows.column("id").to_numpy()
-    sample = _matrix(rows.column("vec").combine_chunks(), dims).astype(np.float32)
+    sample = _matrix(rows.column("vec").combine_chunks(), dims)     # in the column's own type
     turn, _ = np.linalg.qr(np.random.default_rng(3).standard_normal((dims + 1, dims + 1)))
     index = Index(float(longest or 0) ** 0.5, turn, np.zeros((1, dims + 1)), ids, sample, 1)
     points = index.rotated(sample, False)

@@ -64,12 +64,12 @@ def _projection(size: int) -> tuple[np.ndarray, np.ndarray]:
         (HASHED, DIMENSIONS))
 
 
-def curve_points(documents: list[np.ndarray], buckets: np.ndarray,
+def curve_points(ids: np.ndarray, sizes: np.ndarray, buckets: np.ndarray,
                  spread: np.ndarray) -> np.ndarray:
-    """Integer points of documents given as ids; no ids give the middle point."""
-    vectors = np.zeros((len(documents), HASHED))
-    for row, ids in enumerate(documents):
-        vectors[row] = np.sqrt(np.bincount(buckets[ids], minlength=HASHED))
+    """Integer points of documents, given as all their ids and each one's number of ids; a
+    document without ids gets the middle point."""
+    cells = np.repeat(np.arange(len(sizes)) * HASHED, sizes) + buckets[ids]
+    vectors = np.sqrt(np.bincount(cells, minlength=len(sizes) * HASHED)).reshape(-1, HASHED)
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     places = (vectors / np.where(norm == 0, 1, norm)) @ spread
     return np.clip((places + 3) / 6 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
@@ -88,12 +88,13 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, stop: int)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                got = [g[0] for g in bpe.encode(batch.column("body").to_pylist())]
-                points = curve_points([np.frombuffer(g, bpe.dtype) for g in got], buckets, spread)
+                got = bpe.ids(batch.column("body").to_pylist())
+                sizes = np.array([len(g) // bpe.width for g in got], np.int64)
+                points = curve_points(np.frombuffer(b"".join(got), bpe.dtype), sizes, buckets, spread)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("uid"), batch.column("id"),
                      pa.array([squeeze.compress(g + end) for g in got], pa.binary()),
-                     pa.array([len(g) // bpe.width + 1 for g in got], pa.int64()),
+                     pa.array(sizes + 1, pa.int64()),
                      pa.array(hilbert_keys(points), pa.int64())],
                     ["uid", "id", "ids", "tokens", "key"])
 

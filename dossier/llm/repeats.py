@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dossier.llm.common import text_of, written
+from dossier.llm.common import text_of, whole_row, written
 from dossier.llm.wordhash import Words, mixed, ranges, sliding
 
 LENGTH, WINDOW, GRAM = 50, 30, 5
@@ -302,7 +302,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     """
     spans = _spans(_keyed(docs, id_col, text_col), length, window).select("mark", "spans")
     mark = F.xxhash64(F.col(id_col).cast("long"), text_of(text_col))
-    rows = (docs.select(F.struct(*docs.columns).alias("row"), mark.alias("mark"))
+    rows = (docs.select(whole_row(docs.columns).alias("row"), mark.alias("mark"))
             .join(spans, "mark", "left")
             .select(F.col(f"row.{text_col}").alias("body"), "spans", "row"))
     kinds = docs.schema

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dossier.llm.common import attach, text_of, written
+from dossier.llm.common import attach, text_of, whole_row, written
 from dossier.llm.components import components
 
 BITS, SEED, SEGMENTS, CROWD = 64, 42, 2, 64
@@ -170,7 +170,7 @@ def near_dedup(docs: DataFrame, shingle: int = 3, distance: int = 3,
     stay = (_labelled(rows, distance, segments, crowd)
             .filter(F.col("id") == F.col("component")).select("id.m1", "id.m2").distinct())
     one = Window.partitionBy("m1", "m2").orderBy("tie")
-    return (docs.select(F.struct(*docs.columns).alias("row"), *marks,
-                        F.xxhash64(*docs.columns).alias("tie"))
+    return (docs.select(whole_row(docs.columns).alias("row"), *marks)
+            .withColumn("tie", F.xxhash64(F.to_json("row")))
             .join(stay, ["m1", "m2"], "left_semi")
             .withColumn("place", F.row_number().over(one)).filter("place = 1").select("row.*"))

@@ -24,16 +24,19 @@ from pyspark.sql.window import Window
 from dossier.llm.common import written
 
 _QUOTE = re.compile(r"(?:[ \t]*>)+[ \t]?")
+_ESCAPED = re.compile(r"^([ \t]*)\\(\\*>)")
 _BLANK = re.compile(r"\s+")
 PLACES = 1024
 
 
 def quoted_lines(text: str) -> list[tuple[int, str]]:
-    """(quote level, content) of every line."""
+    """(quote level, content) of every line; a content that begins with ``>`` itself is
+    written with a backslash before it."""
     out = []
     for line in text.split("\n"):
         mark = _QUOTE.match(line)
-        out.append((mark[0].count(">"), line[mark.end():]) if mark else (0, line))
+        level, content = (mark[0].count(">"), line[mark.end():]) if mark else (0, line)
+        out.append((level, _ESCAPED.sub(r"\1\2", content) if "\\" in content else content))
     return out
 
 
@@ -159,7 +162,8 @@ def as_mail(messages: DataFrame) -> DataFrame:
     """Messages (conv_id, turn, role, text) written as mail: every turn but the first quotes the
     turn before it, or every third time the one before that, with what that one quotes."""
     rows = messages.select("conv_id", "turn", "role",
-                           F.coalesce("text", F.lit("")).alias("text"))
+                           F.regexp_replace(F.coalesce("text", F.lit("")),
+                                            r"(^|\n)([ \t]*)(\\*>)", r"$1$2\\$3").alias("text"))
     back = F.when(((F.col("conv_id") + F.col("turn")) % 3 == 0) & (F.col("turn") > 1), 2).otherwise(1)
     turns = rows.withColumn("to", F.col("turn") - back)
     earlier = turns.select("conv_id", F.col("turn").alias("to"), F.col("text").alias("one"),
@@ -167,7 +171,8 @@ def as_mail(messages: DataFrame) -> DataFrame:
     oldest = rows.select("conv_id", F.col("turn").alias("to2"), F.col("text").alias("two"))
 
     def quoted(text: str, mark: str):
-        return F.regexp_replace(text, "(?m)^", mark)
+        # lines end where the parser lets them end: at a line feed only
+        return F.concat(F.lit(mark), F.replace(F.col(text), F.lit("\n"), F.lit(f"\n{mark}")))
 
     return (turns.join(earlier, ["conv_id", "to"], "left").join(oldest, ["conv_id", "to2"], "left")
             .select("conv_id", "turn", "role", F.concat_ws(

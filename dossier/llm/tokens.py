@@ -62,6 +62,17 @@ def splitter(special: dict[str, int]):
     return regex.compile("(" + "|".join(map(regex.escape, longest)) + ")")
 
 
+class _Known(dict):
+    """Encoded chunks; those that are not kept are encoded at each use."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.encode(chunk)
+
+
 class ByteBpe:
     """Byte-level BPE over chunks: words repeat, so each distinct chunk is encoded once
     while it stays in a bounded cache, and a whole text is a join of its chunks' bytes.
@@ -89,12 +100,16 @@ class ByteBpe:
         for token, i in self.special.items():
             self._length[i] = len(token.encode())
         self._split = splitter(self.special)
-        self._cache: dict[str, tuple[bytes, bytes]] = {}
+        self._ids = _Known(lambda chunk: self._alone(chunk)[0])
+        self._lengths = _Known(lambda chunk: self._alone(chunk)[1])
 
     def _entry(self, ids) -> tuple[bytes, bytes]:
         ids = np.asarray(ids, self.dtype)
         return ids.tobytes(), self._length[ids].tobytes()
 
+    def _alone(self, chunk: str) -> tuple[bytes, bytes]:
+        return self._entry(self._core.encode_ordinary(chunk))
+
     def _chunks(self, text: str) -> list[str]:
         """Cuts before a single space between other characters, and around a single line
         end: no piece of the pattern reaches over such a cut."""
@@ -112,38 +127,55 @@ class ByteBpe:
         ids = np.asarray(self._core.encode_ordinary("\n".join(line)), self.dtype)
         width, lengths = self.width, self._length[ids].tobytes()
         cuts = [-1, *np.flatnonzero(ids == self._line_end).tolist(), len(ids)]
-        raw, cache = ids.tobytes(), self._cache
+        raw, known, sizes = ids.tobytes(), self._ids, self._lengths
         for chunk, start, stop in zip(line, cuts, cuts[1:]):
             start += 1
-            cache[chunk] = raw[start * width:stop * width], lengths[start * 2:stop * 2]
-        cache["\n"] = self._entry([self._line_end])
+            known[chunk] = raw[start * width:stop * width]
+            sizes[chunk] = lengths[start * 2:stop * 2]
+        known["\n"], sizes["\n"] = self._entry([self._line_end])
 
     def _pieces(self, text: str):
         """[(is special, piece)] of a text."""
         parts = self._split.split(text) if self._split and "<" in text else [text]
         return [(k % 2 == 1, p) for k, p in enumerate(parts) if p]
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """(ids, UTF-8 lengths as two bytes each) of whole texts."""
-        cache = self._cache
-        if len(cache) > CACHED_CHUNKS:
-            cache.clear()
+    def _cut(self, texts: list[str]) -> list[list[tuple[bool, list[str]]]]:
+        """Every text as [(is special, chunks)]; its chunks are learned."""
+        if len(self._ids) > CACHED_CHUNKS:
+            self._ids.clear()
+            self._lengths.clear()
         cut = [[(special, [piece] if special else self._chunks(piece))
                 for special, piece in self._pieces(t)] for t in texts]
-        new = {c for parts in cut for special, chunks in parts if not special and len(chunks) > 1
-               for c in chunks}.difference(cache)
-        self._learn(new)
+        self._learn(set().union(*(
+            chunks for parts in cut for special, chunks in parts
+            if not special and len(chunks) > 1)).difference(self._ids))
+        return cut
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts."""
+        known = self._ids.__getitem__
+
+        def piece(special: bool, chunks: list[str]) -> bytes:
+            if special:
+                return self._entry([self.special[chunks[0]]])[0]
+            return b"".join(map(known, chunks))
+
+        return [b"".join([piece(*part) for part in parts]) for parts in self._cut(texts)]
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """(ids, UTF-8 lengths as two bytes each) of whole texts."""
+        known, sizes = self._ids.__getitem__, self._lengths.__getitem__
+
+        def piece(special: bool, chunks: list[str]) -> tuple[bytes, bytes]:
+            if special:
+                return self._entry([self.special[chunks[0]]])
+            if len(chunks) == 1:
+                return self._alone(chunks[0])
+            return b"".join(map(known, chunks)), b"".join(map(sizes, chunks))
+
         out = []
-        for parts in cut:
-            got: list[tuple[bytes, bytes]] = []
-            for special, chunks in parts:
-                if special:
-                    got.append(self._entry([self.special[chunks[0]]]))
-                elif len(chunks) == 1:
-                    got.append(self._entry(self._core.encode_ordinary(chunks[0])))
-                else:
-                    got += [cache.get(c) or self._entry(self._core.encode_ordinary(c))
-                            for c in chunks]
+        for parts in self._cut(texts):
+            got = [piece(*part) for part in parts]
             out.append((b"".join([g[0] for g in got]), b"".join([g[1] for g in got])))
         return out
 

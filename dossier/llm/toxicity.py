@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import text_of, written
+from dossier.llm.common import text_of, whole_row, written
 from dossier.llm.wordhash import mixed, ranges
 
 SAMPLE_ROWS, MAX_FEATURES, LEAST_DOCUMENTS = 8000, 40_000, 5
@@ -256,7 +256,7 @@ def reject(docs: DataFrame, chain: Chain, category: str = "toxic",
            threshold: float | None = None, text_col: str = "text") -> DataFrame:
     """The rows, with all columns, whose probability of ``category`` is below ``threshold``
     (by default the cut found on out-of-fold predictions)."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), text_of(text_col).alias("body"))
+    rows = docs.select(whole_row(docs.columns).alias("row"), text_of(text_col).alias("body"))
     sent = docs.sparkSession.sparkContext.broadcast(chain)
     at_category = chain.categories.index(category)
     threshold = chain.cuts[at_category] if threshold is None else threshold

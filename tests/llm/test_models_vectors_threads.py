@@ -220,4 +220,4 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
 def test_stages_and_queries():
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "toxicity", "exact_dedup", "simhash", "suffix_array", "packing"]
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
