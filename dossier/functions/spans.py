@@ -146,3 +146,32 @@ def graduation_gap(years: Column, graduation: Column, as_of_year: int) -> Column
 
 def span_count(folded: Column) -> Column:
     return count_of(folded, L.SPAN_OVERLAP)
+
+
+def written_spans(folded: Column, as_of_year: int) -> Column:
+    """Spans between written dates ('Jan 2019 - March 2021', '03/2018 to present'), in months.
+
+    A month is counted from year 0; a year without a month, and present, current or now (the
+    year ``as_of_year``), stand for its January.  Valid spans, sorted: the start's year from
+    1950 to ``as_of_year``, start before end.
+    """
+    part = lambda k: F.regexp_extract_all(folded, F.lit(L.WRITTEN_SPAN), F.lit(k))
+    months = F.array(*[F.lit(m) for m in L.MONTHS])
+
+    def month(name: Column, number: Column, year: Column) -> Column:
+        within = F.when(name != "", F.array_position(months, name).cast("int")).when(
+            number != "", number.try_cast("int")).otherwise(F.lit(1))
+        return F.coalesce(year.try_cast("int"), F.lit(as_of_year)) * 12 + within - 1
+
+    found = F.array(*[part(k) for k in range(1, 7)])
+    return F.array_sort(F.filter(
+        let(found, lambda parts: F.transform(
+            F.arrays_zip(*[F.get(parts, F.lit(k)).alias(f"g{k}") for k in range(6)]),
+            lambda g: F.struct(month(g.g0, g.g1, g.g2).alias("s"), month(g.g3, g.g4, g.g5).alias("e")))),
+        lambda x: plausible_year(F.floor(x.s / 12), as_of_year) & (x.s < x.e)))
+
+
+def written_years_experience(folded: Column, as_of_year: int) -> Column:
+    """Years covered by the union of written spans, to one digit, cap 50."""
+    months = merged_length(written_spans(folded, as_of_year))
+    return round_exact(F.least(months / F.lit(12.0), F.lit(50.0)), 1)

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dossier import lexicon as L
 from dossier.functions import text as X
 from dossier.functions.numeric import cap, let, round_exact
 from dossier.functions.terms import TermSet
 from dossier.functions.vectors import cosine
+from dossier.session import write_once
 
 WORD = r"([a-z0-9_]+)"
 TOKEN = r"([a-z0-9_]+|[^a-z0-9_\s])"
@@ -61,30 +64,90 @@ def match_terms(docs: DataFrame, dim: DataFrame, key: str = "doc_id") -> DataFra
     return candidates.filter(whole).select(*out).unionByName(verified.select(*out))
 
 
+BLOCK = 4096        # tokens of a text that are worked on together
+
+
+def token_grams(docs: DataFrame, sizes: list[int], key: str = "doc_id") -> DataFrame:
+    """(key, pos, n_tokens, gram): the tokens from every position on, for each of ``sizes``.
+
+    Texts are cut into blocks of tokens first, so a row holds a bounded stretch of them.
+    """
+    longest, tokens = max(sizes), F.regexp_extract_all("folded", F.lit(TOKEN))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("_t") - 1) / F.lit(BLOCK)).cast("int")),
+                      lambda b: F.struct((b * BLOCK).alias("at"), F.slice(
+                          "_t", b * BLOCK + 1, F.lit(BLOCK + longest - 1)).alias("part")))
+    parts = (docs.select(key, tokens.alias("_t")).filter(F.size("_t") > 0)
+             .select(key, F.inline_outer(cut)))
+    grams = F.flatten(F.transform(F.slice("part", 1, BLOCK), lambda t, i: F.array(*[
+        F.struct((F.col("at") + i).alias("pos"), F.lit(n).alias("n_tokens"),
+                 F.when(i + n <= F.size("part"), F.array_join(F.slice("part", i + 1, n), " "))
+                 .alias("gram")) for n in sizes])))
+    return parts.select(key, F.inline_outer(grams)).filter(F.col("gram").isNotNull())
+
+
+def hit_clusters(hits: DataFrame, longest: int, key: str = "doc_id") -> DataFrame:
+    """Adds ``cluster``: the position from which a hit is linked to it by overlapping hits.
+
+    A text is cut where no hit lies across.  Blocks of positions are searched apart: a hit
+    reaches into the next block at most, and a block without a cut takes the last one before
+    it, found among one row per block.
+    """
+    size = max(BLOCK, longest)
+    end = F.col("pos") + F.col("n_tokens")
+    block = F.floor(F.col("pos") / size)
+    own = hits.withColumn("_end", end).withColumn("_block", block).withColumn("_in", F.lit(False))
+    over = own.filter(F.col("_end") > (F.col("_block") + 1) * size).withColumn(
+        "_block", F.col("_block") + 1).withColumn("_in", F.lit(True))
+    inside = Window.partitionBy(key, "_block").orderBy("pos", F.desc("_in"))
+    reach = F.max("_end").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    starts = own.unionByName(over).withColumn("_reach", reach).withColumn(
+        "_start", F.when(~F.col("_in") & F.coalesce(F.col("_reach") <= F.col("pos"), F.lit(True)),
+                         F.col("pos")))
+    marked = starts.withColumn("_own", F.max("_start").over(
+        inside.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = marked.groupBy(F.col(key).alias("_key"), F.col("_block").alias("_b")).agg(
+        F.max("_start").alias("_last"))
+    earlier = Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select("_key", "_b", F.max("_last").over(earlier).alias("_before"))
+    linked = marked.filter(~F.col("_in")).join(
+        before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_b")))
+    return linked.withColumn("cluster", F.coalesce("_own", "_before")).select(*hits.columns, "cluster")
+
+
+def _first_come(batches):
+    """Rows sorted by text, cluster and rank: a hit stays unless a token of it is taken."""
+    last, taken = None, set()
+    for batch in batches:
+        groups = zip(*(batch.column(c).to_pylist() for c in (0, "cluster", "pos", "n_tokens")))
+        kept = []
+        for text, cluster, pos, n in groups:
+            if (text, cluster) != last:
+                last, taken = (text, cluster), set()
+            span = range(pos, pos + n)
+            kept.append(taken.isdisjoint(span))
+            if kept[-1]:
+                taken.update(span)
+        yield batch.filter(pa.array(kept, pa.bool_()))
+
+
 def match_terms_longest(docs: DataFrame, dim: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, kind, term, pos, n_tokens): terms compete, longest first, then leftmost;
-    a token belongs to one term at most."""
-    small = dim.select("kind", "term", "tokens", F.size("tokens").alias("n_tokens"),
-                       F.get("tokens", F.lit(0)).alias("token"))
-    longest = small.agg(F.coalesce(F.max("n_tokens"), F.lit(1))).first()[0]
-    tokens = docs.select(key, F.regexp_extract_all("folded", F.lit(TOKEN)).alias("doc_tokens"))
-    # every position carries the few tokens a term can span, not the whole text
-    starts = tokens.select(key, F.inline_outer(F.transform("doc_tokens", lambda t, i: F.struct(
-        t.alias("token"), i.alias("pos"),
-        F.slice(F.col("doc_tokens"), i + 1, longest).alias("ahead")))))
-    hits = (starts.join(small, "token")
-            .filter(F.slice("ahead", F.lit(1), F.col("n_tokens")) == F.col("tokens"))
-            .groupBy(key)
-            .agg(F.array_sort(F.collect_list(F.struct(
-                (-F.col("n_tokens")).alias("rank"), "pos", "kind", "term", "n_tokens"))).alias("hits")))
-    empty = F.filter("hits", lambda h: F.lit(False))
-
-    def step(kept: Column, h: Column) -> Column:
-        clash = F.exists(kept, lambda k: (h.pos < k.pos + k.n_tokens) & (k.pos < h.pos + h.n_tokens))
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(h)))
-
-    return (hits.select(key, F.explode(F.aggregate("hits", empty, step)).alias("h"))
-            .select(key, "h.kind", "h.term", "h.pos", "h.n_tokens"))
+    a token belongs to one term at most.
+
+    The grams of every text meet the dictionary in one equi-join, for terms of each length; hits
+    that overlap, directly or through others, compete in a group of their own, so a text
+    with very many hits is spread over tasks.
+    """
+    small = dim.select("kind", "term", F.size("tokens").alias("n_tokens"),
+                       F.array_join("tokens", " ").alias("gram")).filter("n_tokens > 0")
+    # as many rows as there are lengths of terms
+    sizes = sorted(r[0] for r in small.select("n_tokens").distinct().collect()) or [1]
+    hits = token_grams(docs, sizes, key).join(small, ["n_tokens", "gram"]).select(
+        key, "kind", "term", "pos", "n_tokens")
+    groups = hit_clusters(hits, max(sizes), key)
+    ranked = groups.repartition(key, "cluster").sortWithinPartitions(
+        key, "cluster", F.desc("n_tokens"), "pos", "kind", "term")
+    return ranked.mapInArrow(_first_come, ranked.schema).drop("cluster")
 
 
 def generic_phrase_score(folded: Column, phrases=None) -> Column:
@@ -94,30 +157,87 @@ def generic_phrase_score(folded: Column, phrases=None) -> Column:
         round_exact(cap(hits / F.greatest(words * F.lit(0.01), F.lit(1.0)), 1.0), 4)))
 
 
+SEEDS, AT_ONCE = 1000, 16
+
+
 def nearest_seed(vectors: DataFrame, seeds: DataFrame, threshold: float = 0.82,
-                 block: int = 1000) -> DataFrame:
+                 block: int = SEEDS) -> DataFrame:
     """Adds best_seed, best_sim and admitted (best_sim > threshold).
 
-    ``vectors`` has ``vec``; ``seeds`` has (seed_id, vec), in any number: they are gathered into
-    blocks of about ``block``, every vector is compared with every block, and the
-    blocks' winners are reduced per vector.
+    ``vectors`` has ``vec``; ``seeds`` has (seed_id, vec), in any number: they are broadcast in
+    blocks of ``block``, AT_ONCE blocks to a pass, and every pass keeps a vector's best so far.
+    The vectors are never shuffled.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.lit(seeds.count()) / block))
-    table = seeds.groupBy(F.pmod(F.xxhash64("seed_id"), blocks).alias("_b")).agg(
-        F.array_sort(F.collect_list(F.struct("seed_id", "vec"))).alias("_seeds")).drop("_b")
-    named = vectors.select(F.struct(*vectors.columns).alias("_row")).withColumn(
-        "_uid", F.monotonically_increasing_id())
-    vec = F.col("_row.vec")
-    best = F.array_max(F.transform("_seeds", lambda s: F.struct(
-        cosine(vec, s.vec).alias("sim"), (-s.seed_id).alias("neg_id"))))
-    scored = (named.join(table, F.lit(True), "left").select("_uid", "_row", best.alias("_best"))
-              .groupBy("_uid").agg(F.any_value("_row").alias("_row"), F.max("_best").alias("_best")))
-    return scored.select(
-        "_row.*", (-F.col("_best.neg_id")).alias("best_seed"),
-        F.col("_best.sim").alias("best_sim"),
+    names = vectors.columns
+    best = vectors.select("*", F.lit(None).cast("struct<sim:double,neg_id:bigint>").alias("_best"))
+    own = seeds.select("seed_id", "vec").distinct()
+    blocks = -(-own.count() // block)
+    for number in range(blocks):
+        held = own.filter(F.pmod(F.xxhash64("seed_id", "vec"), F.lit(blocks)) == number).groupBy().agg(
+            F.array_sort(F.collect_list(F.struct("seed_id", "vec"))).alias("_seeds"))
+        found = F.array_max(F.transform("_seeds", lambda s: F.struct(
+            cosine(F.col("vec"), s.vec).alias("sim"), (-s.seed_id).alias("neg_id"))))
+        best = best.join(F.broadcast(held), F.lit(True)).select(     # one row of about ``block`` seeds
+            *names, F.greatest("_best", found).alias("_best"))
+        if number % AT_ONCE == AT_ONCE - 1 and number + 1 < blocks:
+            best = write_once(best)
+    return best.select(
+        *names, (-F.col("_best.neg_id")).alias("best_seed"), F.col("_best.sim").alias("best_sim"),
         F.coalesce(F.col("_best.sim") > threshold, F.lit(False)).alias("admitted"))
 
 
+def candidate_phrases(docs: DataFrame, key: str = "doc_id", least: int = 5, score: float = 3.0
+                      ) -> DataFrame:
+    """(key, phrase): words and collocations of the texts.
+
+    ``docs`` has ``words``, an array.  Two neighbouring words are a collocation when they
+    stand together ``least`` times or more, and ``score`` times as often as their own counts
+    would have it; three are one when both pairs are.
+    """
+    pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.struct(
+        i.alias("pos"), F.get("words", i).alias("a"), F.get("words", i + 1).alias("b")))
+    placed = docs.filter(F.size("words") > 1).select(key, F.inline(pairs))
+    single = docs.select(key, F.explode("words").alias("a"))
+    counts = single.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("all"))     # one row
+    held = (placed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("together"))
+            .filter(F.col("together") >= least)
+            .join(counts, "a").withColumnRenamed("n", "na")
+            .join(counts.withColumnsRenamed({"a": "b", "n": "nb"}), "b")
+            .join(F.broadcast(total), F.lit(True))
+            .filter(F.col("together") * F.col("all") >= score * F.col("na") * F.col("nb"))
+            .select("a", "b"))
+    found = placed.join(held, ["a", "b"])
+    two = found.select(key, F.concat_ws(" ", "a", "b").alias("phrase"))
+    later = found.select(key, (F.col("pos") - 1).alias("pos"), F.col("b").alias("c"))
+    three = found.join(later, [key, "pos"]).select(key, F.concat_ws(" ", "a", "b", "c").alias("phrase"))
+    one = single.select(key, F.col("a").alias("phrase"))
+    return one.unionByName(two).unionByName(three).distinct()
+
+
+def admit_terms(docs: DataFrame, dim: DataFrame, embed, seeds=None, key: str = "doc_id",
+                threshold: float = 0.82, least: int = 5, score: float = 3.0) -> DataFrame:
+    """(key, term): terms that the dictionary lacks, mined from texts in which it finds none.
+
+    ``docs`` has (key, folded).  Candidate phrases of all texts are embedded and admitted when
+    they are close enough to one of ``seeds`` (the built-in list).  ``embed`` maps a table
+    with ``words`` (array) to the same table with ``vec``; every distinct phrase is encoded once.
+    """
+    spark = docs.sparkSession
+    worded = docs.select(key, X.content_words(F.col("folded")).alias("words"))
+    known = match_terms(docs, dim, key)
+    mined = write_once(candidate_phrases(worded, key, least, score).join(
+        known.select(key).distinct(), key, "left_anti"))
+    encoded = lambda df: embed(df.withColumn("words", F.split(F.lower("phrase"), " ")))
+    listed = spark.createDataFrame(list(enumerate(seeds or L.SEED_PHRASES)), "seed_id long, phrase string")
+    close = admit_phrases(
+        encoded(mined.select("phrase").distinct()).select(F.lit(0).alias("_one"), "phrase", "vec"),
+        spark.createDataFrame([], "_one int"), dim, encoded(listed).select("seed_id", "vec"), "_one",
+        threshold)
+    return mined.select(key, F.initcap("phrase").alias("term")).distinct().join(
+        close.select("term"), "term").select(key, "term")
+
+
 def admit_phrases(phrases: DataFrame, matched: DataFrame, dim: DataFrame, seeds: DataFrame,
                   key: str = "doc_id", threshold: float = 0.82) -> DataFrame:
     """(key, term): new terms of documents in which no known term was found.

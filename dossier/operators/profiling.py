@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dossier.functions.numeric import round_exact, share
+from dossier.session import write_once
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -64,64 +66,106 @@ def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
         for i, (a, b) in enumerate(pairs)])))
 
 
-SKETCH = 10_000
+RADIX = 16      # bits decided per pass
+EXPONENT = 1023
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    accuracy: int = SKETCH) -> dict[str, list[float]]:
-    """Per column its exact quantiles, with linear interpolation between neighbours.
+def ordered_bits(value: Column) -> Column:
+    """A long that orders doubles as their values do, and tells any two of them apart.
 
-    Three passes for all columns together, whatever the table's size.  A sketch gives two
-    values around every quantile; a count fixes how many rows lie below them; the rows
-    between, about 4 / accuracy of the table, are counted by value and summed up.
+    It is the double's own bit pattern, negated for negative numbers: the exponent is found by
+    a logarithm and corrected where that is off by one; all other steps are exact.
     """
-    value = {c: F.col(c).cast("double") for c in cols}
-    margin = 2.0 / accuracy
-    near = [q for p in probs for q in (max(0.0, p - margin), min(1.0, p + margin))]
-    first = df.agg(*[x for i, c in enumerate(cols) for x in (
-        F.count(value[c]).alias(f"n{i}"), F.min(value[c]).alias(f"lo{i}"),
-        F.max(value[c]).alias(f"hi{i}"),
-        F.percentile_approx(value[c], near, accuracy).alias(f"q{i}"))]).first()
-    slots = []      # (slot, column, quantile, row counted from 0, bounds)
-    for i, c in enumerate(cols):
-        n = first[f"n{i}"]
-        for j, p in enumerate(probs):
-            if n:
-                # a few rows are further apart than the sketch's error
-                wide = 2.0 / n > margin
-                slots.append((len(slots), c, j, p * (n - 1),
-                              first[f"lo{i}"] if wide else first[f"q{i}"][2 * j],
-                              first[f"hi{i}"] if wide else first[f"q{i}"][2 * j + 1]))
-    out = {c: [None] * len(probs) for c in cols}
-    if not slots:
-        return out
-    below = df.agg(*[F.count_if(value[c] < lo).alias(f"b{s}") for s, c, _, _, lo, _ in slots]).first()
-    inside = (df.select(F.explode(F.array(*[
-        F.when(value[c].between(lo, hi), F.struct(F.lit(s).alias("slot"), value[c].alias("v")))
-        for s, c, _, _, lo, hi in slots])).alias("x")).filter("x is not null")
-        .groupBy("x.slot", "x.v").agg(F.count(F.lit(1)).alias("n")))
-    upto = F.sum("n").over(Window.partitionBy("slot").orderBy("v"))
-
-    def wanted(extra: int):
-        return F.coalesce(*[F.when(F.col("slot") == s, F.lit(int(at) + extra - below[f"b{s}"]))
-                            for s, _, _, at, _, _ in slots])
-
-    found = {r.slot: r for r in inside.withColumn("upto", upto).groupBy("slot").agg(
-        F.min(F.when(F.col("upto") > wanted(0), F.col("v"))).alias("a"),
-        F.min(F.when(F.col("upto") > wanted(1), F.col("v"))).alias("b")).collect()}
-    for s, c, j, at, _, _ in slots:
-        a, b = found[s].a, found[s].b
-        out[c][j] = a if at == int(at) else a + (b - a) * (at - int(at))
+    size = F.abs(value)
+    # the logarithm of 0 and of infinity are cut off before the cast, and not used
+    near = F.greatest(F.lit(1 - EXPONENT).cast("long"), F.least(
+        F.lit(EXPONENT).cast("long"), F.floor(F.log2(size)))).cast("int")
+    part = lambda e: size / F.pow(F.lit(2.0), e)                                    # noqa: E731
+    exponent = (near + F.when(part(near) >= 2, 1).otherwise(0)
+                - F.when(part(near) < 1, 1).otherwise(0))
+    normal = ((exponent + EXPONENT).cast("long") * F.lit(1 << 52)
+              + ((part(exponent) - 1) * F.lit(float(1 << 52))).cast("long"))
+    tiny = (size * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("long")
+    bits = (F.when(F.isnan(value), F.lit((2047 << 52) + 1))
+            .when(size == float("inf"), F.lit(2047 << 52))
+            .when(size < F.lit(2.0 ** -1022), tiny).otherwise(normal))
+    return F.when(value < 0, -bits).otherwise(bits)
+
+
+def double_of(bits: int) -> float:
+    """The double of ``ordered_bits``."""
+    value = struct.unpack("<d", struct.pack("<q", abs(bits)))[0]
+    return -value if bits < 0 else value
+
+
+def order_statistics(df: DataFrame, cols: list[str], ranks: dict[str, list[int]]) -> dict:
+    """Per column the values of the given ranks (from 0, nulls left out, NaN last).
+
+    Radix selection on ordered bit patterns: four passes of 16 bits for all columns and ranks
+    together, whatever the values and the table's size.  The patterns are written once.  A pass
+    counts the next bits of the rows that share a searched prefix: at most 65,536 counts
+    per prefix are ever sorted, and one row per rank reaches the driver.
+    """
+    # (column number, rank) -> (known leading bits, rank among the rows that have them)
+    state = {(i, r): (0, r) for i, c in enumerate(cols) for r in ranks[c]}
+    if not state:
+        return {c: {} for c in cols}
+    spark = df.sparkSession
+    bits = write_once(df.select(*[ordered_bits(F.col(c).cast("double")).alias(f"k{i}")
+                                  for i, c in enumerate(cols)]))
+    keys = [bits[f"k{i}"] for i in range(len(cols))]
+    for shift in range(64 - RADIX, -1, -RADIX):
+        seen = []
+        for i, c in enumerate(cols):
+            leads = sorted({lead for (j, _), (lead, _) in state.items() if j == i})
+            if not leads:
+                continue
+            # the first digit carries the sign; before it every row is searched
+            lead = F.shiftright(keys[i], shift + RADIX) if shift + RADIX < 64 else F.lit(0).cast("long")
+            seen.append(F.when(keys[i].isNotNull() & lead.isin(leads), F.struct(
+                F.lit(i).alias("i"), F.shiftright(keys[i], shift).alias("bits"))))
+        counts = (bits.select(F.explode(F.array(*seen)).alias("x")).filter("x is not null")
+                  .groupBy("x.i", "x.bits").agg(F.count(F.lit(1)).alias("n")))
+        lead = F.shiftright("bits", RADIX) if shift + RADIX < 64 else F.lit(0).cast("long")
+        upto = F.sum("n").over(Window.partitionBy("i", "lead").orderBy("bits"))
+        sought = spark.createDataFrame([(i, r, lead, at) for (i, r), (lead, at) in state.items()],
+                                       "i int, rank long, lead long, at long")
+        found = (counts.withColumn("lead", lead).withColumn("upto", upto)
+                 .join(F.broadcast(sought), ["i", "lead"])     # as many rows as ranks
+                 .filter((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at")))
+                 .select("i", "rank", "bits", (F.col("at") - F.col("upto") + F.col("n")).alias("at")))
+        state = {(r.i, r.rank): (r.bits, r.at) for r in found.collect()}
+    out: dict = {c: {} for c in cols}
+    for (i, r), (bits, _) in state.items():
+        out[cols[i]][r] = double_of(bits)
+    return out
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float]]:
+    """Per column its exact quantiles, with linear interpolation between neighbours; None for a
+    column without values."""
+    sizes = df.agg(*[F.count(F.col(c).cast("double")).alias(f"n{i}")
+                     for i, c in enumerate(cols)]).first()
+    places = {c: [p * (sizes[f"n{i}"] - 1) for p in probs] if sizes[f"n{i}"] else []
+              for i, c in enumerate(cols)}
+    ranks = {c: sorted({r for at in found for r in (int(at), -int(-at // 1))})
+             for c, found in places.items()}
+    known = order_statistics(df, cols, ranks)
+    out = {}
+    for c, found in places.items():
+        out[c] = [None] * len(probs) if not found else [
+            a if at == int(at) else a + (b - a) * (at - int(at))
+            for at in found for a, b in [(known[c][int(at)], known[c][-int(-at // 1)])]]
     return out
 
 
-def describe(df: DataFrame, cols: list[str], accuracy: int = SKETCH) -> DataFrame:
+def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """(feature, n, mean, std, min, q25, q50, q75, max) with exact quartiles."""
     basic = {"n": F.count, "mean": lambda c: F.avg(c.cast("double")),
              "std": lambda c: F.stddev_samp(c.cast("double")),
              "min": lambda c: F.min(c.cast("double")), "max": lambda c: F.max(c.cast("double"))}
     quart = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    found = exact_quantiles(df, cols, list(quart.values()), accuracy)
+    found = exact_quantiles(df, cols, list(quart.values()))
 
     def known(m):
         i = list(quart).index(m)
@@ -131,9 +175,9 @@ def describe(df: DataFrame, cols: list[str], accuracy: int = SKETCH) -> DataFram
     return _long(df, cols, basic).select("*", *[known(m).alias(m) for m in quart])
 
 
-def impute_median(df: DataFrame, cols: list[str], accuracy: int = SKETCH) -> DataFrame:
+def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
     """Nulls become the exact column median."""
-    medians = exact_quantiles(df, cols, [0.5], accuracy)
+    medians = exact_quantiles(df, cols, [0.5])
     return df.withColumns({
         c: F.coalesce(F.col(c).cast("double"), F.lit(m[0]).cast("double"))
         for c, m in medians.items()})

@@ -13,11 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# fixed values: search grids
-TREE_GRID = {"maxDepth": [3, 5, 7, 10, 15, 30], "minInstancesPerNode": [1, 2, 5, 10],
-             "impurity": ["gini", "entropy"], "weightCol": ["balanced", "equal"]}
-BOOSTED_GRID = {"maxDepth": [3, 5, 7], "stepSize": [0.01, 0.1, 0.2],
-                "maxIter": [50, 100, 200], "subsamplingRate": [0.8, 1.0]}
+# fixed values: the boosted model in use
 BOOSTED_BEST = {"maxDepth": 5, "stepSize": 0.2, "maxIter": 50, "subsamplingRate": 0.8}
 
 HASH_BITS = 60
@@ -102,18 +98,17 @@ def fit_forest(train: DataFrame, features, label: str = "label", **params) -> Pi
     return Pipeline(stages=[assembler(features), forest]).fit(train)
 
 
-def grid_search(train: DataFrame, features, label: str = "label", key: str = "doc_id",
-                grid: dict | None = None, folds: int = 5, parallelism: int = 4,
-                estimator=None):
-    """Cross-validated search on weighted F1; folds come from a stable hash.
+def grid_search(train: DataFrame, features, grid: dict, label: str = "label", key: str = "doc_id",
+                folds: int = 5, parallelism: int = 4, estimator=None):
+    """Cross-validated search of any estimator on weighted F1; folds come from a stable hash.
 
-    The default grid is the full one; least rows to split a node are not a parameter of Spark's
-    trees.  Rows are weighted by class ('balanced') or not ('equal').
+    Every point is fitted anew; ``boosting`` searches trees with one fit for many points.  Rows
+    are weighted by class ('balanced') or not ('equal').
     """
     train = balanced_weights(train, label, "balanced").withColumn("equal", F.lit(1.0))
     est = estimator or DecisionTreeClassifier(labelCol=label, featuresCol="features", seed=42)
     builder = ParamGridBuilder()
-    for name, values in (grid or TREE_GRID).items():
+    for name, values in grid.items():
         builder = builder.addGrid(est.getParam(name), values)
     data = assembler(features).transform(train).withColumn(
         "fold", F.pmod(stable_hash(F.col(key), 7), F.lit(folds)).cast("int"))
@@ -124,18 +119,6 @@ def grid_search(train: DataFrame, features, label: str = "label", key: str = "do
     return search.fit(data)
 
 
-def boosted_search(train: DataFrame, features, label: str = "label", key: str = "doc_id",
-                   grid: dict | None = None, folds: int = 5, parallelism: int = 4):
-    """The search over boosted trees: for every class against the rest, its best parameters."""
-    found = {}
-    for k in sorted(r[0] for r in train.select(label).distinct().collect()):
-        one = train.withColumn("_is", (F.col(label) == k).cast("double"))
-        found[k] = grid_search(
-            one, features, "_is", key, grid or BOOSTED_GRID, folds, parallelism,
-            GBTClassifier(labelCol="_is", featuresCol="features", seed=42))
-    return found
-
-
 def class_probabilities(predicted: DataFrame, raw: str = "rawPrediction") -> DataFrame:
     """Adds p0..p2: one-vs-rest margins through the logistic curve, made to sum to 1."""
     margins = vector_to_array(raw)

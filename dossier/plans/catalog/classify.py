@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from dossier.functions import sets
 from dossier.functions import text as X
 from dossier.functions.numeric import round_exact, share
-from dossier.operators import features, pairing, profiling, ranking, training, verdict
+from dossier.operators import (
+    boosting, features, pairing, profiling, ranking, training, trees, verdict)
 from dossier.plans import inputs as I
 from dossier.plans.catalog import duck as D
 from dossier.plans.catalog import query
@@ -216,14 +217,35 @@ def _sum(values):
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-@query("c7_decision_tree", f"{TEST_SQL} SELECT doc_id, label, 1e0 AS p_sum, 1 AS is_most_probable FROM test")
+def beats_majority(f1: float, rows) -> int:
+    """Whether a weighted F1 is above that of always naming the most frequent label of ``rows``."""
+    sizes = [r["count"] for r in rows.groupBy("label").count().collect()]
+    share = max(sizes) / sum(sizes)
+    return int(f1 > 2 * share * share / (1 + share))
+
+
+def _held_out(done):
+    return profiling.scores(done, "label", "prediction").first().f1_weighted
+
+
+# a model that learned nothing (shuffled labels, say) falls below the majority, and a leaf's shares
+# are counted again from the training rows that reach it
+@query("c7_decision_tree", f"{TEST_SQL} SELECT doc_id, label, 1e0 AS p_sum, 1 AS is_most_probable, 0e0 AS leaf_residual, 1 AS beats_majority FROM test")
 def tree(spark, d):
     train, test = _split(spark, d)
     model = training.fit_tree(train, MODEL_FEATURES)
+    model.stages[-1].setLeafCol("leaf")
     p = vector_to_array("probability")
-    return model.transform(test).select(
+    weighed = model.transform(training.balanced_weights(train, "label")).groupBy("leaf").agg(*[
+        (F.sum(F.when(F.col("label") == k, F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias(f"s{k}")
+        for k in range(3)])
+    done = model.transform(test)
+    gap = F.greatest(*[F.abs(F.get(p, F.lit(k)) - F.col(f"s{k}")) for k in range(3)])
+    return done.join(weighed, "leaf").select(
         "doc_id", "label", F.round(_sum(p), 9).alias("p_sum"),
-        (F.get(p, F.col("prediction").cast("int")) == F.array_max(p)).cast("int").alias("is_most_probable"))
+        (F.get(p, F.col("prediction").cast("int")) == F.array_max(p)).cast("int").alias("is_most_probable"),
+        F.round(gap, 9).alias("leaf_residual"),
+        F.lit(beats_majority(_held_out(done), test)).alias("beats_majority"))
 
 
 @query("c5_path_contributions", f"{TEST_SQL} SELECT doc_id, label, {len(MODEL_FEATURES)} AS n_features, 0e0 AS residual FROM test")
@@ -237,42 +259,87 @@ def paths(spark, d):
                        (F.round(reached - leaf, 9) + F.lit(0.0)).alias("residual"))
 
 
-# the operator's default is the full grid; the query searches a part of it on all labelled rows
-_PART = {"maxDepth": [3, 5], "impurity": ["gini", "entropy"]}
+@query("c5_boosted_contributions", f"""{TEST_SQL} SELECT doc_id, label, cls, {len(MODEL_FEATURES)} AS n_features, 0e0 AS residual FROM test, (VALUES (0), (1), (2)) AS c(cls)""")
+def boosted_contributions(spark, d):
+    """Shapley values of every class's ensemble: base and contributions are the margin."""
+    train, test = _split(spark, d)
+    model = training.fit_boosted(train, MODEL_FEATURES)
+    scored = model.transform(test).withColumn("cls", F.explode(F.array(*map(F.lit, range(3)))))
+    done = trees.shapley_contributions(scored, model, MODEL_FEATURES, "cls")
+    reached = F.col("base") + _sum(F.transform("contributions", lambda c: c.contribution))
+    margin = F.get(vector_to_array("rawPrediction"), F.col("cls"))
+    return done.select("doc_id", "label", "cls", F.size("contributions").alias("n_features"),
+                       (F.round(reached - margin, 9) + F.lit(0.0)).alias("residual"))
 
 
-@query("c8_grid_search", f"{TEST_SQL} SELECT doc_id, label, 4 AS n_points, 5 AS n_folds, 1 AS best_chosen FROM test")
-def grid(spark, d):
-    train, test = _split(spark, d)
-    found = training.grid_search(train, MODEL_FEATURES, grid=_PART)
-    best = found.getEstimatorParamMaps()[found.avgMetrics.index(max(found.avgMetrics))]
-    chosen = all(found.bestModel.getOrDefault(p.name) == v for p, v in best.items())
-    done = found.bestModel.transform(training.assembler(MODEL_FEATURES).transform(test))
-    return done.select("doc_id", "label", F.lit(len(found.avgMetrics)).alias("n_points"),
-                       F.lit(found.getNumFolds()).alias("n_folds"), F.lit(int(chosen)).alias("best_chosen"))
+_TRAIN_SIZE = "(SELECT count(*) FROM r WHERE k <= floor(n * 8e-1 + 5e-1))"
+
 
+def _points(values) -> str:
+    return ", ".join(f"({v})" if not isinstance(v, str) else f"('{v}')" for v in values)
 
-@query("c9_boosted_trees", f"{TEST_SQL} SELECT doc_id, label, 1e0 AS p_sum, 1 AS rule_holds, 1 AS margin_is_largest FROM test")
+
+@query("c8_grid_search", f"""{TEST_SQL} SELECT max_depth, min_split, min_leaf, impurity, weights, {_TRAIN_SIZE} AS n_scored, 1 AS in_range, 1 AS best_beats_majority
+FROM (VALUES {_points(boosting.TREE_GRID["maxDepth"])}) a(max_depth), (VALUES {_points(boosting.TREE_GRID["minSplit"])}) b(min_split),
+ (VALUES {_points(boosting.TREE_GRID["minInstancesPerNode"])}) c(min_leaf), (VALUES {_points(boosting.TREE_GRID["impurity"])}) e(impurity),
+ (VALUES {_points(boosting.TREE_GRID["weights"])}) g(weights)""")
+def grid(spark, d):
+    """All 384 points on all labelled training rows."""
+    train, _ = _split(spark, d)
+    points, _ = boosting.tree_search(train, MODEL_FEATURES)
+    best = beats_majority(max(p["f1"] for p in points), train)
+    rows = [(p["maxDepth"], p["minSplit"], p["minInstancesPerNode"], p["impurity"], p["weights"],
+             p["n"], p["f1"]) for p in points]
+    return spark.createDataFrame(
+        rows, "max_depth int, min_split int, min_leaf int, impurity string, weights string, n_scored long, f1 double"
+    ).withColumn("in_range", F.col("f1").between(0, 1).cast("int")).withColumn(
+        "best_beats_majority", F.lit(best)).drop("f1")
+
+
+@query("c9_boosted_search", f"""{TEST_SQL} SELECT max_depth, CAST(step AS DOUBLE) AS step, rounds, CAST(share AS DOUBLE) AS share, {_TRAIN_SIZE} AS n_scored, 1 AS beats_majority
+FROM (VALUES {_points(boosting.BOOSTED_GRID["maxDepth"])}) a(max_depth), (VALUES {_points(boosting.BOOSTED_GRID["stepSize"])}) b(step),
+ (VALUES {_points(boosting.BOOSTED_GRID["maxIter"])}) c(rounds), (VALUES {_points(boosting.BOOSTED_GRID["subsamplingRate"])}) e(share)""")
+def boosted_grid(spark, d):
+    """All 54 points; each is better than naming the most frequent label."""
+    train, _ = _split(spark, d)
+    found = boosting.boosted_search(train, MODEL_FEATURES)
+    share = train.groupBy("label").count().agg((F.max("count") / F.sum("count")).alias("p"))
+    return found.join(F.broadcast(share), F.lit(True)).select(       # one row
+        F.col("maxDepth").alias("max_depth"), F.col("stepSize").alias("step"),
+        F.col("maxIter").alias("rounds"), F.col("subsamplingRate").alias("share"),
+        F.col("n").alias("n_scored"),
+        (F.col("f1") > 2 * F.col("p") * F.col("p") / (1 + F.col("p"))).cast("int").alias("beats_majority"))
+
+
+@query("c9_boosted_trees", f"{TEST_SQL} SELECT doc_id, label, 1e0 AS p_sum, 1 AS rule_holds, 1 AS margin_is_largest, 1 AS beats_majority FROM test")
 def boosted(spark, d):
     train, test = _split(spark, d)
     model = training.fit_boosted(train, MODEL_FEATURES)
-    done = training.class_probabilities(model.transform(test)).withColumn(
+    predicted = model.transform(test)
+    done = training.class_probabilities(predicted).withColumn(
         "v", verdict.verdict(F.col("p0"), F.col("p1"), F.col("p2")).classification)
     holds = ((F.col("v") == "Authentic") == (F.col("p0") >= 0.8)) & (
         (F.col("v") == "Potentially Fake") == (F.col("p0") < 0.5))
     largest = F.get(F.array("p0", "p1", "p2"), F.col("prediction").cast("int")) == F.greatest("p0", "p1", "p2")
     return done.select("doc_id", "label", F.round(F.col("p0") + F.col("p1") + F.col("p2"), 9).alias("p_sum"),
-                       holds.cast("int").alias("rule_holds"), largest.cast("int").alias("margin_is_largest"))
+                       holds.cast("int").alias("rule_holds"), largest.cast("int").alias("margin_is_largest"),
+                       F.lit(beats_majority(_held_out(predicted), test)).alias("beats_majority"))
 
 
-@query("c10_model_card", f"""{TEST_SQL} SELECT 'importance' AS section, {len(MODEL_FEATURES)} AS n, 1e0 AS total UNION ALL
-SELECT 'param' AS section, 2 AS n, 25e0 AS total UNION ALL SELECT 'score' AS section, 1 AS n, CAST((SELECT count(*) FROM test) AS DOUBLE) AS total""")
+@query("c10_model_card", f"""{TEST_SQL} SELECT 'importance' AS section, {len(MODEL_FEATURES)} AS n, 1e0 AS total, 0e0 AS residual UNION ALL
+SELECT 'param' AS section, 2 AS n, 25e0 AS total, 0e0 AS residual UNION ALL
+SELECT 'score' AS section, 1 AS n, CAST((SELECT count(*) FROM test) AS DOUBLE) AS total, 0e0 AS residual""")
 def card(spark, d):
+    """The card's importances are compared with those recomputed from the splits' gains."""
     train, test = _split(spark, d)
     params = {"maxDepth": 5, "numTrees": 20}
     model = training.fit_forest(train, MODEL_FEATURES, **params)
     scores = profiling.scores(model.transform(test), "label", "prediction")
     card = training.model_card(model, MODEL_FEATURES, scores, params)
-    rows = card.filter("section <> 'score' or name = 'n'")
+    again = trees.split_importances(trees.node_table(model.stages[-1]), MODEL_FEATURES).select(
+        F.lit("importance").alias("section"), F.col("feature").alias("name"), "importance")
+    value = F.col("value").cast("double")
+    rows = card.filter("section <> 'score' or name = 'n'").join(again, ["section", "name"], "left")
     return rows.groupBy("section").agg(
-        F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("double")), 3).alias("total"))
+        F.count("*").alias("n"), F.round(F.sum(value), 3).alias("total"),
+        F.round(F.max(F.abs(value - F.coalesce("importance", value))), 5).alias("residual"))

@@ -327,3 +327,13 @@ def payload(spark, d):
         field("$.scores.final_match_score").cast("double").alias("final_match_score"),
         field("$.skills.match_count").cast("int").alias("match_count"),
         field("$.validation.num_skills").cast("double").alias("num_skills"))
+
+
+_HALF = "CAST(('0x' || substr(md5(text), {0}, 15)) AS BIGINT)"
+
+
+@query("batch_ids", f"""WITH {I.PROFILES_SQL}, {I.POSTINGS_SQL},
+s AS (SELECT job_id, count(*) AS n, sum({_HALF.format(1)}::HUGEINT) AS s1, sum({_HALF.format(17)}::HUGEINT) AS s17 FROM profiles GROUP BY job_id)
+SELECT job_id, sha256(title || chr(10) || description || chr(10) || n || chr(10) || s1 || chr(10) || s17) AS batch_id FROM postings JOIN s USING (job_id)""")
+def batch_ids(spark, d):
+    return screening.batch_ids(I.profiles(spark, d), I.postings(spark, d))

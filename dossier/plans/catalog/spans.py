@@ -154,3 +154,32 @@ def latest(spark, d):
     return ST.latest_year(order_years(spark, d), 1999)
 
 
+# a customer's history, written with month names, numbers and 'present', from the order dates
+_FORMS = ["MMM yyyy", "MMMM yyyy", "MM/yyyy"]
+_MONTHS_SQL = """WITH o AS (SELECT o_custkey AS doc_id, year(o_orderdate) * 12 + month(o_orderdate) - 1 AS s,
+  CASE WHEN o_orderkey % 7 = 0 THEN 1999 * 12 ELSE year(o_orderdate) * 12 + month(o_orderdate) - 1 + o_orderkey % 40 END AS e FROM orders),
+v AS (SELECT DISTINCT doc_id, s, e FROM o WHERE s < e AND floor(s / 12) BETWEEN 1950 AND 1999),
+b AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM v),
+m AS (SELECT doc_id, sum(greatest(0, e - greatest(s, coalesce(until, -1)))) AS months FROM b GROUP BY doc_id)
+"""
+
+
+def histories(spark, d):
+    start = F.col("o_orderdate").cast("date")
+    end = F.add_months(start, (F.col("o_orderkey") % 40).cast("int"))
+    form = F.col("o_orderkey") % 3
+
+    def written(day):
+        return F.coalesce(*[F.when(form == k, F.date_format(day, f)) for k, f in enumerate(_FORMS)])
+
+    line = F.concat(F.lit("Clerk, "), written(start), F.when(form == 1, " to ").otherwise(" – "),
+                    F.when(F.col("o_orderkey") % 7 == 0, "Present").otherwise(written(end)))
+    return I.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(
+        F.concat_ws("; ", F.array_sort(F.collect_list(line))).alias("text"))
+
+
+@query("i9_written_dates", _MONTHS_SQL + f"""SELECT DISTINCT o.doc_id, coalesce({D.round_exact("least(months / 12e0, 50e0)", 1)}, 0e0) AS years
+FROM o LEFT JOIN m USING (doc_id)""")
+def written_dates(spark, d):
+    texts = histories(spark, d).select("doc_id", X.fold(F.col("text")).alias("folded"))
+    return texts.select("doc_id", S.written_years_experience(F.col("folded"), 1999).alias("years"))

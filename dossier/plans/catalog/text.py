@@ -10,6 +10,7 @@ from dossier import lexicon as L
 from dossier.functions import terms as N
 from dossier.functions import text as X
 from dossier.operators import matching as M
+from dossier.operators import training
 from dossier.plans import inputs as I
 from dossier.plans.catalog import duck as D
 from dossier.plans.catalog import query
@@ -310,3 +311,31 @@ _role_tests = ", ".join(
        "SELECT doc_id, x.category AS category, x.role AS role FROM u WHERE x IS NOT NULL")
 def roles(spark, d):
     return M.role_mentions(profiles(spark, d))
+
+
+_NO_EDUCATION = " OR ".join(D.has("f", N.term_pattern(t)) for t in L.EDUCATION_TERMS)
+_SEEDS = ", ".join(f"({i}, {D.q(p)}, {D.strings(p.lower().split())})" for i, p in enumerate(L.SEED_PHRASES))
+
+
+@query("x5_admitted_terms", f"""{PROFILES},
+c AS MATERIALIZED (SELECT doc_id, {D.content_words('f')} AS words, {_NO_EDUCATION} AS known FROM f),
+w AS (SELECT doc_id, unnest(words) AS w FROM c), n1 AS MATERIALIZED (SELECT w, count(*) AS n FROM w GROUP BY w),
+pr AS MATERIALIZED (SELECT doc_id, i, words[i] AS a, words[i + 1] AS b FROM (SELECT doc_id, words, unnest(range(1, len(words))) AS i FROM c)),
+held AS MATERIALIZED (SELECT a, b FROM (SELECT a, b, count(*) AS n FROM pr GROUP BY a, b HAVING count(*) >= 5) t JOIN n1 x ON x.w = a JOIN n1 y ON y.w = b
+  WHERE t.n * (SELECT sum(n) FROM n1) >= 3e0 * x.n * y.n),
+found AS MATERIALIZED (SELECT pr.* FROM pr JOIN held USING (a, b)),
+cand AS MATERIALIZED (SELECT DISTINCT doc_id, phrase FROM (SELECT doc_id, w AS phrase FROM w UNION ALL SELECT doc_id, a || ' ' || b FROM found
+  UNION ALL SELECT x.doc_id, x.a || ' ' || x.b || ' ' || y.b FROM found x JOIN found y ON y.doc_id = x.doc_id AND y.i = x.i + 1)
+  WHERE doc_id NOT IN (SELECT doc_id FROM c WHERE known)),
+u AS MATERIALIZED (SELECT DISTINCT phrase, string_split(phrase, ' ') AS words FROM cand WHERE length(phrase) BETWEEN 3 AND 25 AND phrase NOT IN ({", ".join(D.q(t.lower()) for t in L.EDUCATION_TERMS)})),
+seeds(seed_id, phrase, words) AS (VALUES {_SEEDS}),
+{D.hashed_ctes('c', 'doc_id', 'words', 'h')}, {D.hashed_ctes('u', 'phrase', 'words', 'hp', 'h')}, {D.hashed_ctes('seeds', 'phrase', 'words', 'hs', 'h')},
+near AS (SELECT hp.phrase FROM hp JOIN hs USING (b) GROUP BY hp.phrase, hs.phrase HAVING sum(hp.x * hs.x) > 82e-2)
+SELECT doc_id, list_aggregate(list_transform(string_split(phrase, ' '), lambda t: upper(t[1]) || t[2:]), 'string_agg', ' ') AS term
+FROM cand WHERE phrase IN (SELECT phrase FROM near)""")
+def admitted(spark, d):
+    """Texts without a known degree: phrases mined from all texts, admitted when near a seed."""
+    texts = profiles(spark, d).select("doc_id", "folded")
+    dim = M.term_dimension(M.builtin_terms(spark).filter("kind = 'education'"))
+    model = training.fit_encoder(texts.select(X.content_words(F.col("folded")).alias("words")), "words")
+    return M.admit_terms(texts, dim, lambda df: training.embed(df, "words", model=model)[0])

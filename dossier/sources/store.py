@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier import lexicon as L
 from dossier.functions.text import norm_key
+from dossier.session import write_once
 
 
 def split_errors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,6 +67,38 @@ def delete_analyses(df: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFram
     return df.join(keys, on, "left_anti"), keys.join(df, on, "left_anti")
 
 
+def read_analyses(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """All stored rows; with ``schema``, files that lack a column have nulls in it."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read.option(
+        "mergeSchema", "true")
+    return reader.parquet(path)
+
+
+def delete_stored(spark: SparkSession, path: str, keys: DataFrame,
+                  schema: T.StructType | None = None) -> DataFrame:
+    """Delete the rows of (id, username) ``keys`` from the stored analyses; the keys that were
+    not found.
+
+    Only owners with a deleted row are rewritten: their other rows go to the shared folder first,
+    then replace the owners' folders.  Files of other owners stay as they are.
+    """
+    rows = read_analyses(spark, path, schema)
+    keys = write_once(keys.select("id", "username").distinct())
+    hit = write_once(rows.join(keys, ["id", "username"], "left_semi").select("id", "username"))
+    owners = hit.select("username").distinct()
+    kept = write_once(rows.join(owners, "username", "left_semi")
+                      .join(keys, ["id", "username"], "left_anti").select(*rows.columns))
+    (kept.hint("rebalance", "username").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("username").parquet(path))
+    emptied = owners.join(kept.select("username").distinct(), "username", "left_anti")
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for row in emptied.toLocalIterator():       # an overwrite leaves folders without rows alone
+        folder = spark._jvm.org.apache.hadoop.fs.Path(
+            path, f"username={names.escapePathName(row.username)}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return keys.join(hit, ["id", "username"], "left_anti")
+
+
 def cascade_delete(df: DataFrame, jobs: DataFrame) -> DataFrame:
     """Rows without a job, or whose job is still there."""
     return df.filter("job_id is null").unionByName(

@@ -5,13 +5,8 @@ Every function takes a batch table or a stream; the aggregation is the same.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # fixed values: requests per minute
 QUOTAS = {"applicant": 10, "single": 25, "batch": 100}
@@ -65,6 +60,35 @@ def route_statistics(events: DataFrame, route: str = "event_type", duration: str
                     "max_duration", "p95_duration"))
 
 
+SKETCH = 4096       # rank error of a quantile below 0.1 %
+
+
+def route_sketches(events: DataFrame, route: str = "event_type", duration: str = "value",
+                   every: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
+    """Per route and window what longer windows can be merged from: requests, sum and largest
+    duration, and a quantile sketch of bounded size."""
+    source = events.withWatermark("ts", watermark) if events.isStreaming else events
+    value = F.col(duration).cast("double")
+    return (source.groupBy(F.window("ts", every).alias("w"), F.col(route).alias("route"))
+            .agg(F.count("*").alias("requests"), F.count(value).alias("timed"),
+                 F.sum(value).alias("duration"), F.max(value).alias("max_duration"),
+                 F.kll_sketch_agg_double(value, F.lit(SKETCH)).alias("sketch"))
+            .select("route", F.col("w.start").alias("start"), "requests", "timed", "duration",
+                    "max_duration", "sketch"))
+
+
+def merge_routes(sketches: DataFrame, *keys: str, quantile: float = 0.95) -> DataFrame:
+    """(keys, requests, mean_duration, max_duration, p95_duration) of merged windows."""
+    merged = sketches.groupBy(*keys).agg(
+        F.sum("requests").alias("requests"), F.sum("timed").alias("timed"),
+        F.sum("duration").alias("duration"), F.max("max_duration").alias("max_duration"),
+        F.kll_merge_agg_double("sketch", F.lit(SKETCH)).alias("sketch"))
+    return merged.select(
+        *keys, "requests", F.try_divide("duration", "timed").alias("mean_duration"), "max_duration",
+        F.when(F.col("timed") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(quantile)))
+        .alias("p95_duration"))
+
+
 def live_jobs(jobs: DataFrame, now: Column, ttl_minutes: int = TTL_MINUTES) -> DataFrame:
     """Drops completed jobs created more than ``ttl_minutes`` before ``now``."""
     old = (F.unix_timestamp(now) - F.unix_timestamp("created_at")) > ttl_minutes * 60
@@ -79,37 +103,3 @@ def first_per_key(rows: DataFrame, key: str, watermark: str = "30 minutes") -> D
     picked = F.min_by(F.struct(*rows.columns), F.struct("ts", *[
         c for c in rows.columns if c not in ("ts", key)]))
     return rows.groupBy(F.col(key).alias("_k")).agg(picked.alias("_r")).select("_r.*")
-
-
-_OUT = T.StructType([
-    T.StructField("job_id", T.StringType()), T.StructField("completed", T.LongType()),
-    T.StructField("errors", T.LongType()), T.StructField("status", T.StringType())])
-_STATE = T.StructType([
-    T.StructField("completed", T.LongType()), T.StructField("errors", T.LongType())])
-
-
-def _track(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        completed, errors = state.get
-        state.remove()
-        yield pd.DataFrame([(key[0], completed, errors, "expired")], columns=_OUT.names)
-        return
-    completed, errors = state.get if state.exists else (0, 0)
-    newest = 0
-    for rows in batches:  # bounded chunks: a hot job is never held whole
-        completed += int(rows["n"].sum())
-        errors += int(rows["bad"].sum())
-        newest = max(newest, int(rows["ts"].max().timestamp() * 1000))
-    state.update((completed, errors))
-    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1)
-                              + TTL_MINUTES * 60 * 1000)
-    yield pd.DataFrame([(key[0], completed, errors, "processing")], columns=_OUT.names)
-
-
-def expiring_progress(items: DataFrame) -> DataFrame:
-    """Stream of job counters; a job without events for 30 minutes of event time is
-    reported once as 'expired' and its state is dropped."""
-    rows = items.withWatermark("ts", "10 minutes").select(
-        "job_id", "ts", F.lit(1).alias("n"), (F.col("status") == "error").cast("int").alias("bad"))
-    return rows.groupBy("job_id").applyInPandasWithState(
-        _track, _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
