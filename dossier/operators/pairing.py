@@ -182,22 +182,23 @@ def target_facts(jobs: DataFrame, skills: TermSet, categories=None) -> DataFrame
         matching.relevant_categories(F.col("_target"), categories).alias("relevant"))
 
 
-def pair_scores(pairs: DataFrame, compat: bool = False) -> DataFrame:
+def pair_scores(pairs: DataFrame, compat: bool = False, cos: Column | None = None) -> DataFrame:
     """Adds the pair-level features to joined facts.
 
-    ``pairs`` also has ``doc_vec`` and ``target_vec`` (null when unknown).
+    ``cos`` is the pair's cosine; without it, ``pairs`` also has ``doc_vec`` and ``target_vec``
+    (null when unknown).
     """
     c = F.col
-    scored = pairs.select(
+    cos = cosine(c("doc_vec"), c("target_vec")) if cos is None else cos
+    scored = pairs.withColumn("_cos", cos).select(
         "*",
         sets.jaccard(c("skills"), c("target_skills")).alias("skill_overlap_score"),
-        semantic_similarity(
-            cosine(c("doc_vec"), c("target_vec")),
-            sets.token_recall(c("tokens"), c("target_tokens")),
-            c("target_length"), c("target_length") == 0).alias("semantic_similarity"),
+        F.when(c("_cos").isNotNull(), semantic_similarity(
+            c("_cos"), sets.token_recall(c("tokens"), c("target_tokens")),
+            c("target_length"), c("target_length") == 0)).alias("semantic_similarity"),
         experience_relevance(c("years_experience"), c("required_years"), c("relevant"),
                              c("mentioned")).alias("experience_relevance_score"),
         keyword_stuffing(c("word_counts"), c("n_content"),
-                         c("target_words")).alias("keyword_stuffing_score"))
+                         c("target_words")).alias("keyword_stuffing_score")).drop("_cos")
     return scored.withColumn("final_match_score", final_match(
         c("semantic_similarity"), c("skill_overlap_score"), c("experience_relevance_score")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier)
@@ -13,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dossier.functions.numeric import clip01
+
 # fixed values: the boosted model in use
 BOOSTED_BEST = {"maxDepth": 5, "stepSize": 0.2, "maxIter": 50, "subsamplingRate": 0.8}
 
@@ -207,10 +211,76 @@ def path_contributions(df: DataFrame, model, features, label: str = "prediction"
         "_leaf", "_class", "_steps")
 
 
+def word_bucket(word: Column, size: int) -> Column:
+    """The hash bucket of a word: MD5, so that any engine can repeat it."""
+    return F.pmod(F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("int"), F.lit(size))
+
+
 def word_buckets(words: Column, size: int) -> Column:
-    """The hash bucket of every word, as text: MD5, so that any engine can repeat it."""
-    return F.transform(words, lambda w: F.pmod(
-        F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("int"), F.lit(size)).cast("string"))
+    """The hash bucket of every word, as text."""
+    return F.transform(words, lambda w: word_bucket(w, size).cast("string"))
+
+
+def fit_weights(docs: DataFrame, words: str, size: int = 256) -> list[float]:
+    """Inverse document frequencies of hashed words, one per bucket, learned in one pass.
+
+    ``words`` is an array of words, or of (w, c) entries for words with their counts.
+    """
+    name = (lambda x: x.w) if "struct" in dict(docs.dtypes)[words] else (lambda x: x)
+    own = F.array_distinct(F.transform(words, lambda x: word_bucket(name(x), size)))
+    # every document also counts once under -1, so the pass yields their number
+    found = dict(tuple(r) for r in docs.select(F.explode(F.array_append(
+        F.coalesce(own, F.array().cast("array<int>")), F.lit(-1))).alias("b")).groupBy("b").agg(
+        F.count(F.lit(1))).collect())
+    return [math.log((found.get(-1, 0) + 1) / (found.get(b, 0) + 1)) for b in range(size)]
+
+
+def _weights(weights: list[float]) -> Column:
+    return F.array(*[F.lit(w) for w in weights])
+
+
+def hash_words(docs: DataFrame, words: str, weights: list[float], out: str) -> DataFrame:
+    """Adds ``out``: the buckets and counts of a row's words, sorted, and the length of their
+    weighted vector; the vector itself is never formed.  ``words`` holds (w, c) entries."""
+    size = len(weights)
+    cells = F.array_sort(F.transform(words, lambda x: F.struct(
+        word_bucket(x.w, size).alias("b"), x.c.cast("double").alias("c"))))
+    start = F.struct(F.lit(-1).alias("b"), F.lit(0.0).alias("n"), F.lit(0.0).alias("square"))
+    table = F.col("_weights")
+
+    def ended(a: Column) -> Column:
+        y = a.n * F.coalesce(F.get(table, a.b), F.lit(0.0))
+        return a.square + y * y
+
+    def step(a: Column, x: Column) -> Column:
+        same = a.b == x.b
+        return F.struct(x.b.alias("b"), F.when(same, a.n + x.c).otherwise(x.c).alias("n"),
+                        F.when(same, a.square).otherwise(ended(a)).alias("square"))
+
+    return (docs.withColumn("_cells", cells).withColumn("_weights", _weights(weights))
+            .withColumn(out, F.struct(
+                F.col("_cells").alias("cells"),
+                F.sqrt(F.aggregate("_cells", start, step, ended)).alias("length")))
+            .drop("_cells", "_weights"))
+
+
+def embed_weighted(docs: DataFrame, words: str, weights: list[float], out: str) -> DataFrame:
+    """Adds ``out``, the unit vector of a row's distinct words times the weights again, ready for
+    the product with ``hash_words``: meant for the few rows of the smaller side."""
+    size = len(weights)
+    hashed = docs.withColumn("_b", F.transform(words, lambda w: word_bucket(w, size)))
+    raw = F.transform(_weights(weights), lambda w, i: w * F.size(F.filter("_b", lambda b: b == i)))
+    done = hashed.withColumn("_y", raw)
+    length = F.sqrt(F.aggregate("_y", F.lit(0.0), lambda a, y: a + y * y))
+    return done.withColumn("_n", length).withColumn(out, F.zip_with(
+        "_y", _weights(weights), lambda y, w: F.when(F.col("_n") > 0, y * w / F.col("_n")).otherwise(F.lit(0.0)))
+    ).drop("_b", "_y", "_n")
+
+
+def hashed_cosine(hashed: Column, vector: Column) -> Column:
+    """Cosine of a row of ``hash_words`` with a vector of ``embed_weighted``, in [0, 1]."""
+    dot = F.aggregate(hashed.cells, F.lit(0.0), lambda a, x: a + x.c * F.get(vector, x.b))
+    return F.when(hashed.length > 0, clip01(dot / hashed.length)).otherwise(F.lit(0.0))
 
 
 def fit_encoder(docs: DataFrame, words: str, size: int = 256) -> PipelineModel:

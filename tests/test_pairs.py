@@ -200,3 +200,97 @@ def test_admit_phrases(spark):
     dim = matching.term_dimension(matching.builtin_terms(spark, SKILLS))
     out = matching.admit_phrases(phrases, matched, dim, seeds)
     assert [tuple(r) for r in out.collect()] == [(1, "Quantum Chips")]
+
+
+def test_overlapping_hits_of_a_long_text(spark, monkeypatch):
+    """Blocks of three tokens: clusters reach over many blocks and are found all the same."""
+    monkeypatch.setattr(matching, "BLOCK", 3)
+    rnd = random.Random(4)
+    vocabulary = ["a", "a b", "b a b", "c c", "d"]
+    docs = [(i, " ".join(rnd.choices("abcde", k=n))) for i, n in [(1, 60), (2, 7), (3, 1), (None, 20)]]
+    docs += [(4, "c " * 41), (5, ""), (6, "e e e")]
+    df = spark.createDataFrame(docs, "doc_id INT, folded STRING")
+    dim = matching.term_dimension(spark.createDataFrame([("k", t) for t in vocabulary], "kind STRING, term STRING"))
+    want = set()
+    for i, text in docs:
+        tokens, taken = text.split(), set()
+        for n, p, v in sorted((-len(v.split()), p, v) for v in vocabulary for p in range(len(tokens))
+                              if tokens[p:p + len(v.split())] == v.split()):
+            if not taken & set(range(p, p - n)):
+                taken |= set(range(p, p - n))
+                want.add((i, v, p))
+    got = [(r.doc_id, r.term, r.pos) for r in matching.match_terms_longest(df, dim).collect()]
+    assert set(got) == want and len(got) == len(want)
+    hits = spark.createDataFrame([(1, p, 2) for p in [0, 1, 2, 5, 6, 9]], "doc_id INT, pos INT, n_tokens INT")
+    found = matching.hit_clusters(hits, 2).collect()
+    assert {(r.pos, r.cluster) for r in found} == {(0, 0), (1, 0), (2, 0), (5, 5), (6, 5), (9, 9)}
+
+
+def test_nearest_seed_in_blocks(spark):
+    rnd = random.Random(5)
+    unit = lambda: (lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v])([rnd.gauss(0, 1) for _ in range(4)])
+    seeds = [(k, unit()) for k in range(70)] + [(80, [1.0, 0.0, 0.0, 0.0]), (75, [1.0, 0.0, 0.0, 0.0])]
+    vectors = [(k, unit()) for k in range(30)] + [(98, [1.0, 0.0, 0.0, 0.0]), (99, None)]
+    got = {r.id: r for r in matching.nearest_seed(
+        spark.createDataFrame(vectors, "id INT, vec ARRAY<DOUBLE>"),
+        spark.createDataFrame(seeds, "seed_id LONG, vec ARRAY<DOUBLE>"), 0.9, block=4).collect()}
+    for k, v in vectors[:-1]:
+        sims = [(min(1.0, max(0.0, sum(a * b for a, b in zip(v, s)))), -i) for i, s in seeds]
+        best, at = max(sims)
+        assert abs(got[k].best_sim - best) < 1e-9 and got[k].best_seed == -at
+        assert got[k].admitted == (best > 0.9)
+    assert got[98].best_seed == 75 and got[99].best_sim == 0.0 and not got[99].admitted
+    none = matching.nearest_seed(spark.createDataFrame(vectors, "id INT, vec ARRAY<DOUBLE>"),
+                                 spark.createDataFrame([], "seed_id LONG, vec ARRAY<DOUBLE>"))
+    assert {r.admitted for r in none.collect()} == {False}
+
+
+def test_terms_admitted_from_texts(spark):
+    texts = ["data engineering is what we do", "data engineering for banks", "we love software testing here",
+             "python and nothing else", "data engineering with python", "software testing of software testing"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id INT, folded STRING")
+    dim = matching.term_dimension(matching.builtin_terms(spark, SKILLS).filter("kind = 'skill'"))
+    embed = lambda df: training.embed(df, "words", size=4096, model=training.fit_encoder(
+        docs.select(F.split("folded", " ").alias("words")), "words", 4096))[0]
+    got = {tuple(r) for r in matching.admit_terms(docs, dim, embed, least=2, score=1.0).collect()}
+    # a text with a known term admits nothing, and no seed is near a lone word
+    assert got == {(0, "Data Engineering"), (1, "Data Engineering"), (2, "Software Testing"), (5, "Software Testing")}
+
+
+def test_failing_items_are_rows(spark):
+    text = f"{RESUME} and more"
+    docs = spark.createDataFrame([(1, 7, text), (2, 7, None), (3, 7, "  "), (4, 8, text), (5, None, text), (6, 7, "x" * 3000),
+                                  (7, 7, text)], "doc_id LONG, job_id LONG, text STRING")
+    jobs = spark.createDataFrame([(7, "", "Python and Docker on AWS")], "job_id LONG, title STRING, description STRING")
+    vectors = {"doc_vectors": spark.createDataFrame([(1, [1.0, 0.0]), (7, [1.0])], "doc_id LONG, vec ARRAY<DOUBLE>"),
+               "job_vectors": spark.createDataFrame([(7, [1.0, 0.0])], "job_id LONG, vec ARRAY<DOUBLE>")}
+    got = {r.doc_id: r for r in screening.screen_each(docs, jobs, longest=2000, skills=SKILLS, **vectors).collect()}
+    assert {k: r.error for k, r in got.items()} == {
+        1: None, 2: "no text", 3: "empty text", 4: "unknown job", 5: "no job given", 6: "text too long",
+        7: "no value for semantic_similarity"}
+    assert got[1].classification and all(r.classification is None for k, r in got.items() if k != 1)
+
+
+def test_batch_ids_follow_content(spark):
+    docs = [(k, k % 2, f"text {k}") for k in range(10)]
+    jobs = spark.createDataFrame([(0, "t", "d"), (1, "t", "d"), (2, "t", "d")], "job_id LONG, title STRING, description STRING")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id LONG, job_id LONG, text STRING")
+    ids = lambda rows: {r.job_id: r.batch_id for r in screening.batch_ids(frame(rows), jobs).collect()}
+    first = ids(docs)
+    assert set(first) == {0, 1} and first[0] != first[1] and ids(docs[::-1]) == first
+    changed = ids([*docs[:-1], (9, 1, "other")])
+    assert changed[0] == first[0] and changed[1] != first[1]
+    assert ids([*docs, (10, 0, None)])[0] != first[0]
+
+
+def test_hashed_cosine_equals_vectors(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a", "c"]), (2, ["c"]), (3, []), (4, ["x", "a"])], "doc_id INT, words ARRAY<STRING>")
+    weights = training.fit_weights(docs, "words", 8)
+    vectors, model = training.embed(docs, "words", size=8)
+    assert weights == pytest.approx(model.stages[1].idf.toArray().tolist())
+    left = training.hash_words(pairing.word_counts(docs, "words", "counts"), "counts", weights, "hashed")
+    right = training.embed_weighted(docs.select(F.col("doc_id").alias("other"), F.array_distinct("words").alias("w")),
+                                    "w", weights, "vec").filter("other = 4")
+    one = {r.doc_id: r.vec for r in vectors.collect()}
+    for r in left.join(right, F.lit(True)).select("doc_id", training.hashed_cosine(F.col("hashed"), F.col("vec")).alias("c")).collect():
+        assert r.c == pytest.approx(sum(a * b for a, b in zip(one[r.doc_id], one[4])), abs=1e-9)

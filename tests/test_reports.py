@@ -18,20 +18,37 @@ def test_report_of_known_confusion(spark):
     assert one.accuracy == 0.87375 and one.n == 800
 
 
-def test_exact_quantiles_by_brackets(spark):
+def test_exact_quantiles_of_all_columns(spark):
     rnd = random.Random(2)
-    values = [rnd.gauss(0, 1) for _ in range(4000)] + [0.25] * 3000 + [float(i % 7) for i in range(1000)]
-    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v DOUBLE")
+    values = [rnd.gauss(0, 1) for _ in range(1500)] + [0.25] * 1000 + [float(i % 7) for i in range(500)]
+    wide = [rnd.choice([-1, 1]) * 2.0 ** rnd.randint(-1074, 1023) * rnd.choice([1, 1.5]) for _ in range(2998)]
+    wide += [0.0, -0.0]
+    rows = [(v, w, None, k) for k, (v, w) in enumerate(zip(values, wide))] + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "v DOUBLE, w DOUBLE, none DOUBLE, k INT").repartition(5)
     probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-    for accuracy in (100, 10_000):
-        got = profiling.exact_quantiles(df, ["v"], probs, accuracy)["v"]
-        assert np.allclose(got, np.quantile(values, probs), rtol=0, atol=1e-12)
-        row = profiling.describe(df, ["v"], accuracy).first()
-        assert np.allclose([row.q25, row.q50, row.q75], got[1:4])
+    got = profiling.exact_quantiles(df, ["v", "w", "none", "k"], probs)
+    assert np.allclose(got["v"], np.quantile(values, probs), rtol=0, atol=1e-12)
+    assert got["none"] == [None] * 6 and got["k"] == np.quantile(range(3000), probs).tolist()
+    ranked = sorted(w * rnd.choice([1]) for w in wide)
+    ranks = [0, 1, 700, 1499, 1500, 2998, 2999]
+    found = profiling.order_statistics(df, ["w"], {"w": ranks})["w"]
+    assert [found[r] for r in ranks] == [ranked[r] for r in ranks]
+    row = profiling.describe(df, ["v"]).first()
+    assert np.allclose([row.q25, row.q50, row.q75], got["v"][1:4])
     empty = profiling.describe(df.filter("v is null"), ["v"]).first()
     assert empty.n == 0 and empty.q50 is None
 
 
+def test_bit_patterns_order_doubles(spark):
+    values = [float("-inf"), -1.7976931348623157e308, -2.0, -1.0000000000000002, -1.0, -5e-324, 0.0, 5e-324,
+              2.2250738585072014e-308, 2.225073858507201e-308, 0.1, 0.9999999999999999, 1.0, 2.0 ** 52 + 0.5,
+              1.7976931348623157e308, float("inf")]
+    rows = spark.createDataFrame([(v,) for v in values], "v DOUBLE").select(
+        "v", profiling.ordered_bits(F.col("v")).alias("b")).collect()
+    assert [r.v for r in sorted(rows, key=lambda r: r.b)] == sorted(values)
+    assert all(profiling.double_of(r.b) == r.v for r in rows) and len({r.b for r in rows}) == len(values)
+
+
 def test_impute_median(spark):
     df = spark.createDataFrame([(1.0, "x"), (None, "2"), (5.0, "4"), (9.0, None)], "a DOUBLE, b STRING")
     out = profiling.numeric_or_median(df, ["a", "b", "c"]).collect()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import AS_OF, RESUME
 from dossier.functions import spans as S
+from dossier.functions import text as X
 from dossier.operators import spantables as ST
 
 
@@ -93,3 +94,15 @@ def test_claims_average(spark):
     claims = spark.createDataFrame([(1, 8.0), (2, 3.0)], "doc_id INT, claimed DOUBLE")
     got = {r.doc_id: r.years for r in ST.merged_years(spans, claims).collect()}
     assert got == {1: 6.0, 2: 3.0}
+
+
+def test_written_dates(spark):
+    cases = {
+        "Jan 2019 – Mar 2021": 26, "January 2019 to march 2021": 26, "01/2019 - 03/2021": 26, "2019 - 2021": 24,
+        "Sept. 2018 — present": 88, "since Dec, 2020 until now": 61, "Mar 2021 - Jan 2019": None, "May 1930 - 1940": None,
+        "Jan 2010 - Jan 2012; Jun 2011 - Jul 2012; 03/2015 - 04/2015": 31, "june 2019": None, "13/2019 - 2020": 12}
+    df = spark.createDataFrame(list(cases.items()), "t STRING, months INT").withColumn("f", X.fold(F.col("t")))
+    for r in df.select("t", "months", S.merged_length(S.written_spans(F.col("f"), 2026)).alias("got"),
+                       S.written_years_experience(F.col("f"), 2026).alias("years")).collect():
+        assert r.got == (r.months or 0), r.t
+        assert r.years == round((r.months or 0) / 12, 1)

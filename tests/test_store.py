@@ -112,3 +112,30 @@ def test_feature_table_round_trip(spark, tmp_path):
     jobs = spark.createDataFrame([(7, "", "python")], "job_id LONG, title STRING, description STRING")
     store.write_features(screening.feature_table(docs, jobs), str(tmp_path / "features"))
     assert len(spark.read.parquet(str(tmp_path / "features")).columns) == 19
+
+
+def test_deletes_rewrite_only_touched_owners(spark, tmp_path):
+    path = str(tmp_path / "store")
+    owners = ["ann", "b/c=d", "e f", None]
+    rows = spark.createDataFrame([(k, owners[k % 4], "x") for k in range(16)], "id LONG, username STRING, classification STRING")
+    store.write_analyses(rows, path)
+
+    def files_of():
+        return {(r.username, r.f) for r in spark.read.schema(rows.schema).parquet(path).select(
+            "username", F.input_file_name().alias("f")).distinct().collect()}
+
+    before = files_of()
+    keys = spark.createDataFrame([(4, "ann"), (4, "e f"), (99, "ann"), (1, "b/c=d"), (5, "b/c=d"), (9, "b/c=d"),
+                                  (13, "b/c=d"), (3, None)], "id LONG, username STRING")
+    missing = store.delete_stored(spark, path, keys, rows.schema)
+    assert sorted((r.id, r.username or "") for r in missing.collect()) == [(3, ""), (4, "e f"), (99, "ann")]
+    left = store.read_analyses(spark, path, rows.schema)
+    assert sorted(r.id for r in left.collect()) == [0, 2, 3, 6, 7, 8, 10, 11, 12, 14, 15]
+    same = lambda found: {x for x in found if x[0] in ("e f", None)}
+    assert same(files_of()) == same(before) and "b/c=d" not in {o for o, _ in files_of()}
+    assert store.delete_stored(spark, path, keys.limit(0), rows.schema).count() == 0
+    assert left.count() == 11
+    wider = spark.createDataFrame([(20, "ann", "x", 1.5)], "id LONG, username STRING, classification STRING, note DOUBLE")
+    store.write_analyses(wider, path)
+    both = {r.id: r.note for r in store.read_analyses(spark, path).collect()}
+    assert len(both) == 12 and both[20] == 1.5 and both[0] is None

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from dossier.plans import screening
 from dossier.streaming import activity as A
+from dossier.streaming import jobs as J
 
 START = datetime(2024, 1, 1)
 
@@ -72,18 +73,68 @@ def test_expired_jobs_leave(spark):
     assert sorted(r.job_id for r in left.collect()) == ["b", "c"]
 
 
-def test_expiring_progress(spark, tmp_path):
-    path = str(tmp_path / "jobs")
-    schema = "job_id STRING, status STRING, ts TIMESTAMP"
-    parts = [[("old", "completed", START), ("old", "error", START + timedelta(minutes=1))],
-             [("new", "completed", START + timedelta(hours=2))],
-             [("new", "completed", START + timedelta(hours=2, minutes=1))]]
+def minute(m):
+    return START + timedelta(minutes=m)
+
+
+def logged(spark, tmp_path, parts):
+    """The log as a table, and its progress rows and query as a stream of one file a part."""
+    path = str(tmp_path / "log")
     for rows in parts:
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = [tuple(r) for batch in run(A.expiring_progress(stream), "update", tmp_path) for r in batch]
-    assert ("old", 2, 1, "expired") in out and ("new", 2, 0, "processing") in out
-    assert not any(r[0] == "new" and r[3] == "expired" for r in out)
+        spark.createDataFrame(rows, J.LOG).coalesce(1).write.mode("append").parquet(path)
+    own = J.state_session(spark)
+    stream = own.readStream.schema(J.LOG).option("maxFilesPerTrigger", 1).parquet(path)
+    query = J.run_to_end(J.tracked_jobs(stream), str(tmp_path / "out"), str(tmp_path / "state"))
+    return spark.read.schema(J.LOG).parquet(path), spark.read.parquet(str(tmp_path / "out")), query
+
+
+def announced(job, total, m):
+    return (job, "announced", total, None, minute(m), minute(m))
+
+
+def item(job, m, status="completed", wait=1):
+    return (job, "item", None, status, minute(m), minute(m + wait))
+
+
+def test_tracked_jobs(spark, tmp_path):
+    table, rows, query = logged(spark, tmp_path, [
+        [announced("done", 2, 0), item("done", 1), item("done", 2, "error"), announced("open", 3, 0),
+         item("open", 3), item("none", 3), announced("empty", 0, 1)],
+        [item("open", 40), announced("late", 2, 41), item("late", 42), item("late", 42, wait=15)],
+        [item("open", 100, wait=30), announced("fresh", 1, 125), item("fresh", 129)]])
+    last = {r.job_id: tuple(r)[1:] for r in J.latest(rows).collect()}
+    # completed, errors, late, total, progress, status
+    assert last == {
+        "done": (2, 1, 0, 2, 100, "expired"), "open": (2, 0, 1, 3, 67, "processing"),
+        "none": (1, 0, 0, 0, 0, "unannounced"), "empty": (0, 0, 0, 0, 0, "expired"),
+        "late": (1, 0, 1, 2, 50, "processing"), "fresh": (1, 0, 0, 1, 100, "completed")}
+    assert {r.job_id: tuple(r)[1:] for r in J.job_table(table).collect()} == last
+    # a running job never leaves, and only what has not left is kept
+    assert not rows.filter("job_id in ('open', 'late') and status = 'expired'").count()
+    kept = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert kept <= 3 * 2 + 1       # a state row each, and the timers of completed jobs
+
+
+def test_state_holds_running_jobs_only(spark, tmp_path):
+    parts = [[row for k in range(20) for row in (announced(f"{part}-{k}", 1, 60 * part + k),
+                                                 item(f"{part}-{k}", 60 * part + k))] for part in range(4)]
+    table, rows, query = logged(spark, tmp_path, parts)
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(sizes) <= 2 * 40 + 3 and sizes[-1] < 80       # of 80 jobs with a timer each
+    assert rows.filter("status = 'expired'").select("job_id").distinct().count() >= 60
+    assert J.latest(rows).count() == 80 == J.job_table(table).count()
+
+
+def test_merged_sketches_on_a_stream(items, tmp_path):
+    table, stream = items
+    out = [r for batch in run(A.route_sketches(stream, "status", "user_id"), "append", tmp_path) for r in batch]
+    assert all(r.requests > 0 and r.sketch for r in out)
+    merged = {r.route: r for r in A.merge_routes(A.route_sketches(table, "status", "user_id", "1 minute"), "route").collect()}
+    for route, r in merged.items():
+        values = sorted(x.user_id for x in table.filter(F.col("status") == route).collect())
+        assert r.requests == len(values) and r.max_duration == values[-1]
+        assert r.mean_duration == pytest.approx(sum(values) / len(values))
+        assert values[int(0.94 * (len(values) - 1))] <= r.p95_duration <= values[-1]
 
 
 def test_screening_stream_equals_table(spark, tmp_path):
@@ -94,7 +145,11 @@ def test_screening_stream_equals_table(spark, tmp_path):
     for k in range(2):
         spark.createDataFrame(texts[3 * k:3 * k + 3], schema).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    screening.screen_stream(stream, jobs, out, str(tmp_path / "checkpoint"), "ann").awaitTermination()
+    model = screening.encoder(spark.read.schema(schema).parquet(path))
+    screening.screen_stream(stream, jobs, out, str(tmp_path / "checkpoint"), "ann", model=model).awaitTermination()
+    with pytest.raises(ValueError):
+        screening.screen_stream(stream, jobs, out, str(tmp_path / "other"), "ann")
+    assert {r.username for r in spark.read.parquet(out).collect()} == {"ann"}
     got = {r.id: r.classification for r in spark.read.parquet(out).collect()}
     want = screening.screen(spark.read.schema(schema).parquet(path), jobs)
     assert got == {r.doc_id: r.classification for r in want.collect()} and len(got) == 6
