@@ -8,8 +8,9 @@ every window that has an earlier copy (by document and place) is a match; matche
 touch or overlap extend each other, forwards and backwards, to maximal runs.  The later runs are
 deleted, the first stays.
 
-With ``words``, the guarantee depends on content too: fewer lines also make a window when they
-have that many words, and so do all lines of a text with fewer than ``run``.
+The guarantee depends on content too: fewer lines also make a window when they have ``words``
+words, and so do all lines of a text with fewer than ``run``.  Only ``words=None`` looks at runs
+of ``run`` lines alone.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql.window import Window
 
 from dossier.llm.common import quoted, text_of, whole_row, written
 
-RUN = 3
+RUN, WORDS = 3, 50
 WORD = r"[^ \t\n\x0B\f\r]+"
 
 
@@ -74,7 +75,7 @@ def _windows(docs: DataFrame, run: int, words: int | None, id_col: str,
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id",
-                  text_col: str = "text", words: int | None = None) -> DataFrame:
+                  text_col: str = "text", words: int | None = WORDS) -> DataFrame:
     """(id, mark, first, last, source_id): the later runs of every document.
 
     ``first`` and ``last`` are line numbers from 0; a run has ``run`` or more lines that are not
@@ -109,7 +110,7 @@ def repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id",
 
 
 def cut_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id",
-             text_col: str = "text", words: int | None = None) -> DataFrame:
+             text_col: str = "text", words: int | None = WORDS) -> DataFrame:
     """All rows and columns, and ``removed_runs`` array<(first, last)>; the runs' lines are
     cut out of the text.
 

@@ -44,21 +44,26 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
-@query("op2_line_dedup", """
+@query("op2_line_dedup", r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos
            FROM documents),
 c AS (SELECT doc_id, pos, trim(line) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS s
       FROM l WHERE trim(line) <> ''),
-w AS (SELECT a.doc_id, a.s, a.pos AS first, z.pos AS last,
+k AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total,
+             len(regexp_extract_all(t, '[^ \t\n\x0B\f\r]+')) AS words FROM c),
+w AS (SELECT a.doc_id, a.s, a.s + 2 AS stop, a.pos AS first, z.pos AS last,
              a.t || chr(10) || b.t || chr(10) || z.t AS content
-      FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.s = a.s + 1
-      JOIN c z ON z.doc_id = a.doc_id AND z.s = a.s + 2),
+      FROM k a JOIN k b ON b.doc_id = a.doc_id AND b.s = a.s + 1
+      JOIN k z ON z.doc_id = a.doc_id AND z.s = a.s + 2
+      UNION ALL SELECT a.doc_id, a.s, a.s + 1, a.pos, b.pos, a.t || chr(10) || b.t
+      FROM k a JOIN k b ON b.doc_id = a.doc_id AND b.s = a.s + 1 WHERE a.words + b.words >= 50 OR a.total = 2
+      UNION ALL SELECT doc_id, s, s, pos, pos, t FROM k WHERE words >= 50 OR total = 1),
 later AS (SELECT * FROM w
           QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, s) > 1),
-apart AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 3
-                    THEN 0 ELSE 1 END AS new FROM later),
-island AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM apart),
+apart AS (SELECT *, CASE WHEN s <= 1 + max(stop) OVER (PARTITION BY doc_id ORDER BY s, stop
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM later),
+island AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s, stop) AS n FROM apart),
 runs AS (SELECT doc_id, min(first) AS first, max(last) AS last FROM island GROUP BY doc_id, n),
 counts AS (SELECT doc_id, count(*) AS n_runs FROM runs GROUP BY doc_id),
 kept AS (SELECT l.doc_id, count(*) AS n_kept, string_agg(l.line, chr(10) ORDER BY l.pos) AS text

@@ -92,7 +92,7 @@ def test_runs_equal_brute_force(spark, run):
     chance = random.Random(run)
     texts = ["\n".join(chance.choice(["a", " a", "b", "c", "", "d", "e"]) for _ in range(
         chance.randint(0, 14))) for _ in range(40)] + [None, ""]
-    got = {r.doc_id: r for r in lines.cut_runs(odd.plain(spark, texts), run).collect()}
+    got = {r.doc_id: r for r in lines.cut_runs(odd.plain(spark, texts), run, words=None).collect()}
     for k, (gone, text) in enumerate(cut_by_hand(texts, run)):
         assert sum(r.last - r.first + 1 for r in got[k].removed_runs) == gone
         assert (got[k].text or "") == text
@@ -100,11 +100,11 @@ def test_runs_equal_brute_force(spark, run):
 
 def test_lines_of_odd_rows(spark):
     docs = odd.table(spark)
-    got = lines.cut_runs(docs).collect()
+    got = lines.cut_runs(docs, words=None).collect()
     assert len(got) == len(odd.rows())
     texts = {r.doc_id: r.text for r in got}
     assert texts[12] == "a\nb\nc\nd\ne" and texts[13] == "x\ny" and texts[1] is None
-    assert {(r.doc_id, r.source_id) for r in lines.repeated_runs(docs).selectExpr(
+    assert {(r.doc_id, r.source_id) for r in lines.repeated_runs(docs, words=None).selectExpr(
         "id AS doc_id", "source_id").collect()} == {(13, 12)}
 
 
@@ -137,7 +137,7 @@ def test_few_long_lines_and_short_texts_repeat(spark):
              f"z\n {long[1]}\n{long[2]}", long[4], f"{long[4]}\nown line", "short\nother", None, ""]
     texts += ["\n".join(chance.choice(["a", "b", "", *long]) for _ in range(chance.randint(0, 6)))
               for _ in range(60)]
-    got = {r.doc_id: r for r in lines.cut_runs(odd.plain(spark, texts), words=50).collect()}
+    got = {r.doc_id: r for r in lines.cut_runs(odd.plain(spark, texts)).collect()}
     for k, (gone, text) in enumerate(cut_by_words(texts, 3, 50)):
         assert sum(r.last - r.first + 1 for r in got[k].removed_runs) == gone
         assert (got[k].text or "") == text
