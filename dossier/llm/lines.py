@@ -86,9 +86,9 @@ def repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id",
     last in the order.  Rows equal in id and text share a mark and count as one document.
     """
     windows = _windows(docs, run, words, id_col, text_col)
-    shared = (windows.select("fingerprint", "mark", (F.col("start") + F.col("at")).alias("place"))
-              .distinct().groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
-              .filter("n > 1").select("fingerprint"))
+    place = F.xxhash64("mark", F.col("start") + F.col("at"))     # more than one, when they differ
+    shared = (windows.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+              .filter("a <> b").select("fingerprint"))
     own = F.struct(F.col("id").isNull().alias("late"), "id", "mark", "start", "stop", "first",
                    "last")
     matched = windows.join(shared, "fingerprint", "left_semi").select(

@@ -76,10 +76,11 @@ FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN counts n USING (doc_i
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its later repeated runs of lines."""
     removed = F.aggregate("removed_runs", F.lit(0), lambda n, r: n + r.last - r.first + 1)
-    before = F.size(F.split(F.coalesce("whole", F.lit("")), "\n", -1))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("whole"))
+    before = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", before.cast("long").alias("n_lines"))
     return lines.cut_runs(docs).select(
-        "doc_id", before.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"),
+        "doc_id", "n_lines", removed.cast("long").alias("n_removed"),
         F.size("removed_runs").cast("long").alias("n_runs"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
