@@ -198,9 +198,15 @@ def labelled(spark, d):
         sets.token_recall(F.col("tokens"), F.col("target_tokens")).alias("recall"))
 
 
+_LABELLED: dict = {}
+
+
 def _split(spark, d):
-    data = cut_lineage(labelled(spark, d))
-    both = training.stratified_split(data, "label", "doc_id")
+    """Training and held-out rows; a session's queries share the features written for the first."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _LABELLED:
+        _LABELLED[key] = cut_lineage(labelled(spark, d))
+    both = training.stratified_split(_LABELLED[key], "label", "doc_id")
     return both.filter("is_train"), both.filter("not is_train")
 
 

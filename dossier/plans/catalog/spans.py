@@ -178,7 +178,7 @@ def histories(spark, d):
         F.concat_ws("; ", F.array_sort(F.collect_list(line))).alias("text"))
 
 
-@query("i9_written_dates", _MONTHS_SQL + f"""SELECT DISTINCT o.doc_id, coalesce({D.round_exact("least(months / 12e0, 50e0)", 1)}, 0e0) AS years
+@query("i9_written_dates", _MONTHS_SQL + f"""SELECT DISTINCT o.doc_id, coalesce({D.round_exact("least(coalesce(months, 0) / 12e0, 50e0)", 1)}, 0e0) AS years
 FROM o LEFT JOIN m USING (doc_id)""")
 def written_dates(spark, d):
     texts = histories(spark, d).select("doc_id", X.fold(F.col("text")).alias("folded"))
