@@ -25,7 +25,7 @@ from dossier.llm.common import text_of, whole_row, written
 from dossier.llm.wordhash import Words, mixed, ranges, sliding
 
 LENGTH, WINDOW, GRAM = 50, 30, 5
-ROWS, ROWS_OUT, SEEN = 128, 1 << 16, 1 << 20
+ROWS, ROWS_OUT, SEEN, GATHERED = 128, 1 << 16, 1 << 20, 1 << 19
 NO_ID = (1 << 63) - 1
 
 
@@ -170,12 +170,13 @@ def _candidates(rows: DataFrame, length: int, window: int) -> DataFrame:
 def _stretches(rows: DataFrame, candidates: DataFrame, length: int, window: int) -> DataFrame:
     """Stretches around candidates: (h1, h2, id, mark, start, stop, source, done).
 
-    A task lists each content once, at its first place in the task; later places in the same
-    task are repeats already (done) and come as runs.  So a passage that a third of
-    all documents share sends one row per task to the comparison.
+    Of every GATHERED stretches of a task, each content is listed once, at its first place among
+    them; its later places are repeats already (done) and come as runs.  So a passage that a
+    third of all documents share sends few rows per task to the comparison, and a task's memory
+    does not grow with its texts.
     """
     def run(batches):
-        parts = []
+        parts, gathered = [], 0
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
@@ -194,8 +195,14 @@ def _stretches(rows: DataFrame, candidates: DataFrame, length: int, window: int)
                      >> 32).astype(np.int32),
                     batch.column("id").to_numpy()[text], batch.column("mark").to_numpy()[text],
                     (start - found.origin[text]).astype(np.int32)))
-        if not parts:
-            return
+                gathered += len(start)
+                if gathered >= GATHERED:
+                    yield from listed(parts)
+                    parts, gathered = [], 0
+        if parts:
+            yield from listed(parts)
+
+    def listed(parts):
         h1, h2, own, mark, start = map(np.concatenate, zip(*parts))
         parts.clear()
         order = np.lexsort((start, mark, own, h2, h1))

@@ -18,7 +18,7 @@ import tiktoken
 # fixed value: the split pattern of the byte-level pre-tokenizer
 PATTERN = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 250_000
 LONGEST_CACHED = 64
 
 _BUILT: dict = {}
@@ -121,25 +121,27 @@ class ByteBpe:
             return [text]
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Encode new chunks in one call, with a line end between them."""
+    def _learn(self, chunks: set[str], sizes: bool) -> None:
+        """Encode new chunks in one call, with a line end between them; their lengths are kept
+        only for those who ask for ``sizes``."""
         line = [c for c in chunks if "\n" not in c and len(c) <= LONGEST_CACHED]
         ids = np.asarray(self._core.encode_ordinary("\n".join(line)), self.dtype)
         width, lengths = self.width, self._length[ids].tobytes()
         cuts = [-1, *np.flatnonzero(ids == self._line_end).tolist(), len(ids)]
-        raw, known, sizes = ids.tobytes(), self._ids, self._lengths
+        raw, known, measured = ids.tobytes(), self._ids, self._lengths
         for chunk, start, stop in zip(line, cuts, cuts[1:]):
             start += 1
             known[chunk] = raw[start * width:stop * width]
-            sizes[chunk] = lengths[start * 2:stop * 2]
-        known["\n"], sizes["\n"] = self._entry([self._line_end])
+            if sizes:
+                measured[chunk] = lengths[start * 2:stop * 2]
+        known["\n"], measured["\n"] = self._entry([self._line_end])
 
     def _pieces(self, text: str):
         """[(is special, piece)] of a text."""
         parts = self._split.split(text) if self._split and "<" in text else [text]
         return [(k % 2 == 1, p) for k, p in enumerate(parts) if p]
 
-    def _cut(self, texts: list[str]) -> list[list[tuple[bool, list[str]]]]:
+    def _cut(self, texts: list[str], sizes: bool) -> list[list[tuple[bool, list[str]]]]:
         """Every text as [(is special, chunks)]; its chunks are learned."""
         if len(self._ids) > CACHED_CHUNKS:
             self._ids.clear()
@@ -148,7 +150,8 @@ class ByteBpe:
                 for special, piece in self._pieces(t)] for t in texts]
         self._learn(set().union(*(
             chunks for parts in cut for special, chunks in parts
-            if not special and len(chunks) > 1)).difference(self._ids))
+            if not special and len(chunks) > 1)).difference(
+                self._lengths if sizes else self._ids), sizes)
         return cut
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -160,7 +163,7 @@ class ByteBpe:
                 return self._entry([self.special[chunks[0]]])[0]
             return b"".join(map(known, chunks))
 
-        return [b"".join([piece(*part) for part in parts]) for parts in self._cut(texts)]
+        return [b"".join([piece(*part) for part in parts]) for parts in self._cut(texts, False)]
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids, UTF-8 lengths as two bytes each) of whole texts."""
@@ -174,7 +177,7 @@ class ByteBpe:
             return b"".join(map(known, chunks)), b"".join(map(sizes, chunks))
 
         out = []
-        for parts in self._cut(texts):
+        for parts in self._cut(texts, True):
             got = [piece(*part) for part in parts]
             out.append((b"".join([g[0] for g in got]), b"".join([g[1] for g in got])))
         return out
