@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dossier import lexicon as L
+from dossier.functions.numeric import let
 from dossier.functions.text import constant
 
 _META = set(r".^$*+?{}[]\|()")
@@ -114,6 +115,26 @@ def alias_hits(folded: Column) -> Column:
 _MARK = "\ue000"  # private-use character that fences alias hits
 
 
+def _cascaded(text: Column) -> Column:
+    """The aliases one after the other, longest first; a pattern is searched only where the
+    alias occurs as a substring of the lower-cased text so far."""
+    rows = []
+    for alias in sorted(L.ALIASES, key=len, reverse=True):
+        before, after = (r"(?<![a-z0-9])", r"(?![a-z0-9])") if " " in alias else (r"\b", r"\b")
+        rows.append({"part": alias, "pattern": f"(?i){before}{escape(alias)}{after}",
+                     "name": L.ALIASES[alias]})
+    table = constant(rows, "array<struct<part:string,pattern:string,name:string>>")
+
+    def state(t: Column) -> Column:
+        return let(t, lambda v: F.struct(v.alias("text"), F.lower(v).alias("low")))
+
+    return F.aggregate(
+        table, state(text),
+        lambda so_far, x: F.when(F.contains(so_far.low, x.part), state(
+            F.regexp_replace(so_far.text, x.pattern, x["name"]))).otherwise(so_far),
+        lambda so_far: so_far.text)
+
+
 def normalize_aliases(text: Column, cascade: bool = False, lowered: bool = False) -> Column:
     """Replace aliases by canonical names.
 
@@ -123,14 +144,7 @@ def normalize_aliases(text: Column, cascade: bool = False, lowered: bool = False
     ``lowered`` says that the text is lower-case already.
     """
     if cascade:
-        out = text
-        for alias in sorted(L.ALIASES, key=len, reverse=True):
-            if " " in alias:
-                pattern = r"(?i)(?<![a-z0-9])" + escape(alias) + r"(?![a-z0-9])"
-            else:
-                pattern = r"(?i)\b" + escape(alias) + r"\b"
-            out = F.regexp_replace(out, pattern, L.ALIASES[alias])
-        return out
+        return _cascaded(text)
     pattern = ("" if lowered else "(?i)") + "(" + alternation(L.ALIASES) + ")"
 
     def name(hit: Column) -> Column:
