@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import text as X
 from dossier.operators import matching as M
+from dossier.plans import screening
 from dossier.session import spread_rows
 
 
@@ -54,3 +55,15 @@ def test_rows_of_one_part_are_dealt_by_their_number(spark):
     dealt = spread_rows(spark.range(0, 1000, 1, 1).toDF("k"), rows=50)
     sizes = [r[0] for r in dealt.groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert dealt.rdd.getNumPartitions() == 20 and max(sizes) < 200
+
+
+def test_facts_of_many_targets_are_merged_not_broadcast(spark):
+    docs = spark.range(10).select(F.col("id").alias("doc_id"), F.col("id").alias("job_id"),
+                                  F.lit("led a team").alias("text"))
+    jobs = spark.range(screening.HELD_TARGETS + 1).select(
+        F.col("id").alias("job_id"), F.lit("Auditor").alias("title"), F.lit("led teams").alias("description"))
+    vecs = lambda df, key: df.select(key, F.array(F.lit(1.0)).alias("vec"))
+    scored = screening.score(docs, jobs, doc_vectors=vecs(docs, "doc_id"), job_vectors=vecs(jobs, "job_id"))
+    merges = [line for line in _plan(scored).splitlines() if "SortMergeJoin" in line]
+    assert any("job_id" in line and "Inner" in line for line in merges)
+    assert scored.count() == 10
