@@ -67,3 +67,13 @@ def test_facts_of_many_targets_are_merged_not_broadcast(spark):
     merges = [line for line in _plan(scored).splitlines() if "SortMergeJoin" in line]
     assert any("job_id" in line and "Inner" in line for line in merges)
     assert scored.count() == 10
+
+
+def test_only_beginnings_of_terms_are_built_and_hits_read_once(spark):
+    docs = spark.createDataFrame([(1, "a b c a"), (2, ""), (3, "b b")], "doc_id INT, folded STRING")
+    found = M.token_grams(docs, [1, 2], firsts=["a"]).collect()
+    assert sorted((r.doc_id, r.pos, r.gram) for r in found) == [(1, 0, "a"), (1, 0, "a b"), (1, 3, "a")]
+    assert M.token_grams(docs, [1]).count() == 6
+    dim = M.term_dimension(M.builtin_terms(spark).filter("kind = 'education'"))
+    # four branches read the hits; none goes back to the texts
+    assert "Range" not in _plan(M.match_terms_longest(_built_texts(spark), dim))
