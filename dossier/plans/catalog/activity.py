@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dossier.plans import inputs as I
 from dossier.plans.catalog import query
-from dossier.session import scratch_path
+from dossier.session import scratch_path, write_once
 from dossier.streaming import activity as A
 from dossier.streaming import jobs as J
 
@@ -95,17 +95,25 @@ def announced(spark, d):
     return J.job_table(job_log(spark, d))
 
 
+ROWS_PER_FILE = 25_000
+
+
 @query("k1_k2_tracked_stream", _LOG_SQL)
 def tracked(spark, d):
-    """The log arrives in three files, in the order of arrival; completed jobs leave by timer."""
+    """The log arrives in three parts of equally many files, in the order of arrival; completed jobs
+    leave by timer."""
     arriving, out, state = (scratch_path(spark) for _ in range(3))
-    log = job_log(spark, d)
+    log = write_once(job_log(spark, d))
     ends = log.agg(F.min("seen_at").cast("double").alias("a"), F.max("seen_at").cast("double").alias("z")).first()
     third = F.floor((F.col("seen_at").cast("double") - ends.a) * 3 / (ends.z - ends.a + 1))
+    sizes = dict(tuple(r) for r in log.groupBy(third).count().collect())      # a row a third
+    least = min(sizes.get(part, 0) for part in range(3))
+    # files of many rows each, dealt in turn: none is empty, so a batch is one part
+    files = max(1, min(spark.sparkContext.defaultParallelism, least // ROWS_PER_FILE))
     for part in range(3):
-        log.filter(third == part).coalesce(1).write.mode("append").parquet(arriving)
+        log.filter(third == part).repartition(files).write.mode("append").parquet(arriving)
     own = J.state_session(spark)
-    stream = own.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    stream = own.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(arriving)
     J.run_to_end(J.tracked_jobs(stream), out, state)
     return J.latest(spark.read.parquet(out))
 

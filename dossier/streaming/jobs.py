@@ -16,8 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -39,31 +38,27 @@ def percent_done(completed: int, total: int) -> int:
 class JobTracker(StatefulProcessor):
     """One state row per job; its timer stands once the job is completed or unannounced."""
 
-    def __init__(self, ttl: int, lateness: int):
-        self.ttl, self.lateness = ttl * 60_000, pd.Timedelta(minutes=lateness)
+    def __init__(self, ttl: int):
+        self.ttl = ttl * 60_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("job", _STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        created, total, completed, errors, late, timer = (
-            self.state.get() if self.state.exists() else (None, None, 0, 0, 0, None))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues):
+        held = self.state.get()
+        created, total, completed, errors, late, timer = held or (None, None, 0, 0, 0, None)
         first = None
-        for part in rows:       # bounded chunks: a hot job is never held whole
-            announced, items = part[part.kind == "announced"], part[part.kind == "item"]
-            if len(announced):
-                found = _millis(announced.ts.min())
-                created = found if created is None else min(created, found)
-                most = int(announced.total.max())
-                total = most if total is None else max(total, most)
-            if len(items):
-                first = min(first or _millis(items.ts.min()), _millis(items.ts.min()))
-            tardy = items.seen_at - items.ts > self.lateness
-            done = items[~tardy]
-            late += int(tardy.sum())
-            completed += int(done.status.isin(["completed", "error"]).sum())
-            errors += int((done.status == "error").sum())
+        for row in rows:        # one after the other: a hot job is never held whole
+            if row.kind == "announced":
+                created = row.at if created is None else min(created, row.at)
+                if row.total is not None:
+                    total = row.total if total is None else max(total, row.total)
+            elif row.kind == "item":
+                first = row.at if first is None else min(first, row.at)
+                late += row.tardy
+                completed += not row.tardy and row.status in ("completed", "error")
+                errors += not row.tardy and row.status == "error"
         if total is None:
             wanted = timer if timer is not None else first + self.ttl
         else:
@@ -89,24 +84,26 @@ class JobTracker(StatefulProcessor):
         known = total or 0
         if status is None:
             status = "completed" if total is not None and completed >= known else "processing"
-        return pd.DataFrame({
-            "job_id": [key[0]], "completed": [completed], "errors": [errors], "late": [late],
-            "total": [known], "progress": [percent_done(completed, known)], "status": [status]})
+        return Row(job_id=key[0], completed=completed, errors=errors, late=late, total=known,
+                   progress=percent_done(completed, known), status=status)
 
     def close(self) -> None:
         pass
 
 
-def _millis(moment: pd.Timestamp) -> int:
-    return int(moment.timestamp() * 1000)
-
-
 def tracked_jobs(log: DataFrame, ttl: int = TTL_MINUTES, lateness: int = LATENESS_MINUTES
                  ) -> DataFrame:
     """Stream of progress rows: one per job and batch that touches it, and a last one when it
-    leaves ('expired' or 'unannounced').  Needs the RocksDB state store (``PROVIDER``)."""
-    return log.withWatermark("seen_at", f"{DISORDER_SECONDS} seconds").groupBy("job_id").transformWithStateInPandas(
-        JobTracker(ttl, lateness), PROGRESS, "Update", "EventTime")
+    leaves ('expired' or 'unannounced').  Needs the RocksDB state store (``PROVIDER``).
+
+    A job has a few rows in a batch, so they reach the tracker as rows, with the moment in
+    milliseconds and the lateness found before: a frame for every job costs more than its rows.
+    """
+    tardy = F.col("seen_at") - F.col("ts") > F.expr(f"INTERVAL '{lateness}' MINUTE")
+    return log.withWatermark("seen_at", f"{DISORDER_SECONDS} seconds").select(
+        "job_id", "kind", "total", "status", F.unix_millis("ts").alias("at"),
+        F.coalesce(tardy, F.lit(False)).alias("tardy"), "seen_at").groupBy("job_id").transformWithState(
+        JobTracker(ttl), PROGRESS, "Update", "EventTime")
 
 
 def job_table(log: DataFrame, ttl: int = TTL_MINUTES, lateness: int = LATENESS_MINUTES

@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from dossier.plans import screening
@@ -153,3 +154,35 @@ def test_screening_stream_equals_table(spark, tmp_path):
     got = {r.id: r.classification for r in spark.read.parquet(out).collect()}
     want = screening.screen(spark.read.schema(schema).parquet(path), jobs)
     assert got == {r.doc_id: r.classification for r in want.collect()} and len(got) == 6
+
+
+def test_tracker_takes_rows_and_one_look_at_the_state():
+    """A job's few rows are met one by one, and its state is fetched once."""
+    calls, kept = [], {}
+
+    class Held:
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name == "getValueState":
+                    return self
+                if name == "update":
+                    kept["state"] = args[0]
+                return kept.get("state") if name == "get" else None
+            return call
+
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    tracker = J.JobTracker(30)
+    tracker.init(Held())
+    row = lambda kind, at, total=None, status=None, tardy=False: Row(
+        kind=kind, total=total, status=status, at=at, tardy=tardy)
+    first = list(tracker.handleInputRows(("a",), iter([row("item", 5, status="error"), row("announced", 2, 3)]), Held()))
+    assert [r.asDict() for r in first] == [dict(
+        job_id="a", completed=1, errors=1, late=0, total=3, progress=33, status="processing")]
+    calls.clear()
+    done = list(tracker.handleInputRows(("a",), iter([
+        row("item", 6, status="completed"), row("item", 7, status="completed"), row("item", 1, status="error", tardy=True)]), Held()))
+    assert (done[0].completed, done[0].late, done[0].status) == (3, 1, "completed")
+    assert calls == ["get", "registerTimer", "update"] and kept["state"][-1] == 2 + 30 * 60_000
