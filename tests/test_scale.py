@@ -6,6 +6,7 @@ from dossier.functions import text as X
 from dossier.operators import matching as M
 from dossier.plans import screening
 from dossier.session import spread_rows
+from dossier.sources import store
 
 
 def _built_texts(spark):
@@ -77,3 +78,40 @@ def test_only_beginnings_of_terms_are_built_and_hits_read_once(spark):
     dim = M.term_dimension(M.builtin_terms(spark).filter("kind = 'education'"))
     # four branches read the hits; none goes back to the texts
     assert "Range" not in _plan(M.match_terms_longest(_built_texts(spark), dim))
+
+
+def test_owners_of_few_rows_are_dealt_over_all_tasks(spark, monkeypatch):
+    """Parts made by size would put all owners of a small table into one task."""
+    rows = spark.range(400).select("id", (F.col("id") % 40).cast("string").alias("username"))
+    dealt = store._gathered(rows)
+
+    def tasks_of(df):
+        found = {}
+        for r in df.select("username", F.spark_partition_id().alias("p")).collect():
+            found.setdefault(r.username, set()).add(r.p)
+        return found
+
+    found = tasks_of(dealt)
+    assert all(len(p) == 1 for p in found.values()) and len(set().union(*found.values())) > 4
+    assert dealt.count() == 400
+    monkeypatch.setattr(store, "ROWS_PER_FILE", 100)
+    hot = tasks_of(store._gathered(spark.range(400).select("id", F.when(F.col("id") >= 390, "ann").alias("username"))))
+    assert len(hot["ann"]) == 1 and 1 < len(hot[None]) <= 4
+
+
+def test_a_delete_reads_the_store_once(spark, tmp_path, monkeypatch):
+    path, read = str(tmp_path / "store"), []
+    rows = spark.range(20).select("id", (F.col("id") % 4).cast("string").alias("username"))
+    store.write_analyses(rows, path)
+    once = store.write_once
+
+    def watched(df):
+        read.append(_plan(df).count(f"[file:{path}]"))
+        return once(df)
+
+    monkeypatch.setattr(store, "write_once", watched)
+    missing = store.delete_stored(spark, path, rows.filter("id in (1, 5)").unionByName(
+        spark.createDataFrame([(5, "0"), (None, "1")], "id long, username string")), rows.schema)
+    assert sum(read) == 1 and sorted(tuple(r) for r in missing.collect() if r.id) == [(5, "0")]
+    assert sorted(r.id for r in store.read_analyses(spark, path, rows.schema).collect()) == [
+        k for k in range(20) if k not in (1, 5)]
