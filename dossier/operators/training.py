@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dossier.functions.numeric import clip01
+from dossier.session import write_once
 
 # fixed values: the boosted model in use
 BOOSTED_BEST = {"maxDepth": 5, "stepSize": 0.2, "maxIter": 50, "subsamplingRate": 0.8}
@@ -285,7 +286,10 @@ def hashed_cosine(hashed: Column, vector: Column) -> Column:
 
 def fit_encoder(docs: DataFrame, words: str, size: int = 256) -> PipelineModel:
     """Inverse document frequencies of hashed words, learned in one pass over ``docs``."""
-    hashed = docs.select(word_buckets(F.col(words), size).alias("_b"))
+    return _fit_buckets(docs.select(word_buckets(F.col(words), size).alias("_b")), size)
+
+
+def _fit_buckets(hashed: DataFrame, size: int) -> PipelineModel:
     counts = CountVectorizerModel.from_vocabulary(
         [str(b) for b in range(size)], inputCol="_b", outputCol="_tf")
     return Pipeline(stages=[counts, IDF(inputCol="_tf", outputCol="_idf"),
@@ -298,21 +302,22 @@ def embed(docs: DataFrame, words: str, out: str = "vec", size: int = 256,
 
     ``words`` is an array of words, or of (w, c) entries for words with their counts.  Any other
     encoder can take its place: the scores need an array column only.  Returns the
-    documents with ``out`` (array of double) and the fitted weights.
+    documents with ``out`` (array of double) and the fitted weights.  To be fitted here, the
+    documents are written once with their buckets: two passes read them.
     """
     counted = "struct" in dict(docs.dtypes)[words]
-    if model is None:
-        source = docs if not counted else docs.select(
-            F.transform(words, lambda x: x.w).alias(words))
-        model = fit_encoder(source, words, size)
-    size = len(model.stages[0].vocabulary)
+    size = len(model.stages[0].vocabulary) if model is not None else size
     if counted:
         hashed = F.flatten(F.zip_with(
             word_buckets(F.transform(words, lambda x: x.w), size), F.col(words),
             lambda b, x: F.array_repeat(b, x.c)))
     else:
         hashed = word_buckets(F.col(words), size)
-    done = model.transform(docs.withColumn("_b", hashed))
+    held = docs.withColumn("_b", hashed)
+    if model is None:
+        held = write_once(held)
+        model = _fit_buckets(held.select("_b"), size)
+    done = model.transform(held)
     return done.withColumn(out, vector_to_array("_unit")).drop("_b", "_tf", "_idf", "_unit"), model
 
 

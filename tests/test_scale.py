@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import text as X
 from dossier.operators import matching as M
+from dossier.operators import training
 from dossier.plans import screening
 from dossier.session import spread_rows
 from dossier.sources import store
@@ -115,3 +116,9 @@ def test_a_delete_reads_the_store_once(spark, tmp_path, monkeypatch):
     assert sum(read) == 1 and sorted(tuple(r) for r in missing.collect() if r.id) == [(5, "0")]
     assert sorted(r.id for r in store.read_analyses(spark, path, rows.schema).collect()) == [
         k for k in range(20) if k not in (1, 5)]
+
+
+def test_an_encoder_reads_its_texts_once(spark):
+    words = _built_texts(spark).select("doc_id", X.content_words(F.col("folded")).alias("words"))
+    done, _ = training.embed(words, "words")
+    assert "Range" not in _plan(done) and done.columns == ["doc_id", "words", "vec"] and done.count() == 50
