@@ -59,11 +59,16 @@ def _matrix(lists: pa.ListArray, dims: int) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise inner products in double precision, summed in the order of the components."""
-    out = np.zeros(len(a))
-    for k in range(a.shape[1]):
-        out += a[:, k].astype(float) * b[:, k].astype(float)
-    return out
+    """Row-wise inner products in double precision, summed in the order of the components; what
+    a sum rounds away is carried along (Neumaier) and added last, as Python's ``sum`` does."""
+    out, lost = np.zeros(len(a)), np.zeros(len(a))
+    with np.errstate(invalid="ignore"):
+        for k in range(a.shape[1]):
+            x = a[:, k].astype(float) * b[:, k].astype(float)
+            total = out + x
+            lost += np.where(np.abs(out) >= np.abs(x), (out - total) + x, (x - total) + out)
+            out = total
+        return np.where(np.isfinite(lost), out + lost, out)
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
