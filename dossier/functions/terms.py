@@ -58,6 +58,9 @@ def alternation(terms, literal: bool = False) -> str:
     return "|".join(f"{left}(?:{'|'.join(parts)})" for left, parts in by_edge.items())
 
 
+AT_EDGE = "(?<![a-z0-9_])"     # every boundary of ``edges`` lies here; far cheaper to test first
+
+
 class TermSet:
     """Named terms that are searched together.
 
@@ -86,8 +89,9 @@ class TermSet:
         A zero-width look-ahead captures the longest term at every position; the
         shorter ones that start there are its prefixes, known in advance.
         """
+        edge = "" if self.literal or not "".join(self.names).isascii() else AT_EDGE
         found = F.array_distinct(F.regexp_extract_all(
-            folded, F.lit(f"(?=({alternation(self.names, self.literal)}))")))
+            folded, F.lit(f"{edge}(?=({alternation(self.names, self.literal)}))")))
         names = constant({t: self._names_at(t) for t in self.names}, "map<string,array<string>>")
         return F.array_sort(F.array_distinct(F.flatten(
             F.transform(found, lambda h: F.element_at(names, h)))))
@@ -109,7 +113,7 @@ def canonical_skill(token: Column) -> Column:
 
 def alias_hits(folded: Column) -> Column:
     """Aliases found in one left-to-right pass, longest first, in text order."""
-    return F.regexp_extract_all(folded, F.lit(f"({alternation(L.ALIASES)})"))
+    return F.regexp_extract_all(folded, F.lit(f"{AT_EDGE}({alternation(L.ALIASES)})"))
 
 
 _MARK = "\ue000"  # private-use character that fences alias hits
@@ -145,7 +149,7 @@ def normalize_aliases(text: Column, cascade: bool = False, lowered: bool = False
     """
     if cascade:
         return _cascaded(text)
-    pattern = ("" if lowered else "(?i)") + "(" + alternation(L.ALIASES) + ")"
+    pattern = ("" if lowered else "(?i)") + AT_EDGE + "(" + alternation(L.ALIASES) + ")"
 
     def name(hit: Column) -> Column:
         return F.element_at(_alias_map(), hit if lowered else F.lower(hit))

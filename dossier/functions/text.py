@@ -21,16 +21,16 @@ from dossier import lexicon as L
 from dossier.functions.numeric import let
 
 BLANKS = " \t\n\r\f\x0b"
-NON_ASCII = r"[^\x00-\x7F]"
-FOREIGN_WORD_CHAR = r"[^\x00-\x7F\p{P}\p{S}\p{Z}\p{M}\p{C}]"
+# both ask for a character outside ASCII first: the test of a category costs many times that
+FOREIGN_WORD_CHAR = r"[\x{80}-\x{10FFFF}&&[^\p{P}\p{S}\p{Z}\p{M}\p{C}]]"
+FOREIGN_SPACE = r"[\x{80}-\x{10FFFF}&&[\p{Z}\x{85}]]"
 
 
 def fold(text: Column) -> Column:
     """Lower-case; non-ASCII word characters become '_' and spaces ' '."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    folded = F.regexp_replace(
-        F.regexp_replace(low, FOREIGN_WORD_CHAR, "_"), r"[\p{Z}\x{85}]", " ")
-    return F.when(low.rlike(NON_ASCII), folded).otherwise(low)
+    folded = F.regexp_replace(F.regexp_replace(low, FOREIGN_WORD_CHAR, "_"), FOREIGN_SPACE, " ")
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(folded)
 
 
 def strip(text: Column) -> Column:
@@ -110,8 +110,12 @@ def contained(text: Column, words) -> Column:
 # ---------------------------------------------------------------- tokens
 
 def word_count(text: Column) -> Column:
-    """Whitespace-separated words; 0 for blank text."""
-    return count_of(text, r"\S+")
+    """Whitespace-separated words; 0 for blank text.
+
+    Split at plain spaces, which needs no regular expression, after the other blanks became some.
+    """
+    spaced = reduce(lambda t, ch: F.replace(t, F.lit(ch), F.lit(" ")), BLANKS[1:], text)
+    return F.array_size(F.array_remove(F.split(spaced, " "), ""))
 
 
 def content_words(folded: Column) -> Column:

@@ -148,3 +148,40 @@ def test_round_exact_equals_python(spark):
     for digits in (1, 2, 4):
         for r in df.select("x", round_exact(F.col("x"), digits).alias("r")).collect():
             assert r.r == round(r.x, digits)
+
+
+def test_fold_asks_for_categories_outside_ascii_only(spark):
+    """Every code point is folded as by the plain categories, which are costly to ask for."""
+    from dossier.functions import text as X
+
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [("a" + "a".join(map(chr, points[at:at + 4096])),) for at in range(0, len(points), 4096)]
+    low = F.lower("t")
+    plain = F.regexp_replace(F.regexp_replace(
+        low, r"[^\x00-\x7F\p{P}\p{S}\p{Z}\p{M}\p{C}]", "_"), r"[\p{Z}\x{85}]", " ")
+    df = spark.createDataFrame([*texts, ("",), ("Plain text",)], "t string")
+    assert df.filter(X.fold(F.col("t")) != plain).count() == 0
+    assert X.FOREIGN_WORD_CHAR.startswith(r"[\x{80}-") and X.FOREIGN_SPACE.startswith(r"[\x{80}-")
+
+
+def test_words_are_counted_without_a_regular_expression(spark):
+    from dossier.functions import text as X
+
+    texts = ["", "  ", "one", " a\tb\nc\x0bd\x0ce\rf  g h ", "\n\nx\n", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(X.word_count(F.col("t"))).collect()] == [0, 0, 1, 7, 1, None]
+    assert "regexp" not in str(X.word_count(F.col("t"))).lower()
+
+
+def test_terms_are_searched_at_word_edges_only(spark):
+    from dossier.functions.terms import AT_EDGE, TermSet
+
+    terms = TermSet([".NET", "C++", "Go", "Node.js", "#tag"])
+    texts = ["x.net .net", "a.net", "c++c go", "c++ gogo", "(node.js)#tag", "_go go_", "a#tag"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = df.select(terms.hits(F.col("t")))
+    assert [r[0] for r in found.collect()] == [
+        [".NET"], [], ["Go"], ["C++"], ["#tag", "Node.js"], [], []]
+    assert AT_EDGE in str(terms.hits(F.col("t")))
+    # a mark joins the letter before it: no edge is asked for then
+    assert AT_EDGE not in str(TermSet(["́x"]).hits(F.col("t")))
