@@ -37,8 +37,9 @@ PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 
 LONGEST, ROUNDS, CUTS = 4, 4, 32
 HOT_SAMPLE = 1000           # documents read to find hot pairs; they only decide where rows go
-CHUNK_BYTES, PLACES = 6 << 20, 1 << 21
-ENTRIES, GATHERED, HELD = 4096, 1 << 19, 1 << 22
+# a task works on this much at a time; its memory follows from it, the rows hardly do
+CHUNK_BYTES, PLACES = 2 << 20, 1 << 19
+ENTRIES, GATHERED, HELD = 4096, 1 << 18, 1 << 21
 BITS, LOW = 21, (1 << 21) - 1
 
 _TABLE = bytes.maketrans(PIECE_ENDS + b"\t", b"\n" * len(PIECE_ENDS) + b" ")

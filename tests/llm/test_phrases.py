@@ -145,3 +145,22 @@ def test_large_counts_stay_exact(spark):
     done = spark.createDataFrame(rows, "a long, l long, r long").select(
         "a", "l", "r", phrases.cut_score().alias("score")).collect()
     assert [x.score for x in done] == [floor(Fraction(2000000 * x.a, x.l + x.r)) for x in done]
+
+
+def test_a_task_holds_a_bounded_stretch_of_text():
+    """What a task holds while it cuts one chunk of text, words that never repeat included."""
+    import tracemalloc
+
+    import numpy as np
+
+    words = np.random.default_rng(3).integers(0, 1 << 40, phrases.CHUNK_BYTES // 6)
+    raw = b" ".join(b"%05x" % (w & 0xFFFFF) for w in words.tolist())
+    raws = [raw[at:at + 6000] for at in range(0, len(raw), 6000)]
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in phrases._adjacency(raws, ["en"] * len(raws), (set(), set())))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows > 0.9 * len(words)
+    assert peak < 100 << 20
