@@ -294,3 +294,16 @@ def test_hashed_cosine_equals_vectors(spark):
     one = {r.doc_id: r.vec for r in vectors.collect()}
     for r in left.join(right, F.lit(True)).select("doc_id", training.hashed_cosine(F.col("hashed"), F.col("vec")).alias("c")).collect():
         assert r.c == pytest.approx(sum(a * b for a, b in zip(one[r.doc_id], one[4])), abs=1e-9)
+
+
+def test_target_vector_holds_its_own_buckets_alone(spark):
+    jobs = spark.createDataFrame([(1, ["a", "b", None]), (2, []), (3, None)], "job_id INT, words ARRAY<STRING>")
+    rows = training.embed_weighted(jobs, "words", [1.0] * 256, "vec").orderBy("job_id").collect()
+    assert [len(r.vec) for r in rows] == [2, 0, 0]
+    assert sum(v * v for v in rows[0].vec.values()) == pytest.approx(1.0)
+
+
+def test_word_counts_keep_their_order(spark):
+    docs = spark.createDataFrame([(["b", "a", "b", None],), ([],), (None,)], "words ARRAY<STRING>")
+    got = [r.n and [tuple(x) for x in r.n] for r in pairing.word_counts(docs, "words", "n").collect()]
+    assert got == [[("a", 1), ("b", 3)], [], None]

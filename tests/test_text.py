@@ -185,3 +185,23 @@ def test_terms_are_searched_at_word_edges_only(spark):
     assert AT_EDGE in str(terms.hits(F.col("t")))
     # a mark joins the letter before it: no edge is asked for then
     assert AT_EDGE not in str(TermSet(["́x"]).hits(F.col("t")))
+
+
+def test_words_are_tried_where_they_begin(spark):
+    assert X.at_word(r"\b(?:phd|doctor of)\b") == r"(?=[dp])(?<![a-z0-9_])\b(?:phd|doctor of)\b"
+    assert X.at_word(r"\b(\d{4})-(now|then)").startswith(r"(?=[\d])")
+    for whole in (r"\$\d", r"\b(?:a|b)?c", r"\b(?:a|b)|c", r"\b(?:a*b|c)", r"\ba|b", r"\ba?b", r"\b(?:a|)"):
+        assert X.at_word(whole) == whole
+    texts = ["phd", "a phd", "xphd _phd 9phd", "(phd)", "-doctor of", "e\u0301phd phd\u0301", "\u0301phd", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in (r"\b(?:phd|doctor of)\b", r"\b(\d{1,4})p"):
+        assert df.filter(X.count_of(F.col("t"), pattern) != X.count_of(F.col("t"), X.at_word(pattern))).count() == 0
+
+
+def test_achievements_end_words_in_one_scan(spark):
+    texts = ["scaled", "scaled. led built", "handled rebuilt leds", "led led-led", "12% 3x $4k x%", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.n for r in df.select(X.achievement_count(F.col("t")).alias("n")).collect()]
+    assert got == [2, 4, 2, 3, 2, 0, 0]
+    plan = df.select(X.achievement_count(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan         # a pattern that changes from verb to verb is compiled anew for every text
