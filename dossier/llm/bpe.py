@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from array import array
+from itertools import filterfalse
 
 import ahocorasick
 import pyarrow as pa
@@ -20,8 +21,7 @@ from pyspark.sql import functions as F
 
 from dossier.llm.common import text_of
 from dossier.llm.tokens import (
-    CACHED_CHUNKS, built, byte_characters, composed, lowered, special_tokens, splitter,
-    vocabulary)
+    built, byte_characters, composed, lowered, shorten, special_tokens, splitter, vocabulary)
 
 CACHED_PAIRS = 2_000_000
 ROWS_OUT = 256
@@ -73,7 +73,9 @@ class PrefixBpe:
             if vocab[t] in sound:
                 self._automaton.add_word(f, (vocab[t], len(f)))
         self._automaton.make_automaton()
-        self._chunks: dict[str, tuple[bytes, str]] = {}
+        # lower-cased chunks: their ids, and what these decode to
+        self._chunks: dict[str, bytes] = {}
+        self._decoded: dict[str, str] = {}
         self._words: dict[str, tuple[bytes, str]] = {}
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int, float]]:
@@ -132,8 +134,11 @@ class PrefixBpe:
         char, final, size, words = self._char, self._last, self._size, self._words
         last, before = [-1], ""
         for piece in sorted(pieces):
-            raw = piece.encode()
-            word = "".join([char[b] for b in raw[:-1]]) + final[raw[-1]]
+            if piece.isascii() and piece.isprintable():     # such bytes stand for themselves
+                word = piece[:-1] + final[ord(piece[-1])]
+            else:
+                raw = piece.encode()
+                word = "".join([char[b] for b in raw[:-1]]) + final[raw[-1]]
             known = min(len(word), len(before)) - 1
             while known > 0 and word[:known] != before[:known]:
                 known -= 1
@@ -145,39 +150,47 @@ class PrefixBpe:
             ids.reverse()
             words[piece] = array("i", ids).tobytes(), " ".join([self.text[i] for i in ids])
 
-    def _pieces(self, chunk: str) -> list[str]:
-        low = lowered(composed(chunk))
-        return [low] if low.isalpha() else self._piece.findall(low)
+    def _cut(self, text: str) -> list[str]:
+        """Lower-cased chunks of a text without special tokens.  No white space composes with its
+        neighbours or has another case, so a text is lowered whole and then cut."""
+        low = lowered(composed(text))
+        if any(c in low for c in SEPARATORS):
+            return [c for c in self._space.split(low) if c]
+        return low.split()
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Per text its ids as four bytes each, and what the ids decode to."""
-        cache, words = self._chunks, self._words
-        if len(cache) > CACHED_CHUNKS:
-            cache.clear()
-        if len(words) > CACHED_CHUNKS:
-            words.clear()
+        chunks, decoded, words = self._chunks, self._decoded, self._words
+        shorten(chunks, decoded, words)
         cut = []
         for text in texts:
             parts = self._split.split(text) if self._split and "<" in text else [text]
-            cut.append([
-                part if k % 2 else
-                part.split() if not any(c in part for c in SEPARATORS) else
-                [c for c in self._space.split(part) if c] for k, part in enumerate(parts)])
-        new = {c for parts in cut for part in parts if isinstance(part, list)
-               for c in part}.difference(cache)
-        pieces = {c: self._pieces(c) for c in new}
+            cut.append([part if k % 2 else self._cut(part) for k, part in enumerate(parts)])
+        new = set()
+        for parts in cut:
+            for part in parts:
+                if isinstance(part, list):
+                    new.update(filterfalse(chunks.__contains__, part))
+        pieces = {c: [c] if c.isalpha() else self._piece.findall(c) for c in new}
         self._learn_words({p for found in pieces.values() for p in found}.difference(words))
         for chunk, found in pieces.items():
-            got = [words[p] for p in found]
-            cache[chunk] = got[0] if len(got) == 1 else (
-                b"".join([g[0] for g in got]), " ".join([g[1] for g in got]))
+            if len(found) == 1:
+                chunks[chunk], decoded[chunk] = words[found[0]]
+            else:
+                got = [words[p] for p in found]
+                chunks[chunk] = b"".join([g[0] for g in got])
+                decoded[chunk] = " ".join([g[1] for g in got])
         out = []
         for parts in cut:
-            got = []
+            ids, shown = [], []
             for part in parts:
-                got += ([cache[c] for c in part] if isinstance(part, list) else
-                        [(self.special[part].to_bytes(4, "little"), part)])
-            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])))
+                if isinstance(part, list):
+                    ids += map(chunks.__getitem__, part)
+                    shown += filter(None, map(decoded.__getitem__, part))
+                else:
+                    ids.append(self.special[part].to_bytes(4, "little"))
+                    shown.append(part)
+            out.append((b"".join(ids), " ".join(shown)))
         return out
 
     def decode(self, ids) -> str:

@@ -19,6 +19,7 @@ import tiktoken
 PATTERN = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
 CACHED_CHUNKS = 250_000
+KEPT_CHUNKS = CACHED_CHUNKS * 2 // 3
 LONGEST_CACHED = 64
 
 _BUILT: dict = {}
@@ -37,6 +38,14 @@ def built(kind, raw: bytes):
     return _BUILT[key]
 
 
+def shorten(*caches: dict) -> None:
+    """Full caches keep what came first, which is what comes often; the last third makes way."""
+    for cache in caches:
+        if len(cache) > CACHED_CHUNKS:
+            for key in list(cache)[KEPT_CHUNKS:]:
+                del cache[key]
+
+
 def byte_characters() -> list[str]:
     """The character that stands for each byte: printable ones stand for themselves,
     the others take the code points from 256 on."""
@@ -185,7 +194,7 @@ class ByteBpe:
 
 def lowered(text: str) -> str:
     """Lower case letter by letter, without the rule for a final sigma."""
-    return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+    return text.replace("Σ", "σ").lower()
 
 
 def composed(text: str) -> str:

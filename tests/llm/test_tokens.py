@@ -9,7 +9,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import odd
-from dossier.llm import bpe, counting, packing
+from dossier.llm import bpe, counting, packing, tokens
 from dossier.llm.tokens import ByteBpe
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -174,3 +174,14 @@ def test_counts_of_odd_rows(spark):
     assert counting.count_tokens(odd.table(spark, empty=True), BYTE, ["text"]).count() == 0
     with pytest.raises(ValueError):
         counting.count_tokens(odd.table(spark), BYTE, ["text"], rule="half")
+
+
+def test_word_chunks_are_cached_by_lower_case_and_the_first_stay(monkeypatch):
+    own, fresh = (bpe.PrefixBpe(open(WORD, "rb").read()) for _ in range(2))
+    own.encode(["The THE the", "ΟΔΟΣ ΟΔΟσ"])
+    assert set(own._chunks) == {"the", "οδοσ"}
+    monkeypatch.setattr(tokens, "CACHED_CHUNKS", 6)
+    monkeypatch.setattr(tokens, "KEPT_CHUNKS", 4)
+    for text in ("a b c d e f g", "h i", "É́ x Y\x1cz A ́b", "the a"):
+        assert own.encode([text]) == fresh.encode([text])
+        assert "the" in own._chunks and set(own._chunks) == set(own._decoded)
