@@ -49,7 +49,8 @@ def hot_keys(keys: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
 
 def attach(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
     """Inner join of written rows with a table that has ``key`` once: rows of hot keys meet a
-    broadcast of their fewer than HOT_SHARE entries, the others are shuffled."""
+    broadcast of their fewer than HOT_SHARE entries, the others are merged, by hint: a table of
+    one entry a row may look small enough to be sent through the driver."""
     hot = F.broadcast(small.join(F.broadcast(hot_keys(rows, key)), key, "left_semi"))
-    cold = rows.join(hot.select(key), key, "left_anti").join(small, key)
+    cold = rows.join(hot.select(key), key, "left_anti").join(small.hint("merge"), key)
     return cold.unionByName(rows.join(hot, key))

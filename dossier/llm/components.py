@@ -12,8 +12,8 @@ def _to_least(edges: DataFrame, larger_only: bool) -> DataFrame:
     """Point the neighbours of every node (all, or the larger ones) at the least of them.
 
     ``edges`` holds (a, b) with a > b.  Neighbourhoods are only reduced to a minimum, never
-    gathered; the join of a node's edges with its one minimum is split by the
-    adaptive skew join when the node is a hub.
+    gathered; a node's edges are merged with its one minimum, by hint, since the minima may look
+    small enough to be sent through the driver.  The adaptive skew join splits the edges of a hub.
     """
     if larger_only:
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -21,7 +21,7 @@ def _to_least(edges: DataFrame, larger_only: bool) -> DataFrame:
         ends = edges
     least = ends.groupBy("a").agg(F.min("b").alias("m")).select(
         "a", F.least("a", "m").alias("m"))
-    moved = ends.join(least, "a")
+    moved = ends.join(least.hint("merge"), "a")
     if larger_only:
         out = moved.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"),
                                                            F.col("m").alias("b"))

@@ -142,7 +142,8 @@ def pack(docs: DataFrame, path: str, length: int = 1024, stop: int = 0, id_col:
     """
     raw = vocabulary(docs.sparkSession, path)
     encoded = _encoded(docs, path, id_col, text_col, stop)
-    placed = encoded.select("uid", "id", "ids", "tokens").join(_positions(encoded), "uid")
+    placed = encoded.select("uid", "id", "ids", "tokens").join(
+        _positions(encoded).hint("merge"), "uid")
 
     def run(batches):
         dtype, unpack = built(ByteBpe, raw.value).dtype, zstandard.ZstdDecompressor()

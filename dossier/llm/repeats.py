@@ -229,7 +229,8 @@ def _stretches(rows: DataFrame, candidates: DataFrame, length: int, window: int)
                             "stop": start[end], "source": source[begin],
                             "done": np.ones(len(begin), bool)})
 
-    return rows.dropDuplicates(["mark"]).join(candidates, "mark").select("id", "mark", "body", "places").mapInArrow(
+    return rows.dropDuplicates(["mark"]).join(candidates.hint("merge"), "mark").select(
+        "id", "mark", "body", "places").mapInArrow(
         run, "h1 long, h2 int, id long, mark long, start int, stop int, source long, done boolean")
 
 
@@ -310,7 +311,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     spans = _spans(_keyed(docs, id_col, text_col), length, window).select("mark", "spans")
     mark = F.xxhash64(F.col(id_col).cast("long"), text_of(text_col))
     rows = (docs.select(whole_row(docs.columns).alias("row"), mark.alias("mark"))
-            .join(spans, "mark", "left")
+            .join(spans.hint("merge"), "mark", "left")
             .select(F.col(f"row.{text_col}").alias("body"), "spans", "row"))
     kinds = docs.schema
 

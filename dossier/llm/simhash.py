@@ -100,9 +100,10 @@ def links(distinct: DataFrame, distance: int = 3, segments: int = SEGMENTS,
     probes = table.select("fp", "segment", F.explode(
         _around(F.col("value"), width, distance // segments)).alias("value"))
     sizes = table.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("members"))
-    sized = written(probes.join(sizes, ["segment", "value"]))
+    # by hint here and below: entries and labels may look small enough to be sent through the driver
+    sized = written(probes.join(sizes.hint("merge"), ["segment", "value"]))
     calm = sized.filter(F.col("members") <= crowd).join(
-        table.withColumnRenamed("fp", "other"), ["segment", "value"])
+        table.withColumnRenamed("fp", "other").hint("merge"), ["segment", "value"])
     found = calm.filter((F.col("fp") != F.col("other"))
                         & (_distance(F.col("fp"), F.col("other")) <= distance)).select(
         F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
@@ -119,7 +120,7 @@ def _midpoint_links(crowded: DataFrame, distance: int) -> DataFrame:
         F.max("fp").alias("most")).filter(F.col("hub").isNotNull()
                                           & (F.col("least") != F.col("most"))).select(
         "point", "hub")
-    return points.join(hubs, "point").filter(F.col("fp") != F.col("hub")).select(
+    return points.join(hubs.hint("merge"), "point").filter(F.col("fp") != F.col("hub")).select(
         F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
 
 
@@ -128,9 +129,10 @@ def _labelled(rows: DataFrame, distance: int, segments: int, crowd: int) -> Data
     entries = rows.groupBy("fp").agg(F.min("id").alias("least"))
     found = components(links(entries.select("fp"), distance, segments, crowd))
     found = found.withColumnRenamed("node", "fp")
-    least = (found.join(entries, "fp").groupBy("component").agg(F.min("least").alias("reached")))
-    reached = found.join(least, "component").select("fp", "reached")
-    labels = entries.join(reached, "fp", "left").select(
+    least = written(found.join(entries.hint("merge"), "fp").groupBy("component").agg(
+        F.min("least").alias("reached")))
+    reached = attach(found, least, "component").select("fp", "reached")
+    labels = entries.join(reached.hint("merge"), "fp", "left").select(
         "fp", F.coalesce("reached", "least").alias("component"))
     return attach(rows, written(labels), "fp")
 
@@ -172,5 +174,5 @@ def near_dedup(docs: DataFrame, shingle: int = 3, distance: int = 3,
     one = Window.partitionBy("m1", "m2").orderBy("tie")
     return (docs.select(whole_row(docs.columns).alias("row"), *marks)
             .withColumn("tie", F.xxhash64(F.to_json("row")))
-            .join(stay, ["m1", "m2"], "left_semi")
+            .join(stay.hint("merge"), ["m1", "m2"], "left_semi")
             .withColumn("place", F.row_number().over(one)).filter("place = 1").select("row.*"))

@@ -194,3 +194,26 @@ def test_sliding():
     for width in (1, 2, 3, 7, 16, 30):
         assert sliding(values, width, np.minimum).tolist() == [
             values[k:k + width].min() for k in range(51 - width)]
+
+
+def _joins(df):
+    """The names of the joins that the plan may run, as it stands before it adapts."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"(\w+Join\w*) ", plan)
+
+
+def test_tables_of_an_entry_a_row_are_merged_and_not_broadcast(spark):
+    prints = spark.range(300).select(F.xxhash64("id").alias("fp"))
+    assert set(_joins(simhash.links(prints))) == {"SortMergeJoin"}
+    docs = odd.plain(spark, [odd.words(80, k) for k in range(30)])
+    kept = _joins(simhash.near_dedup(docs))
+    assert "SortMergeJoin" in kept and "BroadcastHashJoin" in kept      # of hot fingerprints
+    edges = spark.createDataFrame([(k, k // 2) for k in range(2, 90)], "a long, b long")
+    assert set(_joins(components._to_least(edges, True))) == {"SortMergeJoin"}
+
+
+def test_hubs_are_linked_like_other_nodes(spark):
+    edges = [(k, 5000) for k in range(3000)] + [(5000 + k, 5001 + k) for k in range(30)]
+    got = {r.node: r.component for r in components.components(
+        spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len(got) == 3031 and set(got.values()) == {0}
