@@ -14,7 +14,7 @@ from dossier.functions import text as X
 from dossier.functions.numeric import cap, let, round_exact
 from dossier.functions.terms import TermSet
 from dossier.functions.vectors import cosine
-from dossier.session import write_once
+from dossier.session import spread_rows, write_once
 
 WORD = r"([a-z0-9_]+)"
 TOKEN = r"([a-z0-9_]+|[^a-z0-9_\s])"
@@ -208,6 +208,47 @@ def nearest_seed(vectors: DataFrame, seeds: DataFrame, threshold: float = 0.82,
         F.coalesce(F.col("_best.sim") > threshold, F.lit(False)).alias("admitted"))
 
 
+def _pairs(docs: DataFrame, key: str) -> DataFrame:
+    """(key, pos, a, b): neighbouring words."""
+    pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.struct(
+        i.alias("pos"), F.get("words", i).alias("a"), F.get("words", i + 1).alias("b")))
+    return docs.filter(F.size("words") > 1).select(key, F.inline(pairs))
+
+
+def held_or_merged(df: DataFrame) -> DataFrame:
+    """A written table, hinted for a join: one of up to HELD_TERMS rows is broadcast, a larger one
+    merged.  The estimate of exploded rows on the other side knows nothing of their number."""
+    return F.broadcast(df) if df.limit(HELD_TERMS + 1).count() <= HELD_TERMS else df.hint("merge")
+
+
+def collocations(docs: DataFrame, key: str = "doc_id", least: int = 5, score: float = 3.0
+                 ) -> DataFrame:
+    """(a, b): words that stand together ``least`` times or more, and ``score`` times as often as
+    their own counts would have it; written once."""
+    counts = docs.select(F.explode("words").alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("all"))     # one row
+    return write_once(
+        _pairs(docs, key).groupBy("a", "b").agg(F.count(F.lit(1)).alias("together"))
+        .filter(F.col("together") >= least)
+        .join(counts.hint("merge"), "a").withColumnRenamed("n", "na")
+        .join(counts.withColumnsRenamed({"a": "b", "n": "nb"}).hint("merge"), "b")
+        .join(F.broadcast(total), F.lit(True))
+        .filter(F.col("together") * F.col("all") >= score * F.col("na") * F.col("nb"))
+        .select("a", "b"))
+
+
+def _phrases(docs: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """(key, phrase): words, collocations of ``held`` and their chains of three, repeats too."""
+    found = write_once(_pairs(docs, key).join(held_or_merged(held), ["a", "b"]).select(
+        key, "pos", "a", "b"))
+    two = found.select(key, F.concat_ws(" ", "a", "b").alias("phrase"))
+    later = found.select(key, (F.col("pos") - 1).alias("pos"), F.col("b").alias("c"))
+    three = found.join(later.hint("merge"), [key, "pos"]).select(
+        key, F.concat_ws(" ", "a", "b", "c").alias("phrase"))
+    one = docs.select(key, F.explode("words").alias("phrase"))
+    return one.unionByName(two).unionByName(three)
+
+
 def candidate_phrases(docs: DataFrame, key: str = "doc_id", least: int = 5, score: float = 3.0
                       ) -> DataFrame:
     """(key, phrase): words and collocations of the texts.
@@ -216,48 +257,34 @@ def candidate_phrases(docs: DataFrame, key: str = "doc_id", least: int = 5, scor
     stand together ``least`` times or more, and ``score`` times as often as their own counts
     would have it; three are one when both pairs are.
     """
-    pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.struct(
-        i.alias("pos"), F.get("words", i).alias("a"), F.get("words", i + 1).alias("b")))
-    placed = docs.filter(F.size("words") > 1).select(key, F.inline(pairs))
-    single = docs.select(key, F.explode("words").alias("a"))
-    counts = single.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("all"))     # one row
-    held = (placed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("together"))
-            .filter(F.col("together") >= least)
-            .join(counts, "a").withColumnRenamed("n", "na")
-            .join(counts.withColumnsRenamed({"a": "b", "n": "nb"}), "b")
-            .join(F.broadcast(total), F.lit(True))
-            .filter(F.col("together") * F.col("all") >= score * F.col("na") * F.col("nb"))
-            .select("a", "b"))
-    found = placed.join(held, ["a", "b"])
-    two = found.select(key, F.concat_ws(" ", "a", "b").alias("phrase"))
-    later = found.select(key, (F.col("pos") - 1).alias("pos"), F.col("b").alias("c"))
-    three = found.join(later, [key, "pos"]).select(key, F.concat_ws(" ", "a", "b", "c").alias("phrase"))
-    one = single.select(key, F.col("a").alias("phrase"))
-    return one.unionByName(two).unionByName(three).distinct()
+    return _phrases(docs, collocations(docs, key, least, score), key).distinct()
 
 
 def admit_terms(docs: DataFrame, dim: DataFrame, embed, seeds=None, key: str = "doc_id",
                 threshold: float = 0.82, least: int = 5, score: float = 3.0) -> DataFrame:
     """(key, term): terms that the dictionary lacks, mined from texts in which it finds none.
 
-    ``docs`` has (key, folded).  Candidate phrases of all texts are embedded and admitted when
-    they are close enough to one of ``seeds`` (the built-in list).  ``embed`` maps a table
-    with ``words`` (array) to the same table with ``vec``; every distinct phrase is encoded once.
+    ``docs`` has (key, folded), and ``words`` when its content words are known.  Collocations are
+    those of all texts.  Candidate phrases are embedded and admitted when they are close enough to
+    one of ``seeds`` (the built-in list).  ``embed`` maps a table with ``words`` (array) to the
+    same table with ``vec``; every distinct phrase is encoded once, and only admitted ones are
+    looked up in the texts again.
     """
     spark = docs.sparkSession
-    worded = docs.select(key, X.content_words(F.col("folded")).alias("words"))
-    known = match_terms(docs, dim, key)
-    mined = write_once(candidate_phrases(worded, key, least, score).join(
-        known.select(key).distinct(), key, "left_anti"))
+    worded = docs.select(key, "words") if "words" in docs.columns else write_once(
+        docs.select(key, X.content_words(F.col("folded")).alias("words")))
+    known = match_terms(docs, dim, key).select(key).distinct()
+    fresh = write_once(worded.join(known.hint("merge"), key, "left_anti"))
+    mined = _phrases(fresh, collocations(worded, key, least, score), key)
     encoded = lambda df: embed(df.withColumn("words", F.split(F.lower("phrase"), " ")))
     listed = spark.createDataFrame(list(enumerate(seeds or L.SEED_PHRASES)), "seed_id long, phrase string")
-    close = admit_phrases(
-        encoded(mined.select("phrase").distinct()).select(F.lit(0).alias("_one"), "phrase", "vec"),
+    distinct = spread_rows(write_once(mined.select("phrase").distinct()))
+    close = write_once(admit_phrases(
+        encoded(distinct).select(F.lit(0).alias("_one"), "phrase", "vec"),
         spark.createDataFrame([], "_one int"), dim, encoded(listed).select("seed_id", "vec"), "_one",
-        threshold)
-    return mined.select(key, F.initcap("phrase").alias("term")).distinct().join(
-        close.select("term"), "term").select(key, "term")
+        threshold).select("term"))
+    return mined.select(key, F.initcap("phrase").alias("term")).join(
+        held_or_merged(close), "term").select(key, "term").distinct()
 
 
 def admit_phrases(phrases: DataFrame, matched: DataFrame, dim: DataFrame, seeds: DataFrame,

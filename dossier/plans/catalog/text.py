@@ -14,6 +14,7 @@ from dossier.operators import training
 from dossier.plans import inputs as I
 from dossier.plans.catalog import duck as D
 from dossier.plans.catalog import query
+from dossier.session import write_once
 
 SKILLS = N.TermSet(L.default_skills())
 
@@ -335,7 +336,8 @@ SELECT doc_id, list_aggregate(list_transform(string_split(phrase, ' '), lambda t
 FROM cand WHERE phrase IN (SELECT phrase FROM near)""")
 def admitted(spark, d):
     """Texts without a known degree: phrases mined from all texts, admitted when near a seed."""
-    texts = profiles(spark, d).select("doc_id", "folded")
+    texts = write_once(profiles(spark, d).select(       # read by several passes
+        "doc_id", "folded", X.content_words(folded()).alias("words")))
     dim = M.term_dimension(M.builtin_terms(spark).filter("kind = 'education'"))
-    model = training.fit_encoder(texts.select(X.content_words(F.col("folded")).alias("words")), "words")
+    model = training.fit_encoder(texts.select("words"), "words")
     return M.admit_terms(texts, dim, lambda df: training.embed(df, "words", model=model)[0])

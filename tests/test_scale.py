@@ -53,6 +53,18 @@ def test_large_dictionary_gives_the_same_terms(spark, monkeypatch):
     assert {r[2] for r in held[0]} == {"high school", "school", "b.tech", "phd"}
 
 
+def test_exploded_words_are_never_broadcast_to_meet_collocations(spark, monkeypatch):
+    docs = _built_texts(spark).withColumn("words", X.content_words(F.col("folded")))
+    mined = M.candidate_phrases(docs)
+    assert not any("Generate" in p for p in _broadcast_parts(_plan(mined)))
+    held = sorted(map(tuple, mined.collect()))
+    monkeypatch.setattr(M, "HELD_TERMS", 0)
+    merged = M.candidate_phrases(docs)
+    assert "Broadcast" not in _plan(merged)
+    assert held == sorted(map(tuple, merged.collect())) and len(held) > 50
+    assert (7, "school tech phd") in held
+
+
 def test_rows_of_one_part_are_dealt_by_their_number(spark):
     dealt = spread_rows(spark.range(0, 1000, 1, 1).toDF("k"), rows=50)
     sizes = [r[0] for r in dealt.groupBy(F.spark_partition_id()).count().select("count").collect()]
