@@ -65,6 +65,20 @@ def test_exploded_words_are_never_broadcast_to_meet_collocations(spark, monkeypa
     assert (7, "school tech phd") in held
 
 
+def test_hits_of_short_texts_are_grouped_without_a_search_for_gaps(spark, monkeypatch):
+    dim = M.term_dimension(M.builtin_terms(spark).filter("kind = 'education'"))
+    texts = [(1, "phd high school"), (2, "filler " * 40 + "high school of b.tech" + " phd" * 9),
+             (None, "high school"), (None, "word " * 20 + "phd high school"), (2, "phd"), (3, "none")]
+    docs = spark.createDataFrame(texts, "doc_id long, folded string")
+    searched, clusters = [], M.hit_clusters
+    monkeypatch.setattr(M, "hit_clusters", lambda hits, *rest: (
+        searched.append(hits.count()) or clusters(hits, *rest)))
+    held = sorted(M.match_terms_longest(docs, dim).collect(), key=str)
+    monkeypatch.setattr(M, "BLOCK", 8)
+    cut = sorted(M.match_terms_longest(docs, dim).collect(), key=str)
+    assert searched[0] == 0 < searched[1] and held == cut and len(held) > 12
+
+
 def test_rows_of_one_part_are_dealt_by_their_number(spark):
     dealt = spread_rows(spark.range(0, 1000, 1, 1).toDF("k"), rows=50)
     sizes = [r[0] for r in dealt.groupBy(F.spark_partition_id()).count().select("count").collect()]
