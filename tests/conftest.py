@@ -45,7 +45,8 @@ AS_OF = 2026
 def spark():
     from dossier.session import local_session
 
-    session = local_session(8, shuffle_partitions=4)
+    # plans are searched for paths, which Spark cuts at 100 characters
+    session = local_session(8, shuffle_partitions=4, **{"spark.sql.maxMetadataStringLength": "1000"})
     yield session
     session.stop()
 
